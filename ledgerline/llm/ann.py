@@ -75,9 +75,9 @@ class Graph:
         return np.array([i for _, i in kept]), np.array([a for a, _ in kept])
 
 
-def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float):
+def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float, apart: float = 0.15):
     """(row, centre) of each vector's lists: its nearest centre, and others within ``1 + border`` of that distance
-    unless a chosen centre lies nearer to them than the vector does."""
+    unless a chosen centre lies far nearer to them (``apart`` of the squared distance) than the vector does."""
     half = (c * c).sum(1)
     among = min(4 * copies, len(c))
     between = ((half[:, None] + half[None, :]) - 2 * c @ c.T)
@@ -95,7 +95,7 @@ def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float):
         for j in range(1, among):
             ok = (dn[:, j] <= dn[:, 0] * (1 + border) ** 2) & (count < copies)
             for m in range(j):
-                ok &= ~(chosen[:, m] & (between[near[:, m], near[:, j]] < dn[:, j]))
+                ok &= ~(chosen[:, m] & (between[near[:, m], near[:, j]] < apart * dn[:, j]))
             chosen[:, j] = ok
             count += ok
         r, k = np.nonzero(chosen)
@@ -121,11 +121,13 @@ def build_lists(rows: DataFrame, list_rows: int = 256, copies: int = 4, border:
     return stage(rows.mapInArrow(run, "cell int, id long, vec array<double>"), "ann-lists"), c
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 64, ratio: float = 0.35, shard_rows: int = 4096, **index) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 32, share: float = 0.16, ratio: float = 0.35, shard_rows: int = 4096, **index) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: about the k nearest by Euclidean distance, exactly measured.
 
-    A query scans at most ``lists`` lists, those whose centre is within
-    ``1 + ratio`` of the nearest centre's distance. Lists with more than
+    A query scans at most ``lists`` lists or ``share`` of all, whichever is
+    more, and of these the lists whose centre is within ``1 + ratio`` of the
+    nearest centre's distance. A share, as in data without clusters the same
+    recall takes the same share of the lists at every size. Lists with more than
     ``shard_rows`` vectors, such as those of one very common vector, are
     scanned in shards by different tasks. A query's own id is no candidate;
     ties go to the smaller id; null ids and vectors that are null, zero, empty
@@ -138,6 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     if not rows.limit(1).count():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted, c = build_lists(rows, **index)
+    width = max(lists, -int(-share * len(c) // 1))
     held = spark.sparkContext.broadcast(c)
     key = f"graph {id(c)} {spark.sparkContext.applicationId} {c[:1].tobytes()!r} {len(c)}"
 
@@ -151,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             q = matrix(b.column(1))
             rows, cells = [], []
             for i in range(len(q)):
-                at, d = g.search(q[i], lists)
+                at, d = g.search(q[i], width)
                 near = at[np.sqrt(d) <= np.sqrt(d[0]) * (1 + ratio) + 1e-12]
                 rows += [i] * len(near)
                 cells += near.tolist()
