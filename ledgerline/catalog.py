@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from ledgerline.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def words(text: Column) -> Column:
@@ -24,7 +25,7 @@ def entropy(items: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - total / n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gzip_ratio(text: pd.Series) -> pd.Series:
     """Compressed over plain bytes at level 6; an empty text is its header's size over one."""
     return pd.Series([len(gzip.compress(t.encode(), 6, mtime=0)) / max(len(t.encode()), 1) for t in text.fillna("")], dtype=float)

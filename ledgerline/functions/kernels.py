@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def quantize_groups(x: Column, bits: int, group: int) -> Column:
@@ -26,7 +27,7 @@ def quantize_groups(x: Column, bits: int, group: int) -> Column:
 def quantize_masked(bits: int, group: int):
     """Arrow function (vector, outlier mask) -> dequantized vector. Outliers stay and, like padding, are not in the range."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def run(x: pd.Series, mask: pd.Series) -> pd.Series:
         out = []
         for v, m in zip(x, mask, strict=True):
@@ -150,7 +151,7 @@ def key_bits(span: Column, tokens: Column, error: float, q_norm: Column) -> Colu
     return F.least(F.lit(16), F.greatest(F.lit(2), F.ceil(F.log2(span / (2 * F.sqrt(F.lit(3.0)) * sigma) + 1)))).cast("int")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def apply_bits(x: pd.Series, bits: pd.Series) -> pd.Series:
     """Quantize and dequantize each vector with its own width; equal widths are done together."""
     out: list = [None] * len(x)

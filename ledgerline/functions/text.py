@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # ASCII punctuation, the articles, and the scorers' patterns.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -30,11 +31,16 @@ def tokens(x: Column) -> Column:
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """F1 of the multiset overlap of normalized tokens; 0 without overlap."""
-    p, g = tokens(normalize_answer(prediction)), tokens(normalize_answer(gold))
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
-    precision, recall = same / F.size(p), same / F.size(g)
-    return F.when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    def score(z: Column) -> Column:
+        p, g = z["p"], z["g"]
+        same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
+        return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+    # within a one-element array the token lists are made once, not again for every token
+    both = F.array(F.struct(tokens(normalize_answer(prediction)).alias("p"), tokens(normalize_answer(gold)).alias("g")))
+    return F.get(F.transform(both, score), F.lit(0))
 
 
 def _f_measure(lcs: int, n: int, m: int) -> float:
@@ -53,7 +59,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     """ROUGE-L F over blank-separated words, one sentence a side; 0 where either is empty."""
     return pd.Series([_f_measure(lcs_length(a, b), len(a), len(b)) if a and b else 0.0 for a, b in ((str(p or "").split(), str(g or "").split()) for p, g in zip(prediction, gold, strict=True))], dtype=float)
@@ -94,7 +100,7 @@ def code_line(prediction: Column) -> Column:
     return F.coalesce(F.get(F.filter(lines, lambda x: ~(F.contains(x, F.lit("`")) | F.contains(x, F.lit("#")) | F.contains(x, F.lit("//")))), F.lit(0)), F.lit(""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity in whole percent."""
     from difflib import SequenceMatcher

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def harmonic(x: str | Column) -> Column:
     """Harmonic mean; a value of zero and below raises, an empty group is null."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.when(F.min(x) <= 0, F.raise_error(F.lit("harmonic mean of a value that is not positive"))).otherwise(F.count(x) / F.sum(1 / x))
+    return F.when(F.min(x) <= 0, F.raise_error(F.lit("harmonic mean of a value that is not positive"))).otherwise(F.try_divide(F.count(x), F.sum(F.try_divide(F.lit(1.0), x))))
 
 
 def quality_rollup(rows: DataFrame, *by: str, score: str = "score") -> DataFrame:
@@ -22,10 +22,10 @@ def quality_rollup(rows: DataFrame, *by: str, score: str = "score") -> DataFrame
 
 def compression_rollup(rows: DataFrame, *by: str, ratio: str = "compression") -> DataFrame:
     """Per group: ``harmonic`` over rows, ``category_balanced`` (mean of categories of task harmonics)."""
-    task = rows.groupBy(*by, "category", "task").agg(F.sum(1 / F.col(ratio)).alias("inv"), F.count(ratio).alias("n"), F.min(ratio).alias("low"))
-    safe = F.when(F.col("low") <= 0, F.raise_error(F.lit("ratios must be positive"))).otherwise(F.col("n") / F.col("inv"))
+    task = rows.groupBy(*by, "category", "task").agg(F.sum(F.try_divide(F.lit(1.0), F.col(ratio))).alias("inv"), F.count(ratio).alias("n"), F.min(ratio).alias("low"))
+    safe = F.when(F.col("low") <= 0, F.raise_error(F.lit("ratios must be positive"))).otherwise(F.try_divide("n", "inv"))
     category = task.groupBy(*by, "category").agg(F.avg(safe).alias("c"), F.sum("inv").alias("inv"), F.sum("n").alias("n"))
-    return category.groupBy(*by).agg((F.sum("n") / F.sum("inv")).alias("harmonic"), F.avg("c").alias("category_balanced"))
+    return category.groupBy(*by).agg(F.try_divide(F.sum("n"), F.sum("inv")).alias("harmonic"), F.avg("c").alias("category_balanced"))
 
 
 def summary(rows: DataFrame, *by: str) -> DataFrame:
@@ -59,7 +59,7 @@ def selection_counts(chosen: DataFrame, labels: DataFrame) -> DataFrame:
 def violations(chosen: DataFrame, baseline: DataFrame, tau: float) -> DataFrame:
     """Share of selected rows below tau times the baseline's score, below the baseline, and the mean difference."""
     base = baseline.select("key", F.col("score").alias("base"))
-    both = chosen.join(base, "key")
+    both = chosen.select("key", "score").join(base, "key")
     return both.agg(F.count("*").alias("n"), F.avg((F.col("score") < tau * F.col("base")).cast("double")).alias("below_tau"), F.avg((F.col("score") < F.col("base")).cast("double")).alias("below_base"), F.avg(F.col("score") - F.col("base")).alias("mean_delta"))
 
 
@@ -80,7 +80,7 @@ def fit_metrics(rows: DataFrame, *by: str, y: str = "score", p: str = "predictio
 
 def decomposition(chosen: DataFrame, baseline: DataFrame) -> DataFrame:
     """Per task: chosen and baseline quality, their difference, and its contribution to the overall difference."""
-    both = chosen.join(baseline.select("key", F.col("score").alias("base")), "key")
+    both = chosen.select("key", "task", "score").join(baseline.select("key", F.col("score").alias("base")), "key")
     per = both.groupBy("task").agg(F.avg("score").alias("q"), F.avg("base").alias("base_q"), F.sum(F.col("score") - F.col("base")).alias("d"), F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(1)))  # one row a task
     return per.select("task", "q", "base_q", (F.col("q") - F.col("base_q")).alias("delta"), (F.col("d") / total).alias("contribution"), "n")

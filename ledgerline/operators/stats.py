@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def win_tie_loss(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -70,7 +71,7 @@ def wilcoxon(pairs: DataFrame, zeros: str = "wilcox", a: str = "a", b: str = "b"
     return out.withColumn("p", normal_two_sided(F.col("z")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None).astype(float)
 
