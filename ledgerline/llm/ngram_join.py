@@ -162,8 +162,8 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m
 def frequent(reps: DataFrame, most: int) -> np.ndarray:
     """Sorted frequent n-grams among the bands, at most ``most``.
 
-    Every set takes part: a batch names the n-grams that are in a share of its
-    sets. The order of n-grams, and with it the work but never the result,
+    Every set takes part: a batch names the n-grams that three and more of its
+    sets hold. The order of n-grams, and with it the work but never the result,
     depends on these.
     """
 
@@ -174,7 +174,7 @@ def frequent(reps: DataFrame, most: int) -> np.ndarray:
             bands = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
             if bands:
                 u, c = np.unique(np.concatenate(bands), return_counts=True)
-                keep = (c >= max(5, len(bands) // 500)) & (u < np.uint64(BAND))
+                keep = (c >= 3) & (u < np.uint64(BAND))
                 yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
 
     rows = reps.select("band").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most).collect()
@@ -182,7 +182,7 @@ def frequent(reps: DataFrame, most: int) -> np.ndarray:
 
 
 def postings(reps: DataFrame, hot, percent: int) -> DataFrame:
-    """``token``, ``node``, ``n``, ``pos`` of the first n-grams of each set, in the global order."""
+    """``token``, ``node``, ``n`` of the first n-grams of each set, in the global order."""
 
     def run(batches):
         import pyarrow as pa
@@ -196,16 +196,27 @@ def postings(reps: DataFrame, hot, percent: int) -> DataFrame:
             if keys:
                 lens = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, lens)), pa.array(np.repeat(size, lens).astype(np.int32)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lens]))],
-                    names=["token", "node", "n", "pos"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, lens)), pa.array(np.repeat(size, lens).astype(np.int32))],
+                    names=["token", "node", "n"],
                 )
 
-    return reps.select("node", "n", "band").mapInArrow(run, "token long, node long, n int, pos int")
+    return reps.select("node", "n", "band").mapInArrow(run, "token long, node long, n int")
 
 
-def may_link(nx: str, ny: str, px: str, py: str, percent: int):
-    """Whether sets of these sizes whose first common n-gram is at these places can be similar enough."""
-    return F.expr(f"{percent} * greatest({nx}, {ny}) <= 100 * least({nx}, {ny}) and (100 + {percent}) * (1 + least({nx} - {px} - 1, {ny} - {py} - 1)) >= {percent} * ({nx} + {ny})")
+def sizes_fit(nx: str, ny: str, percent: int):
+    """Whether sets of these sizes can be similar enough at all."""
+    return F.expr(f"{percent} * greatest({nx}, {ny}) <= 100 * least({nx}, {ny})")
+
+
+def prefixes_fit(nx: str, ny: str, shared: str, percent: int):
+    """Whether sets that share so many of their first n-grams can be similar enough.
+
+    Up to the smaller of the two prefixes' last n-grams, both sets lie wholly
+    in their prefixes, so ``shared`` is their overlap there; beyond it, one of
+    them has no more than what its prefix leaves over.
+    """
+    over = lambda n: f"(({percent} * {n} + 99) div 100 - 1)"
+    return F.expr(f"{shared} + greatest({over(nx)}, {over(ny)}) >= ({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
 
 
 def walk(pairs: DataFrame, sets: DataFrame, hot, percent: int, chunk: int = 128) -> DataFrame:
@@ -239,7 +250,7 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 100_000) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -281,20 +292,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         made = stage(named.join(nodes.select("sig", "n", "node"), ["sig", "n"]).select("node", "n", "keys"), "ngram-sets")
         return stage(walk(near, made, hot, percent), "ngram-links")
 
-    centre = shared.filter("node = centre").select("token", F.col("n").alias("cn"), F.col("pos").alias("cpos"))
-    star = shared.filter("node != centre").join(centre, "token").filter(may_link("n", "cn", "pos", "cpos", percent)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    centre = shared.filter("node = centre").select("token", F.col("n").alias("cn"))
+    star = shared.filter("node != centre").join(centre, "token").filter(sizes_fit("n", "cn", percent)).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("cn").alias("an"), F.first("n").alias("bn"))
+    star = star.filter(prefixes_fit("an", "bn", "c", percent)).select("a", "b")
     links = exact(stage(star, "ngram-star"))
     # members of an n-gram in other components than its centre, against the centre's and each other
     roots = stage(components(links), "ngram-roots")
     known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     at_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("croot"))
     known = known.join(at_centre, "centre", "left").withColumn("croot", F.coalesce("croot", "centre"))
-    other = stage(known.filter("root != croot").select("token", "node", "n", "pos", "root"), "ngram-other")
-    mine = known.filter("root = croot").join(other.select("token").distinct(), "token", "left_semi").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
-    across = mine.join(other, "token").filter(may_link("an", "n", "apos", "pos", percent)).select(F.col("node").alias("a"), F.col("a").alias("b"))
-    left = other.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), F.col("root").alias("aroot"))
-    among = left.join(other, "token").filter(F.expr("aroot < root") & may_link("an", "n", "apos", "pos", percent)).select("a", F.col("node").alias("b"))
-    rest = exact(stage(across.unionByName(among).distinct(), "ngram-rest"))
+    other = stage(known.filter("root != croot").select("token", "node", "n", "root"), "ngram-other")
+    mine = known.filter("root = croot").join(other.select("token").distinct(), "token", "left_semi").select("token", F.col("node").alias("a"), F.col("n").alias("an"))
+    across = mine.join(other, "token").filter(sizes_fit("an", "n", percent)).select("a", "node", "an", "n")
+    left = other.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
+    among = left.join(other, "token").filter(F.expr("aroot < root") & sizes_fit("an", "n", percent)).select("a", "node", "an", "n")
+    met = across.unionByName(among).groupBy(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr("if(a > node, an, n)")).alias("an"), F.first(F.expr("if(a > node, n, an)")).alias("bn"))
+    rest = exact(stage(met.filter(prefixes_fit("an", "bn", "c", percent)).select("a", "b"), "ngram-rest"))
     roots = stage(components(links.unionByName(rest)), "ngram-roots")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
