@@ -8,8 +8,8 @@ the overlap of a shared beginning on and leaves a branch when what remains of
 both sets cannot reach the overlap needed.
 
 Equal sets are one node. Links among nodes are found in two rounds: first each
-n-gram's members against one of them, which joins groups of near copies without
-making all their pairs; then the members that are still in different
+node against the two centres (smallest members of an n-gram) it meets most,
+which joins groups of near copies without making all their pairs; then the members that are still in different
 components against each other, so that no link between components is lost.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import stage, table
@@ -79,15 +80,15 @@ def needed(nx: int, ny: int, percent: int) -> int:
 
 
 def ordered(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Sort keys of sorted hashes: those below BAND first, among them the frequent ones (``hot``, sorted) last."""
+    """Sort keys of sorted hashes: those below BAND first (as halves), among them the frequent ones (``hot``, sorted halves) last."""
     cut = int(np.searchsorted(s, np.uint64(BAND)))
     low = s[:cut]
+    half = low >> np.uint64(1)
     if len(hot) and cut:
-        k = np.searchsorted(hot, low)
-        is_hot = hot[np.minimum(k, len(hot) - 1)] == low
+        k = np.searchsorted(hot, half)
+        is_hot = hot[np.minimum(k, len(hot) - 1)] == half
     else:
         is_hot = np.zeros(cut, bool)
-    half = low >> np.uint64(1)
     return np.concatenate([half[~is_hot], half[is_hot] + np.uint64(BAND >> 1), s[cut:]])
 
 
@@ -160,7 +161,7 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m
 
 
 def frequent(reps: DataFrame, most: int) -> np.ndarray:
-    """Sorted frequent n-grams among the bands, at most ``most``.
+    """Sorted halves of the frequent n-grams among the bands, at most ``most``.
 
     Every set takes part: a batch names the n-grams that three and more of its
     sets hold. The order of n-grams, and with it the work but never the result,
@@ -178,7 +179,7 @@ def frequent(reps: DataFrame, most: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
 
     rows = reps.select("band").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most).collect()
-    return np.sort(np.array([r.t for r in rows], np.int64).view(np.uint64))
+    return np.unique(np.array([r.t for r in rows], np.int64).view(np.uint64) >> np.uint64(1))
 
 
 def postings(reps: DataFrame, hot, percent: int) -> DataFrame:
@@ -250,14 +251,16 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000, often_from: int = 24) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
     sets of distinct ``k``-word shingles; a document of fewer words has its
     whole sequence as one. ``component_id`` is the smallest id reachable by
     links, itself included. Documents without words (null, empty) link with
-    nothing and keep their own id; a null id is never smallest; repeated rows
+    nothing and keep their own id. N-grams in ``often_from`` prefixes and more
+    go last in the order (the ``most_hot`` most frequent of them; the result
+    is the same for any order); a null id is never smallest; repeated rows
     are in one component; an empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
@@ -267,7 +270,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     holders = full.filter("band is not null").select("sig", "n", "uid")
     extra = stage(holders.join(nodes, ["sig", "n"]).filter("uid != node").select("uid"), "ngram-extra")
     reps = full.filter("band is not null").select("uid", "n", "band").join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
-    hot = spark.sparkContext.broadcast(frequent(reps, most_hot))  # at most most_hot n-grams
+    seen = frequent(reps, most_hot)
+    first = postings(reps, spark.sparkContext.broadcast(seen), percent)  # at most most_hot n-grams
+    often = first.groupBy("token").agg(F.count("*").alias("c")).filter((F.col("c") >= often_from) & F.col("token").between(0, (BAND >> 1) - 1)).orderBy(F.desc("c"), "token").limit(most_hot).collect()
+    hot = spark.sparkContext.broadcast(np.union1d(seen, np.array([r.token for r in often], np.uint64)))  # at most 2 * most_hot
     posts = postings(reps, hot, percent)
     tokens = stage(posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("centre")).filter("c > 1").select("token", "centre"), "ngram-tokens")
     shared = stage(posts.join(tokens, "token"), "ngram-shared")
@@ -293,8 +299,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         return stage(walk(near, made, hot, percent), "ngram-links")
 
     centre = shared.filter("node = centre").select("token", F.col("n").alias("cn"))
-    star = shared.filter("node != centre").join(centre, "token").filter(sizes_fit("n", "cn", percent)).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("cn").alias("an"), F.first("n").alias("bn"))
-    star = star.filter(prefixes_fit("an", "bn", "c", percent)).select("a", "b")
+    star = shared.filter("node != centre").join(centre, "token").filter(sizes_fit("n", "cn", percent)).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    nearest = F.row_number().over(W.partitionBy("b").orderBy(F.desc("c"), "a"))  # of at most a prefix of centres
+    star = star.withColumn("r", nearest).filter("r <= 2").select("a", "b")
     links = exact(stage(star, "ngram-star"))
     # members of an n-gram in other components than its centre, against the centre's and each other
     roots = stage(components(links), "ngram-roots")
