@@ -37,11 +37,13 @@ def target_parts(counts: DataFrame, weights: dict | None, alpha: float, period:
     else:
         counts = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(alpha)))
     everyone = W.partitionBy(F.lit(1))  # one row a source
-    share = F.round(F.col("_w") / F.sum("_w").over(everyone) * (period - F.count("*").over(everyone)), 6)
-    shares = counts.withColumn("_share", share).withColumn("_floor", F.floor("_share"))
-    left = F.lit(period) - F.count("*").over(everyone) - F.sum("_floor").over(everyone)
+    raw = F.col("_w") / F.sum("_w").over(everyone) * period
+    one = F.when(F.min("_raw").over(everyone) < 1, 1).otherwise(0)  # a slot is set aside for each source only if some share is below one
+    counts = counts.withColumn("_raw", raw).withColumn("_one", one).withColumn("_free", period - F.col("_one") * F.count("*").over(everyone))
+    shares = counts.withColumn("_share", F.round(F.col("_raw") / period * F.col("_free"), 6)).withColumn("_floor", F.floor("_share"))
+    left = F.col("_free") - F.sum("_floor").over(everyone)
     place = F.row_number().over(everyone.orderBy(F.desc(F.col("_share") - F.col("_floor")), "_src"))
-    return shares.withColumn("_left", left).withColumn("_place", place).select("_src", "_n", (F.col("_floor") + 1 + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("_parts"))
+    return shares.withColumn("_left", left).withColumn("_place", place).select("_src", "_n", (F.col("_floor") + F.col("_one") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("_parts"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 8, period: int = 240, max_sources: int = 200, keep: list[str] | None = None) -> DataFrame:
