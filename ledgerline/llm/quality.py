@@ -134,9 +134,8 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, strength: flo
     return post, chance
 
 
-def features(text: str, shape, kind) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, shape, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: shares of word shapes, and steps of the text's own shares."""
-    shares = Shares(text, kind)
     found = Counter(map(shape, text.split()))
     n = shares["words"] + 8  # short texts stay near the constant
     out = {0: 1.0}
@@ -224,7 +223,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         kind, shape = _memos(memo_entries)
         for b in batches:
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                i, v = features(t or "", shape, kind)
+                i, v = features(t or "", shape, Shares(t or "", kind))
                 yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([i.tolist()], pa.list_(pa.int32())), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["h", "i", "v"])
 
     rows = []
@@ -237,9 +236,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 def _judge(texts, w, kind, shape, posterior):
     for t in texts:
-        i, v = features(t or "", shape, kind)
+        shares = Shares(t or "", kind)
+        i, v = features(t or "", shape, shares)
         score = float(1 / (1 + np.exp(-np.clip((w[i] * v).sum(), -30, 30))))
-        yield score, posterior.get(pattern_of(Shares(t or "", kind)), 0.5) if posterior is not None else 0.0
+        yield score, posterior.get(pattern_of(shares), 0.5) if posterior is not None else 0.0
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = 300_000) -> DataFrame:
