@@ -7,10 +7,10 @@ list in which neighbours share their common beginning), whose traversal carries
 the overlap of a shared beginning on and leaves a branch when what remains of
 both sets cannot reach the overlap needed.
 
-Equal sets are one node. Links among nodes are found in two rounds: first each
-node against the two centres (smallest members of an n-gram) it meets most,
-which joins groups of near copies without making all their pairs; then the members that are still in different
-components against each other, so that no link between components is lost.
+Equal sets are one node. Links among nodes are found in rounds: in the first few, each
+node against the two centres (one member of an n-gram, another in each round) it meets most,
+which joins groups of near copies without making all their pairs; then the members of an
+n-gram that are still in different components against each other, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stage, table
+from ledgerline.llm.common import free, stage, table
 from ledgerline.llm.components import components
 from ledgerline.llm.wordtokens import worker_cache
 
-#: n-grams with hashes below BAND come first in the order; their list is kept for every set.
-BAND = int(0.35 * 2**64)
+#: Keys of n-grams have 63 bits; those of the frequent ones come after all others.
+LATER = np.uint64(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -80,58 +80,47 @@ def needed(nx: int, ny: int, percent: int) -> int:
 
 
 def ordered(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Sort keys of sorted hashes: those below BAND first (as halves), among them the frequent ones (``hot``, sorted halves) last."""
-    cut = int(np.searchsorted(s, np.uint64(BAND)))
-    low = s[:cut]
-    half = low >> np.uint64(1)
-    if len(hot) and cut:
-        k = np.searchsorted(hot, half)
-        is_hot = hot[np.minimum(k, len(hot) - 1)] == half
-    else:
-        is_hot = np.zeros(cut, bool)
-    return np.concatenate([half[~is_hot], half[is_hot] + np.uint64(BAND >> 1), s[cut:]])
-
-
-def trie_join(x: np.ndarray, nx: int, items: list[tuple[object, int, np.ndarray]], percent: int):
-    """The ids of ``items`` (id, size, ordered keys) that may reach the overlap needed with x.
-
-    x and the items may be cut off: of size nx, the first len(x) keys are there.
-    Where nothing is cut off, the answer is exact. Items are walked in order
-    of their keys as the leaves of a trie; (overlap, place in x) at each depth
-    of the last walk holds for the beginning that the next item shares.
+    """Sort keys of sorted hashes (their halves): the frequent ones (``hot``, sorted halves) last."""
+    half = s >> np.uint64(1)
+    if not len(hot) or not len(s):
+        return half
+    is_hot = hot[np.minimum(np.searchsorted(hot, half), len(hot) - 1)] == half
+    return np.concatenate([half[~is_hot], half[is_hot] | LATER])
+
+
+def trie_join(x: np.ndarray, items: list[tuple[object, np.ndarray]], percent: int):
+    """The ids of ``items`` (id, ordered keys) that reach the overlap needed with x.
+
+    Items are walked in order of their keys as the leaves of a trie; (overlap,
+    place in x) at each depth of the last walk holds for the beginning that
+    the next item shares.
     """
-    x, lx = x.tolist(), len(x)
-    cut_x = nx > lx
+    x, nx = x.tolist(), len(x)
     states, last, depth_done = [(0, 0)], [], 0
-    for item, ny, y in sorted(((i, n, k.tolist()) for i, n, k in items), key=lambda t: t[2]):
+    for item, y in sorted(((i, k.tolist()) for i, k in items), key=lambda t: t[1]):
+        ny, shared, most = len(y), 0, min(len(y), len(last), depth_done)
         need = needed(nx, ny, percent)
-        shared, most = 0, min(len(y), len(last), depth_done)
         while shared < most and y[shared] == last[shared]:
             shared += 1
         del states[shared + 1 :]
         overlap, px = states[shared]
-        d, ly, alive = shared, len(y), True
-        while d < ly:
-            if overlap + min(ny - d, nx - px) < need:
-                alive = False
-                break
+        d = shared
+        while d < ny and overlap + min(ny - d, nx - px) >= need:
             key = y[d]
-            while px < lx and x[px] < key:
+            while px < nx and x[px] < key:
                 px += 1
-            if px == lx and cut_x:
-                break  # what follows in y may match what x lacks here
-            if px < lx and x[px] == key:
+            if px < nx and x[px] == key:
                 overlap, px = overlap + 1, px + 1
             d += 1
             states.append((overlap, px))
         last, depth_done = y, d
-        if alive and overlap + min(ny - d, nx - px) >= need:
+        if overlap + min(ny - d, nx - px) >= need:
             yield item
 
 
-def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, memo_entries: int) -> DataFrame:
-    """``uid``, ``doc``, ``h`` (hash of id and text), ``sig``, ``n`` of each row and, for the first row of a set in its task, ``band``: its first n-grams."""
-    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, h long, sig binary, n int, band binary"
+def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: int) -> DataFrame:
+    """``uid``, ``doc``, ``sig``, ``n`` of each row and, for the first row of a set in its task, ``keys``: its sorted hashes."""
+    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, sig binary, n int, keys binary"
 
     def run(batches):
         import pyarrow as pa
@@ -140,28 +129,27 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m
         hashes = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries))
         uid, seen = TaskContext.get().partitionId() << 33, set()
         for b in batches:
-            sig, n, band = [], [], []
+            sig, n, keys = [], [], []
             for t in b.column(1).to_pylist():
                 s = ngram_set(t or "", k, hashes)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 sig.append(d)
                 n.append(len(s))
                 if d in seen or not len(s):
-                    band.append(None)
+                    keys.append(None)
                     continue
                 if len(seen) < 1_000_000:  # a set seen again then comes twice, and one of them goes later
                     seen.add(d)
-                keep = max(int(np.searchsorted(s, np.uint64(BAND))), prefix_length(len(s), percent), min(len(s), 32))
-                band.append(s[:keep].tobytes())
+                keys.append(s.tobytes())
             ids = pa.array(range(uid, uid + b.num_rows), pa.int64())
             uid += b.num_rows
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(band, pa.binary())], names=["uid", "doc", "h", "sig", "n", "band"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.binary())], names=["uid", "doc", "sig", "n", "keys"])
 
-    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def frequent(reps: DataFrame, most: int) -> np.ndarray:
-    """Sorted halves of the frequent n-grams among the bands, at most ``most``.
+    """Sorted halves of the frequent n-grams among the sets, at most ``most``.
 
     Every set takes part: a batch names the n-grams that three and more of its
     sets hold. The order of n-grams, and with it the work but never the result,
@@ -172,36 +160,36 @@ def frequent(reps: DataFrame, most: int) -> np.ndarray:
         import pyarrow as pa
 
         for b in batches:
-            bands = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
-            if bands:
-                u, c = np.unique(np.concatenate(bands), return_counts=True)
-                keep = (c >= 3) & (u < np.uint64(BAND))
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
+            if sets:
+                u, c = np.unique(np.concatenate(sets), return_counts=True)
+                keep = c >= 3
                 yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
 
-    rows = reps.select("band").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most).collect()
+    rows = reps.select("keys").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most).collect()
     return np.unique(np.array([r.t for r in rows], np.int64).view(np.uint64) >> np.uint64(1))
 
 
 def postings(reps: DataFrame, hot, percent: int) -> DataFrame:
-    """``token``, ``node``, ``n`` of the first n-grams of each set, in the global order."""
+    """``token``, ``node``, ``n`` and ``pos`` (from 1) of the first n-grams of each set, in the global order."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             node, size, keys = [], [], []
-            for u, n, band in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                keys.append(ordered(np.frombuffer(band, np.uint64), hot.value)[: prefix_length(n, percent)])
+            for u, n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                keys.append(ordered(np.frombuffer(own, np.uint64), hot.value)[: prefix_length(n, percent)])
                 node.append(u)
                 size.append(n)
             if keys:
                 lens = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, lens)), pa.array(np.repeat(size, lens).astype(np.int32))],
-                    names=["token", "node", "n"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, lens)), pa.array(np.repeat(size, lens).astype(np.int32)), pa.array(np.concatenate([np.arange(1, x + 1, dtype=np.int32) for x in lens]))],
+                    names=["token", "node", "n", "pos"],
                 )
 
-    return reps.select("node", "n", "band").mapInArrow(run, "token long, node long, n int")
+    return reps.select("node", "n", "keys").mapInArrow(run, "token long, node long, n int, pos int")
 
 
 def sizes_fit(nx: str, ny: str, percent: int):
@@ -209,26 +197,53 @@ def sizes_fit(nx: str, ny: str, percent: int):
     return F.expr(f"{percent} * greatest({nx}, {ny}) <= 100 * least({nx}, {ny})")
 
 
-def prefixes_fit(nx: str, ny: str, shared: str, percent: int):
+def prefixes_fit(nx: str, ny: str, px: str, py: str, shared: str, percent: int):
     """Whether sets that share so many of their first n-grams can be similar enough.
 
     Up to the smaller of the two prefixes' last n-grams, both sets lie wholly
     in their prefixes, so ``shared`` is their overlap there; beyond it, one of
-    them has no more than what its prefix leaves over.
+    them has no more than what its prefix leaves over. Likewise up to the last
+    n-gram shared there, at places ``px`` and ``py``; beyond it, the overlap
+    is no more than what follows in either.
     """
     over = lambda n: f"(({percent} * {n} + 99) div 100 - 1)"
-    return F.expr(f"{shared} + greatest({over(nx)}, {over(ny)}) >= ({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
+    most = f"least({nx} - {px}, {ny} - {py}, greatest({over(nx)}, {over(ny)}))"
+    return F.expr(f"{shared} + {most} >= ({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
+
+
+def met(pairs: DataFrame, percent: int, all_shared: bool = True) -> DataFrame:
+    """``a`` > ``b`` and ``c``, the number of n-grams they meet at, of the pairs that can be similar enough
+    (where ``all_shared`` n-grams of their prefixes are there to tell).
+
+    ``pairs`` has x, y and their xn, yn, xpos, ypos, one row per n-gram of both.
+    """
+    side = lambda c, larger: F.expr(f"if(x > y, {'x' if larger else 'y'}{c}, {'y' if larger else 'x'}{c})")
+    found = pairs.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    found = found.agg(F.count("*").alias("c"), *(F.max(side(c, k)).alias(f"{name}{c}") for k, name in ((True, "a"), (False, "b")) for c in ("n", "pos")))
+    if all_shared:
+        found = found.filter(prefixes_fit("an", "bn", "apos", "bpos", "c", percent))
+    return found.select("a", "b", "c")
+
+
+def meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``left`` (x...) and ``right`` (y...) of one n-gram that are in different components and can be similar enough.
+
+    Up to the n-gram, the overlap is at most the count of n-grams there that
+    any other set has too (``k``); beyond it, at most what follows in either.
+    """
+    most = f"least(xk, yk) + least(xn - xpos, yn - ypos) >= ({percent} * (xn + yn) + {99 + percent}) div {100 + percent}"
+    return left.join(right.withColumnRenamed("token", "ytoken"), F.expr(f"token = ytoken and xroot < yroot and {most}") & sizes_fit("xn", "yn", percent))
 
 
 def walk(pairs: DataFrame, sets: DataFrame, hot, percent: int, chunk: int = 128) -> DataFrame:
-    """The ``a``, ``b`` of ``pairs`` that the trie leaves, given ``node``, ``n``, ``keys`` (sorted hashes, maybe cut off) of the nodes.
+    """The ``a``, ``b`` of ``pairs`` that link, given ``node``, ``keys`` (sorted hashes) of the nodes.
 
     A probe's partners come in groups of about ``chunk``; each builds its own trie.
     """
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     split = pairs.join(load, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    partners = split.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "n", "keys")
-    probes = load.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", "n", "keys")
+    partners = split.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "keys")
+    probes = load.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", "keys")
 
     def compare(left, right):
         import pyarrow as pa
@@ -236,8 +251,8 @@ def walk(pairs: DataFrame, sets: DataFrame, hot, percent: int, chunk: int = 128)
         found = []
         if left.num_rows and right.num_rows:
             x = ordered(np.frombuffer(left.column("keys")[0].as_py(), np.uint64), hot.value)
-            items = [(i, n, ordered(np.frombuffer(k, np.uint64), hot.value)) for i, n, k in zip(*(right.column(f"other_{c}").to_pylist() for c in ("b", "n", "keys")), strict=True)]
-            found = list(trie_join(x, left.column("n")[0].as_py(), items, percent))
+            items = [(i, ordered(np.frombuffer(k, np.uint64), hot.value)) for i, k in zip(*(right.column(f"other_{c}").to_pylist() for c in ("b", "keys")), strict=True)]
+            found = list(trie_join(x, items, percent))
         a = left.column("a")[0].as_py() if found else 0
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
@@ -251,7 +266,7 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000, often_from: int = 24) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000, often_from: int = 24, rounds: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -264,57 +279,54 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     are in one component; an empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = stage(shingle(docs, id_col, text_col, k, percent, memo_entries), "ngram-rows")
+    rows = stage(shingle(docs, id_col, text_col, k, memo_entries), "ngram-rows")
     full = rows.filter("n > 0")
     nodes = stage(full.groupBy("sig", "n").agg(F.min("uid").alias("node"), F.min("doc").alias("least")), "ngram-nodes")
-    holders = full.filter("band is not null").select("sig", "n", "uid")
+    holders = full.filter("keys is not null").select("sig", "n", "uid")
     extra = stage(holders.join(nodes, ["sig", "n"]).filter("uid != node").select("uid"), "ngram-extra")
-    reps = full.filter("band is not null").select("uid", "n", "band").join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
+    reps = full.filter("keys is not null").select("uid", "n", "keys").join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
     seen = frequent(reps, most_hot)
     first = postings(reps, spark.sparkContext.broadcast(seen), percent)  # at most most_hot n-grams
-    often = first.groupBy("token").agg(F.count("*").alias("c")).filter((F.col("c") >= often_from) & F.col("token").between(0, (BAND >> 1) - 1)).orderBy(F.desc("c"), "token").limit(most_hot).collect()
+    often = first.groupBy("token").agg(F.count("*").alias("c")).filter((F.col("c") >= often_from) & (F.col("token") >= 0)).orderBy(F.desc("c"), "token").limit(most_hot).collect()
     hot = spark.sparkContext.broadcast(np.union1d(seen, np.array([r.token for r in often], np.uint64)))  # at most 2 * most_hot
     posts = postings(reps, hot, percent)
-    tokens = stage(posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("centre")).filter("c > 1").select("token", "centre"), "ngram-tokens")
-    shared = stage(posts.join(tokens, "token"), "ngram-shared")
-    sets = reps.select("node", "n", F.col("band").alias("keys"))
+    tokens = stage(posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "ngram-tokens")
+    both = posts.join(small(tokens), "token").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("pos")))  # of at most a prefix
+    shared = stage(both, "ngram-shared")
+    sets = reps.select("node", "keys")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        """The pairs that truly link, by whole sets made anew for the few documents in them."""
-        near = stage(walk(pairs, sets, hot, percent), "ngram-near")
-        who = stage(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "ngram-who")
-
-        def whole(batches):
-            import pyarrow as pa
-
-            hashes = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries))
-            for b in batches:
-                found = [ngram_set(t or "", k, hashes) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sig", "n", "keys"])
-
-        asked = stage(rows.select("uid", "h").join(small(who), "uid", "left_semi").select("h").distinct(), "ngram-asked")
-        texts = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col)).join(small(asked), "h", "left_semi")
-        named = texts.mapInArrow(whole, "sig binary, n int, keys binary").dropDuplicates(["sig", "n"])
-        made = stage(named.join(nodes.select("sig", "n", "node"), ["sig", "n"]).select("node", "n", "keys"), "ngram-sets")
-        return stage(walk(near, made, hot, percent), "ngram-links")
-
-    centre = shared.filter("node = centre").select("token", F.col("n").alias("cn"))
-    star = shared.filter("node != centre").join(centre, "token").filter(sizes_fit("n", "cn", percent)).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
-    nearest = F.row_number().over(W.partitionBy("b").orderBy(F.desc("c"), "a"))  # of at most a prefix of centres
-    star = star.withColumn("r", nearest).filter("r <= 2").select("a", "b")
-    links = exact(stage(star, "ngram-star"))
-    # members of an n-gram in other components than its centre, against the centre's and each other
-    roots = stage(components(links), "ngram-roots")
-    known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at_centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("croot"))
-    known = known.join(at_centre, "centre", "left").withColumn("croot", F.coalesce("croot", "centre"))
-    other = stage(known.filter("root != croot").select("token", "node", "n", "root"), "ngram-other")
-    mine = known.filter("root = croot").join(other.select("token").distinct(), "token", "left_semi").select("token", F.col("node").alias("a"), F.col("n").alias("an"))
-    across = mine.join(other, "token").filter(sizes_fit("an", "n", percent)).select("a", "node", "an", "n")
-    left = other.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
-    among = left.join(other, "token").filter(F.expr("aroot < root") & sizes_fit("an", "n", percent)).select("a", "node", "an", "n")
-    met = across.unionByName(among).groupBy(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr("if(a > node, an, n)")).alias("an"), F.first(F.expr("if(a > node, n, an)")).alias("bn"))
-    rest = exact(stage(met.filter(prefixes_fit("an", "bn", "c", percent)).select("a", "b"), "ngram-rest"))
+        """The pairs that link, by whole sets, of which only those of the nodes in the pairs move."""
+        who = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ngram-who")
+        asked = stage(sets.join(small(who), "node", "left_semi"), "ngram-sets")
+        found = stage(walk(pairs, asked, hot, percent), "ngram-links")
+        free(spark, asked)
+        return found
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("token", F.col("node").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("n", "pos", "k", "root")))
+
+    links, roots, merged = None, None, []
+    known = shared.withColumn("root", F.col("node"))
+    while len(merged) < rounds and (len(merged) < 2 or merged[-1] * 20 > merged[0]):
+        # each node against the two centres it meets most, of other components; the centres change with the round
+        centres = known.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(len(merged)))).alias("node"))
+        at = side(known.join(centres, ["token", "node"]), "x")
+        others = side(known, "y")
+        star = met(meet(at, others, percent).unionByName(meet(others.toDF("token", "x", "xn", "xpos", "xk", "xroot"), at.toDF("token", "y", "yn", "ypos", "yk", "yroot"), percent)), percent, all_shared=False)
+        place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "centre"))  # of at most a prefix of centres
+        sides = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "c").unionByName(star.select(F.col("b").alias("centre"), F.col("a").alias("node"), "c"))
+        chosen = sides.withColumn("r", place).filter("r <= 2").select(F.greatest("centre", "node").alias("a"), F.least("centre", "node").alias("b")).distinct()
+        found = exact(stage(chosen, "ngram-star"))
+        links = found if links is None else links.unionByName(found)
+        roots = stage(components(links), "ngram-roots")
+        merged.append(roots.filter("node != root").count() - sum(merged))
+        known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # what members of an n-gram are still in different components, all against each other
+    split = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    left = stage(known.join(split, "token", "left_semi").select("token", "node", "n", "pos", "k", "root"), "ngram-left")
+    among = meet(side(left, "x"), side(left, "y"), percent)
+    rest = exact(stage(met(among, percent).select("a", "b"), "ngram-rest"))
     roots = stage(components(links.unionByName(rest)), "ngram-roots")
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
