@@ -30,6 +30,10 @@ LATER = np.uint64(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+BITS = ["b0", "b1", "b2", "b3"]
+NO_BITS = np.zeros(4, np.int64)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; of at most ``limit`` entries."""
 
@@ -69,6 +73,12 @@ def ngram_set(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     return g[np.append(True, g[1:] != g[:-1])]
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits as four numbers; each n-gram flips one. Two sets differ by at least as many n-grams as their bits do."""
+    flips = np.bincount((s >> np.uint64(20)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
+    return np.packbits(flips).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """So many first n-grams of a set of n hold one of any set that is similar enough."""
     return n - -(-percent * n // 100) + 1
@@ -119,8 +129,8 @@ def trie_join(x: np.ndarray, items: list[tuple[object, np.ndarray]], percent: in
 
 
 def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: int) -> DataFrame:
-    """``uid``, ``doc``, ``sig``, ``n`` of each row and, for the first row of a set in its task, ``keys``: its sorted hashes."""
-    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, sig binary, n int, keys binary"
+    """``uid``, ``doc``, ``sig``, ``n`` of each row and, for the first row of a set in its task, ``keys``: its sorted hashes, and ``b0`` to ``b3``: bits that each of them flips."""
+    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, sig binary, n int, keys binary, b0 long, b1 long, b2 long, b3 long"
 
     def run(batches):
         import pyarrow as pa
@@ -129,7 +139,7 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: i
         hashes = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries))
         uid, seen = TaskContext.get().partitionId() << 33, set()
         for b in batches:
-            sig, n, keys = [], [], []
+            sig, n, keys, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = ngram_set(t or "", k, hashes)
                 d = xxhash.xxh3_128_digest(s.tobytes())
@@ -137,13 +147,15 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: i
                 n.append(len(s))
                 if d in seen or not len(s):
                     keys.append(None)
+                    bits.append(NO_BITS)
                     continue
                 if len(seen) < 1_000_000:  # a set seen again then comes twice, and one of them goes later
                     seen.add(d)
                 keys.append(s.tobytes())
+                bits.append(parity(s))
             ids = pa.array(range(uid, uid + b.num_rows), pa.int64())
             uid += b.num_rows
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.binary())], names=["uid", "doc", "sig", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in np.array(bits, np.int64).reshape(-1, 4).T)], names=["uid", "doc", "sig", "n", "keys", *BITS])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -200,15 +212,10 @@ def sizes_fit(nx: str, ny: str, percent: int):
 def prefixes_fit(nx: str, ny: str, px: str, py: str, shared: str, percent: int):
     """Whether sets that share so many of their first n-grams can be similar enough.
 
-    Up to the smaller of the two prefixes' last n-grams, both sets lie wholly
-    in their prefixes, so ``shared`` is their overlap there; beyond it, one of
-    them has no more than what its prefix leaves over. Likewise up to the last
-    n-gram shared there, at places ``px`` and ``py``; beyond it, the overlap
-    is no more than what follows in either.
+    ``shared`` n-grams are all they share up to the last of these, at places
+    ``px`` and ``py``; beyond it, the overlap is at most what follows in either.
     """
-    over = lambda n: f"(({percent} * {n} + 99) div 100 - 1)"
-    most = f"least({nx} - {px}, {ny} - {py}, greatest({over(nx)}, {over(ny)}))"
-    return F.expr(f"{shared} + {most} >= ({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
+    return F.expr(f"{shared} + least({nx} - {px}, {ny} - {py}) >= ({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
 
 
 def met(pairs: DataFrame, percent: int, all_shared: bool = True) -> DataFrame:
@@ -228,11 +235,15 @@ def met(pairs: DataFrame, percent: int, all_shared: bool = True) -> DataFrame:
 def meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Rows of ``left`` (x...) and ``right`` (y...) of one n-gram that are in different components and can be similar enough.
 
+    The n-gram lies among so many first ones of either that, of the rest alone,
+    the overlap needed could not come; a similar pair has such an n-gram.
     Up to the n-gram, the overlap is at most the count of n-grams there that
     any other set has too (``k``); beyond it, at most what follows in either.
     """
-    most = f"least(xk, yk) + least(xn - xpos, yn - ypos) >= ({percent} * (xn + yn) + {99 + percent}) div {100 + percent}"
-    return left.join(right.withColumnRenamed("token", "ytoken"), F.expr(f"token = ytoken and xroot < yroot and {most}") & sizes_fit("xn", "yn", percent))
+    need = f"(({percent} * (xn + yn) + {99 + percent}) div {100 + percent})"
+    near = f"xpos <= xn - {need} + 1 and ypos <= yn - {need} + 1 and least(xk, yk) + least(xn - xpos, yn - ypos) >= {need}"
+    near += f" and {' + '.join(f'bit_count(x{b} ^ y{b})' for b in BITS)} <= xn + yn - 2 * {need}"
+    return left.join(right.withColumnRenamed("token", "ytoken"), F.expr(f"token = ytoken and xroot < yroot and {near}") & sizes_fit("xn", "yn", percent))
 
 
 def walk(pairs: DataFrame, sets: DataFrame, hot, percent: int, chunk: int = 128) -> DataFrame:
@@ -266,7 +277,7 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000, often_from: int = 24, rounds: int = 3) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000, often_from: int = 24, rounds: int = 5) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -284,7 +295,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     nodes = stage(full.groupBy("sig", "n").agg(F.min("uid").alias("node"), F.min("doc").alias("least")), "ngram-nodes")
     holders = full.filter("keys is not null").select("sig", "n", "uid")
     extra = stage(holders.join(nodes, ["sig", "n"]).filter("uid != node").select("uid"), "ngram-extra")
-    reps = full.filter("keys is not null").select("uid", "n", "keys").join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
+    reps = full.filter("keys is not null").select("uid", "n", "keys", *BITS).join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
     seen = frequent(reps, most_hot)
     first = postings(reps, spark.sparkContext.broadcast(seen), percent)  # at most most_hot n-grams
     often = first.groupBy("token").agg(F.count("*").alias("c")).filter((F.col("c") >= often_from) & (F.col("token") >= 0)).orderBy(F.desc("c"), "token").limit(most_hot).collect()
@@ -292,7 +303,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     posts = postings(reps, hot, percent)
     tokens = stage(posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "ngram-tokens")
     both = posts.join(small(tokens), "token").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("pos")))  # of at most a prefix
-    shared = stage(both, "ngram-shared")
+    shared = stage(both.join(reps.select("node", *BITS), "node"), "ngram-shared")
     sets = reps.select("node", "keys")
 
     def exact(pairs: DataFrame) -> DataFrame:
@@ -304,7 +315,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         return found
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("token", F.col("node").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("n", "pos", "k", "root")))
+        return df.select("token", F.col("node").alias(name), *(F.col(c).alias(f"{name}{c}") for c in df.columns if c not in ("token", "node")))
 
     links, roots, merged = None, None, []
     known = shared.withColumn("root", F.col("node"))
@@ -313,7 +324,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         centres = known.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(len(merged)))).alias("node"))
         at = side(known.join(centres, ["token", "node"]), "x")
         others = side(known, "y")
-        star = met(meet(at, others, percent).unionByName(meet(others.toDF("token", "x", "xn", "xpos", "xk", "xroot"), at.toDF("token", "y", "yn", "ypos", "yk", "yroot"), percent)), percent, all_shared=False)
+        star = met(meet(at, others, percent).unionByName(meet(side(known, "x"), side(at.toDF("token", *(c if c == "x" else c[1:] for c in at.columns[1:])).withColumnRenamed("x", "node"), "y"), percent)), percent, all_shared=False)
         place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "centre"))  # of at most a prefix of centres
         sides = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "c").unionByName(star.select(F.col("b").alias("centre"), F.col("a").alias("node"), "c"))
         chosen = sides.withColumn("r", place).filter("r <= 2").select(F.greatest("centre", "node").alias("a"), F.least("centre", "node").alias("b")).distinct()
@@ -324,7 +335,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # what members of an n-gram are still in different components, all against each other
     split = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    left = stage(known.join(split, "token", "left_semi").select("token", "node", "n", "pos", "k", "root"), "ngram-left")
+    left = stage(known.join(split, "token", "left_semi"), "ngram-left")
     among = meet(side(left, "x"), side(left, "y"), percent)
     rest = exact(stage(met(among, percent).select("a", "b"), "ngram-rest"))
     roots = stage(components(links.unionByName(rest)), "ngram-roots")
