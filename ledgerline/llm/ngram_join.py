@@ -34,6 +34,13 @@ BITS = ["b0", "b1", "b2", "b3"]
 NO_BITS = np.zeros(4, np.int64)
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts of few rows, so that a worker holds few sets at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; of at most ``limit`` entries."""
 
@@ -138,7 +145,7 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: i
 
         hashes = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries))
         uid, seen = TaskContext.get().partitionId() << 33, set()
-        for b in batches:
+        for b in slices(batches):
             sig, n, keys, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = ngram_set(t or "", k, hashes)
@@ -160,23 +167,32 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: i
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def frequent(reps: DataFrame, most: int) -> np.ndarray:
+def frequent(reps: DataFrame, most: int, keys_held: int = 1 << 20) -> np.ndarray:
     """Sorted halves of the frequent n-grams among the sets, at most ``most``.
 
-    Every set takes part: a batch names the n-grams that three and more of its
-    sets hold. The order of n-grams, and with it the work but never the result,
+    Every set takes part: each run of sets with ``keys_held`` n-grams names those
+    that three and more of its sets hold. The order of n-grams, and with it the work but never the result,
     depends on these.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
-            if sets:
-                u, c = np.unique(np.concatenate(sets), return_counts=True)
-                keep = c >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
+        def often(held):
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            keep = c >= 3
+            return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
+
+        held, size = [], 0
+        for b in slices(batches):
+            for x in b.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.uint64))
+                size += len(held[-1])
+                if size >= keys_held:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
 
     rows = reps.select("keys").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most).collect()
     return np.unique(np.array([r.t for r in rows], np.int64).view(np.uint64) >> np.uint64(1))
@@ -188,7 +204,7 @@ def postings(reps: DataFrame, hot, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             node, size, keys = [], [], []
             for u, n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 keys.append(ordered(np.frombuffer(own, np.uint64), hot.value)[: prefix_length(n, percent)])
