@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -31,15 +32,33 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/ledgerline/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+@contextlib.contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """The session with these settings, which are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stage(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage so that a lost executor never recomputes what lies
-    before, and gives the planner true sizes for what follows.
+    before, and gives the planner true sizes for what follows. Shuffle files
+    of the step go once it is written. ``batch_rows``: rows of an Arrow batch.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    with settings(spark, conf):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,8 @@ n-gram that are still in different components against each other, so that no lin
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,8 @@ LATER = np.uint64(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+#: Rows of an Arrow batch; sets and texts are long.
+ARROW_ROWS = 1000
 BITS = ["b0", "b1", "b2", "b3"]
 NO_BITS = np.zeros(4, np.int64)
 
@@ -114,7 +118,8 @@ def trie_join(x: np.ndarray, items: list[tuple[object, np.ndarray]], percent: in
     """
     x, nx = x.tolist(), len(x)
     states, last, depth_done = [(0, 0)], [], 0
-    for item, y in sorted(((i, k.tolist()) for i, k in items), key=lambda t: t[1]):
+    for big_endian, item in sorted((k.astype(">u8").tobytes(), i) for i, k in items):  # bytes sort as the keys do
+        y = np.frombuffer(big_endian, ">u8").tolist()
         ny, shared, most = len(y), 0, min(len(y), len(last), depth_done)
         need = needed(nx, ny, percent)
         while shared < most and y[shared] == last[shared]:
@@ -135,42 +140,71 @@ def trie_join(x: np.ndarray, items: list[tuple[object, np.ndarray]], percent: in
             yield item
 
 
-def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, memo_entries: int) -> DataFrame:
-    """``uid``, ``doc``, ``sig``, ``n`` of each row and, for the first row of a set in its task, ``keys``: its sorted hashes, and ``b0`` to ``b3``: bits that each of them flips."""
-    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, sig binary, n int, keys binary, b0 long, b1 long, b2 long, b3 long"
+def distinct_sets(texts, k: int, memo_entries: int, most_seen: int = 1_000_000):
+    """(digest, set, whether it is the first of its like in this task) of each text; where over ``most_seen`` are held, one may come first again."""
+    hashes, seen = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries)), set()
+    for t in texts:
+        s = ngram_set(t or "", k, hashes)
+        d = xxhash.xxh3_128_digest(s.tobytes())
+        yield d, s, d not in seen and len(s) > 0
+        if len(seen) < most_seen:
+            seen.add(d)
+
+
+def each_text(batches, column: int = 0):
+    for b in slices(batches):
+        yield from b.column(column).to_pylist()
+
+
+def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, memo_entries: int, hot) -> DataFrame:
+    """``uid``, ``doc``, ``sig``, ``n`` of each row and, for the first row of a set in its task, ``keys``: the first n-grams of the set in the global order, and ``b0`` to ``b3``: bits that each n-gram of the set flips."""
+    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, sig binary, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        hashes = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries))
-        uid, seen = TaskContext.get().partitionId() << 33, set()
-        for b in slices(batches):
-            sig, n, keys, bits = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = ngram_set(t or "", k, hashes)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                sig.append(d)
-                n.append(len(s))
-                if d in seen or not len(s):
-                    keys.append(None)
-                    bits.append(NO_BITS)
-                    continue
-                if len(seen) < 1_000_000:  # a set seen again then comes twice, and one of them goes later
-                    seen.add(d)
-                keys.append(s.tobytes())
-                bits.append(parity(s))
-            ids = pa.array(range(uid, uid + b.num_rows), pa.int64())
-            uid += b.num_rows
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in np.array(bits, np.int64).reshape(-1, 4).T)], names=["uid", "doc", "sig", "n", "keys", *BITS])
+        uid, held = TaskContext.get().partitionId() << 33, []
+        sets = distinct_sets((held.append(i) or t for b in slices(batches) for i, t in zip(b.column(0), b.column(1).to_pylist(), strict=True)), k, memo_entries)
+
+        def rows(part):
+            nonlocal uid, held
+            sig, n, keys, bits = zip(*part, strict=True)
+            ids = pa.array(range(uid, uid + len(part)), pa.int64())
+            uid += len(part)
+            doc, held = pa.array([i.as_py() for i in held], held[0].type), []
+            columns = [ids, doc, pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in np.array(bits, np.int64).reshape(-1, 4).T)]
+            return pa.RecordBatch.from_arrays(columns, names=["uid", "doc", "sig", "n", "keys", *BITS])
+
+        part = []
+        for sig, s, new in sets:
+            part.append((sig, len(s), ordered(s, hot.value)[: prefix_length(len(s), percent)].view(np.int64) if new else None, parity(s) if new else NO_BITS))
+            if len(part) == 500:
+                yield rows(part)
+                part = []
+        if part:
+            yield rows(part)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def frequent(reps: DataFrame, most: int, keys_held: int = 1 << 20) -> np.ndarray:
-    """Sorted halves of the frequent n-grams among the sets, at most ``most``.
+def whole_sets(docs: DataFrame, text_col: str, k: int, memo_entries: int) -> DataFrame:
+    """``sig``, ``n``, ``keys`` (sorted hashes) of the texts, equal ones once a task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        new_sets = ((sig, len(s), s.tobytes()) for sig, s, new in distinct_sets(each_text(batches), k, memo_entries) if new)
+        while part := list(islice(new_sets, 200)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["sig", "n", "keys"])
+
+    return docs.select(text_col).mapInArrow(run, "sig binary, n int, keys binary")
+
 
-    Every set takes part: each run of sets with ``keys_held`` n-grams names those
+def frequent(docs: DataFrame, text_col: str, k: int, memo_entries: int, most: int, keys_held: int = 1 << 20) -> DataFrame:
+    """``t``: the frequent n-grams of the texts, at most ``most``.
+
+    Every text takes part: each run of sets with ``keys_held`` n-grams names those
     that three and more of its sets hold. The order of n-grams, and with it the work but never the result,
     depends on these.
     """
@@ -184,40 +218,31 @@ def frequent(reps: DataFrame, most: int, keys_held: int = 1 << 20) -> np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
 
         held, size = [], 0
-        for b in slices(batches):
-            for x in b.column(0).to_pylist():
-                held.append(np.frombuffer(x, np.uint64))
-                size += len(held[-1])
-                if size >= keys_held:
-                    yield often(held)
-                    held, size = [], 0
+        for _, s, new in distinct_sets(each_text(batches), k, memo_entries):
+            if new:
+                held.append(s)
+                size += len(s)
+            if size >= keys_held:
+                yield often(held)
+                held, size = [], 0
         if held:
             yield often(held)
 
-    rows = reps.select("keys").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most).collect()
-    return np.unique(np.array([r.t for r in rows], np.int64).view(np.uint64) >> np.uint64(1))
+    return docs.select(text_col).mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most)
 
 
-def postings(reps: DataFrame, hot, percent: int) -> DataFrame:
-    """``token``, ``node``, ``n`` and ``pos`` (from 1) of the first n-grams of each set, in the global order."""
+def first_ngrams(docs: DataFrame, text_col: str, k: int, percent: int, memo_entries: int, hot) -> DataFrame:
+    """``token``: the first n-grams of the sets that are not in ``hot``, each as often as a task's different sets have it there."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in slices(batches):
-            node, size, keys = [], [], []
-            for u, n, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                keys.append(ordered(np.frombuffer(own, np.uint64), hot.value)[: prefix_length(n, percent)])
-                node.append(u)
-                size.append(n)
-            if keys:
-                lens = [len(x) for x in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, lens)), pa.array(np.repeat(size, lens).astype(np.int32)), pa.array(np.concatenate([np.arange(1, x + 1, dtype=np.int32) for x in lens]))],
-                    names=["token", "node", "n", "pos"],
-                )
+        firsts = (ordered(s, hot.value)[: prefix_length(len(s), percent)] for _, s, new in distinct_sets(each_text(batches), k, memo_entries) if new)
+        while part := list(islice(firsts, 200)):
+            keys = np.concatenate(part)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keys < LATER].view(np.int64))], names=["token"])
 
-    return reps.select("node", "n", "keys").mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.select(text_col).mapInArrow(run, "token long")
 
 
 def sizes_fit(nx: str, ny: str, percent: int):
@@ -293,7 +318,7 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 500_000, most_hot: int = 200_000, often_from: int = 24, rounds: int = 5) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 200_000, most_hot: int = 200_000, often_from: int = 24, rounds: int = 5) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
@@ -304,30 +329,37 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     go last in the order (the ``most_hot`` most frequent of them; the result
     is the same for any order); a null id is never smallest; repeated rows
     are in one component; an empty table gives no row; other columns are not read.
+    The texts are read several times (whole sets are never all kept), so stage ``docs`` if it is costly to make.
     """
     spark = docs.sparkSession
-    rows = stage(shingle(docs, id_col, text_col, k, memo_entries), "ngram-rows")
+    texts = docs.select(F.col(id_col).alias("doc_"), F.col(text_col).alias("text_"))
+    how = {"text_col": "text_", "k": k, "memo_entries": memo_entries}
+    seen = stage(frequent(texts, most=most_hot, **how), "ngram-frequent", ARROW_ROWS).collect()  # at most most_hot n-grams
+    seen = np.unique(np.array([r.t for r in seen], np.int64).view(np.uint64) >> np.uint64(1))
+    often = first_ngrams(texts, percent=percent, hot=spark.sparkContext.broadcast(seen), **how).groupBy("token").agg(F.count("*").alias("c"))
+    often = stage(often.filter(F.col("c") >= often_from).orderBy(F.desc("c"), "token").limit(most_hot), "ngram-often", ARROW_ROWS).collect()
+    hot = spark.sparkContext.broadcast(np.union1d(seen, np.array([r.token for r in often], np.uint64)))  # at most 2 * most_hot
+    rows = stage(shingle(texts, "doc_", percent=percent, hot=hot, **how), "ngram-rows", ARROW_ROWS)
     full = rows.filter("n > 0")
     nodes = stage(full.groupBy("sig", "n").agg(F.min("uid").alias("node"), F.min("doc").alias("least")), "ngram-nodes")
     holders = full.filter("keys is not null").select("sig", "n", "uid")
     extra = stage(holders.join(nodes, ["sig", "n"]).filter("uid != node").select("uid"), "ngram-extra")
-    reps = full.filter("keys is not null").select("uid", "n", "keys", *BITS).join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
-    seen = frequent(reps, most_hot)
-    first = postings(reps, spark.sparkContext.broadcast(seen), percent)  # at most most_hot n-grams
-    often = first.groupBy("token").agg(F.count("*").alias("c")).filter((F.col("c") >= often_from) & (F.col("token") >= 0)).orderBy(F.desc("c"), "token").limit(most_hot).collect()
-    hot = spark.sparkContext.broadcast(np.union1d(seen, np.array([r.token for r in often], np.uint64)))  # at most 2 * most_hot
-    posts = postings(reps, hot, percent)
+    reps = full.filter("keys is not null").join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
+    posts = reps.select("node", "n", F.posexplode("keys").alias("p", "token")).select("token", "node", "n", (F.col("p") + 1).alias("pos"))
     tokens = stage(posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "ngram-tokens")
     both = posts.join(small(tokens), "token").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("pos")))  # of at most a prefix
     shared = stage(both.join(reps.select("node", *BITS), "node"), "ngram-shared")
-    sets = reps.select("node", "keys")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by whole sets, of which only those of the nodes in the pairs move."""
+        """The pairs that link, by whole sets, made anew from the texts of the nodes in the pairs."""
         who = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ngram-who")
-        asked = stage(sets.join(small(who), "node", "left_semi"), "ngram-sets")
-        found = stage(walk(pairs, asked, hot, percent), "ngram-links")
-        free(spark, asked)
+        need = stage(reps.select("node", "doc", "sig", "n").join(small(who), "node", "left_semi"), "ngram-need")
+        theirs = texts.join(small(need.select(F.col("doc").alias("of")).distinct()), F.expr("doc_ <=> of"), "left_semi")
+        made = stage(whole_sets(theirs, **how), "ngram-made", ARROW_ROWS)  # beside the sets asked for, those of texts of a repeated id
+        asked = made.join(F.broadcast(need) if need.count() <= 500_000 else need, ["sig", "n"]).select("node", "keys")
+        found = stage(walk(pairs, asked, hot, percent), "ngram-links", ARROW_ROWS)
+        for df in (who, need, made):
+            free(spark, df)
         return found
 
     def side(df: DataFrame, name: str) -> DataFrame:
