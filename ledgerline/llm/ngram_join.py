@@ -109,6 +109,18 @@ def ordered(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([half[~is_hot], half[is_hot] | LATER])
 
 
+def beginning(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of ``ordered``; only so many of the lowest hashes are looked up as it takes to have enough rare ones."""
+    want = prefix_length(len(s), percent)
+    look = want + want // 2 + 8
+    while look < len(s):
+        found = ordered(s[:look], hot)[:want]
+        if found[-1] < LATER:
+            return found
+        look *= 4
+    return ordered(s, hot)[:want]
+
+
 def trie_join(x: np.ndarray, items: list[tuple[object, np.ndarray]], percent: int):
     """The ids of ``items`` (id, ordered keys) that reach the overlap needed with x.
 
@@ -178,7 +190,7 @@ def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m
 
         part = []
         for sig, s, new in sets:
-            part.append((sig, len(s), ordered(s, hot.value)[: prefix_length(len(s), percent)].view(np.int64) if new else None, parity(s) if new else NO_BITS))
+            part.append((sig, len(s), beginning(s, hot.value, percent).view(np.int64) if new else None, parity(s) if new else NO_BITS))
             if len(part) == 500:
                 yield rows(part)
                 part = []
@@ -237,7 +249,7 @@ def first_ngrams(docs: DataFrame, text_col: str, k: int, percent: int, memo_entr
     def run(batches):
         import pyarrow as pa
 
-        firsts = (ordered(s, hot.value)[: prefix_length(len(s), percent)] for _, s, new in distinct_sets(each_text(batches), k, memo_entries) if new)
+        firsts = (beginning(s, hot.value, percent) for _, s, new in distinct_sets(each_text(batches), k, memo_entries) if new)
         while part := list(islice(firsts, 200)):
             keys = np.concatenate(part)
             yield pa.RecordBatch.from_arrays([pa.array(keys[keys < LATER].view(np.int64))], names=["token"])
@@ -365,14 +377,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("token", F.col("node").alias(name), *(F.col(c).alias(f"{name}{c}") for c in df.columns if c not in ("token", "node")))
 
-    links, roots, merged = None, None, []
+    links, merged = None, []
     known = shared.withColumn("root", F.col("node"))
     while len(merged) < rounds and (len(merged) < 2 or merged[-1] * 20 > merged[0]):
         # each node against the two centres it meets most, of other components; the centres change with the round
-        centres = known.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(len(merged)))).alias("node"))
-        at = side(known.join(centres, ["token", "node"]), "x")
-        others = side(known, "y")
-        star = met(meet(at, others, percent).unionByName(meet(side(known, "x"), side(at.toDF("token", *(c if c == "x" else c[1:] for c in at.columns[1:])).withColumnRenamed("x", "node"), "y"), percent)), percent, all_shared=False)
+        one = F.struct(*(c for c in known.columns if c != "token"))
+        at = known.groupBy("token").agg(F.min_by(one, F.xxhash64("node", F.lit(len(merged)))).alias("one")).select("token", "one.*")
+        star = met(meet(side(at, "x"), side(known, "y"), percent).unionByName(meet(side(known, "x"), side(at, "y"), percent)), percent, all_shared=False)
         place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "centre"))  # of at most a prefix of centres
         sides = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "c").unionByName(star.select(F.col("b").alias("centre"), F.col("a").alias("node"), "c"))
         chosen = sides.withColumn("r", place).filter("r <= 2").select(F.greatest("centre", "node").alias("a"), F.least("centre", "node").alias("b")).distinct()
@@ -380,10 +391,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         links = found if links is None else links.unionByName(found)
         roots = stage(components(links), "ngram-roots")
         merged.append(roots.filter("node != root").count() - sum(merged))
-        known = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # what all members of an n-gram that are in one component share links nothing more
+        now = known.drop("root").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = stage(now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"), "ngram-split")
+        before, known = known, stage(now.join(small(split), "token", "left_semi"), "ngram-left")
+        free(spark, before)
     # what members of an n-gram are still in different components, all against each other
-    split = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    left = stage(known.join(split, "token", "left_semi"), "ngram-left")
+    left = known
     among = meet(side(left, "x"), side(left, "y"), percent)
     rest = exact(stage(met(among, percent).select("a", "b"), "ngram-rest"))
     roots = stage(components(links.unionByName(rest)), "ngram-roots")
