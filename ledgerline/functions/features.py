@@ -21,7 +21,7 @@ def entropy(items: Column) -> Column:
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).cast("double").alias("sum"))
     plogp = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     step = lambda st, x: F.when(st["last"] == x, F.struct(st["last"].alias("last"), (st["run"] + 1).alias("run"), st["sum"].alias("sum"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (st["sum"] + plogp(st["run"])).alias("sum")))
-    total = F.aggregate(F.array_sort(items), start, step, lambda st: st["sum"] + plogp(st["run"]))
+    total = F.aggregate(F.array_sort(items.cast("array<string>")), start, step, lambda st: st["sum"] + plogp(st["run"]))
     return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - total / n)
 
 
