@@ -1,15 +1,22 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions only.
-
-Every source's documents form blocks. With ``parts`` of ``period`` slots, the
-i-th block of a source is released at slot floor(i * period / parts) and due
-before slot ceil((i + 1) * period / parts). Earliest deadline first among the
-released blocks then fills every slot and meets every deadline, so that at
-any time each source is less than one block from its weight. The schedule
-repeats after ``period`` slots; one period is computed, in SQL.
+"""Mixing sources to target weights by a tree of two-way splits, scheduled in DataFrame and SQL functions only.
+
+Every source's documents form blocks, and every slot of the mix takes one.
+The sources are the leaves of a Huffman tree of their weights. Of the first N
+slots of a node, its lighter child gets N times its share of the node's weight,
+rounded to the nearest whole number, and the other child the rest. So a block's
+slot follows from its number by one exact division of integers a level, at any
+length and with no period to round the weights to. A split adds at most half a
+block of deviation, which passes to a child in the ratio of child to node: each
+source is at any time less than one block from its true weight with up to three
+sources, and less than 1.7 with any number, as weights up the tree grow at least
+like Fibonacci numbers. Only the tree, one entry a source, is made on the driver.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,30 +27,53 @@ from ledgerline.llm.common import stage, table
 NO_SOURCE = "\u0000null"
 
 
-def schedule_sql(period: int) -> str:
-    """SQL for the source numbers of the slots of one period, from the array ``parts``, which sums to ``period``."""
-    due = f"cast(ceil((st.done[s] + 1) * {period}L / parts[s]) as bigint)"
-    pick = f"array_min(transform(filter(sequence(0, size(parts) - 1), s -> st.done[s] * {period}L div parts[s] <= t), s -> struct({due} as due, s as s))).s"
-    step = f"transform(array({pick}), p -> named_struct('done', transform(st.done, (v, i) -> if(i = p, v + 1L, v)), 'slots', concat(st.slots, array(p))))[0]"
-    return f"aggregate(sequence(0, {period} - 1), named_struct('done', transform(parts, x -> 0L), 'slots', cast(array() as array<int>)), (st, t) -> {step}).slots"
+#: What all weights sum to, about, as integers; a weight is off by at most 2**-51 of a slot a slot.
+UNIT = 2**50
+
+
+def tree_paths(weights: dict[str, float]) -> dict[str, list[tuple[bool, int, int]]]:
+    """Each source's way from leaf to root: (lighter child?, its weight, its parent's weight)."""
+    total = math.fsum(weights.values())
+    whole = {s: max(1, round(w / total * UNIT)) for s, w in weights.items()}
+    heap = [(w, k, s) for k, (s, w) in enumerate(sorted(whole.items()))]
+    heapq.heapify(heap)
+    up = {}
+    for k in range(len(heap), 2 * len(heap) - 1):
+        (a, i, x), (b, j, y) = heapq.heappop(heap), heapq.heappop(heap)
+        node = k  # leaves are named by source, inner nodes by number
+        up[x], up[y] = (True, a, a + b, node), (False, b, a + b, node)
+        heapq.heappush(heap, (a + b, k, node))
+    out = {}
+    for s in whole:
+        way, at = [], s
+        while at in up:
+            way.append(up[at][:3])
+            at = up[at][3]
+        out[s] = way
+    return out
+
+
+def slot_sql(block: str) -> str:
+    """The slot of a source's block of this number, from the array ``_path``.
+
+    With child weight w in W: the lighter child's i-th is at ceil((2i + 1) W / 2w) - 1 of its parent's, the other's at floor of the same.
+    """
+    return f"aggregate(_path, {block}, (i, p) -> (cast(2 * i + 1 as decimal(20,0)) * cast(p.whole as decimal(17,0)) - if(p.light, 1, 0)) div (2 * p.part))"
+
+
+def blocks_sql(slots: str) -> str:
+    """How many blocks a source has in the first ``slots`` slots of the mix, from ``_path``."""
+    due = "(cast(2 * n as decimal(20,0)) * cast(if(p.light, p.part, p.whole - p.part) as decimal(17,0)) + p.whole) div (2 * p.whole)"
+    return f"aggregate(reverse(_path), {slots}, (n, p) -> if(p.light, {due}, n - {due}))"
 
 
-def target_parts(counts: DataFrame, weights: dict | None, alpha: float, period: int) -> DataFrame:
-    """``_src``, ``_n``, ``_parts``: whole shares of ``period``, by largest remainder, at least one each."""
+def source_paths(counts: DataFrame, weights: dict | None, alpha: float) -> DataFrame:
+    """``_src``, ``_n``, ``_path`` of the weighted sources."""
     spark = counts.sparkSession
-    if weights is not None:
-        named = spark.createDataFrame([(NO_SOURCE if k is None else str(k), float(v)) for k, v in weights.items()], "_src string, _w double")
-        counts = counts.join(F.broadcast(named), "_src")  # as many rows as the caller named
-    else:
-        counts = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(alpha)))
-    everyone = W.partitionBy(F.lit(1))  # one row a source
-    raw = F.col("_w") / F.sum("_w").over(everyone) * period
-    one = F.when(F.min("_raw").over(everyone) < 1, 1).otherwise(0)  # a slot is set aside for each source only if some share is below one
-    counts = counts.withColumn("_raw", raw).withColumn("_one", one).withColumn("_free", period - F.col("_one") * F.count("*").over(everyone))
-    shares = counts.withColumn("_share", F.round(F.col("_raw") / period * F.col("_free"), 6)).withColumn("_floor", F.floor("_share"))
-    left = F.col("_free") - F.sum("_floor").over(everyone)
-    place = F.row_number().over(everyone.orderBy(F.desc(F.col("_share") - F.col("_floor")), "_src"))
-    return shares.withColumn("_left", left).withColumn("_place", place).select("_src", "_n", (F.col("_floor") + F.col("_one") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("_parts"))
+    named = None if weights is None else {NO_SOURCE if k is None else str(k): float(v) for k, v in weights.items()}
+    rows = [(r._src, r._n) for r in counts.collect() if named is None or r._src in named]  # one row a source
+    paths = tree_paths({s: named[s] if named is not None else float(n) ** alpha for s, n in rows}) if rows else {}
+    return spark.createDataFrame([(s, n, paths[s]) for s, n in rows], "_src string, _n long, _path array<struct<light: boolean, part: bigint, whole: bigint>>")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 8, period: int = 240, max_sources: int = 200, keep: list[str] | None = None) -> DataFrame:
@@ -57,7 +87,8 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source
 
     A null source is a source of its own; repeated rows and null ids each
     count; an empty table gives an empty mix. ``keep`` names the columns to
-    carry (all by default); only they are shuffled. Sources must be at most
+    carry (all by default); only they are shuffled. ``period`` has no effect:
+    weights are not rounded to one. Sources must be at most
     ``max_sources`` (one row each is brought together), else it raises.
     Within a source, rows are ranked in (source, hash bucket) groups whose
     number grows with the table, so a source with most rows is spread over
@@ -76,23 +107,12 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source
     sizes = stage(ids.groupBy("_src", bucket.alias("_b")).agg(F.count("*").alias("_n")), "mix-sizes")
     counts = sizes.groupBy("_src").agg(F.sum("_n").alias("_n"))
     found = counts.count()
-    if found > min(max_sources, period):
-        raise ValueError(f"{found} sources; at most {min(max_sources, period)} can be weighed in periods of {period} slots")
-    parts = target_parts(counts, weights, alpha, period)
-    slots = (
-        parts.agg(F.sort_array(F.collect_list(F.struct("_src", "_n", "_parts"))).alias("all"))
-        .select("all", F.expr("transform(all, x -> x._parts)").alias("parts"))
-        .filter("size(parts) > 0")
-        .select("all", F.expr(schedule_sql(period)).alias("slots"))
-        .select(F.posexplode("all").alias("_s", "x"), "slots")
-        .select("x.*", F.expr("filter(transform(slots, (s, t) -> if(s = _s, t, null)), t -> t is not null)").alias("_slots"))
-    )
+    if found > max_sources:
+        raise ValueError(f"{found} sources; at most {max_sources} can be weighed")
     # the slot of a source's last needed block, and the mix's length: the longest of these
-    end_block = f"((_n - 1) div {block_rows})"
-    last = F.expr(f"({end_block} div _parts) * {period}L + _slots[cast({end_block} % _parts as int)]")
-    plan = slots.withColumn("_end", F.max(last).over(W.partitionBy(F.lit(1))) + 1)
-    taken = F.expr(f"((_end div {period}L) * _parts + size(filter(_slots, t -> t < _end % {period}L))) * {block_rows}L")
-    plan = stage(plan.withColumn("_taken", taken), "mix-plan")  # one row a source
+    last = F.expr(slot_sql(f"(_n - 1) div {block_rows}"))
+    plan = source_paths(counts, weights, alpha).withColumn("_end", F.max(last).over(W.partitionBy(F.lit(1))) + 1)
+    plan = stage(plan.withColumn("_taken", F.expr(f"{blocks_sql('_end')} * {block_rows}L")), "mix-plan")  # one row a source
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_src").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("_src", "_b", before.alias("_before"))
     ranked = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(W.partitionBy("_src", "_b").orderBy("_h")))
@@ -100,7 +120,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source
     index = F.col("_before") + F.col("_r") - 1
     placed = place.withColumn("_i", index).withColumn("_epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_taken - _i + _n - 1) div _n - 1))")))
     at = F.col("_epoch") * F.col("_n") + F.col("_i")
-    placed = placed.withColumn("_at", at).withColumn("_block", F.expr(f"_at div {block_rows}")).withColumn("_slot", F.expr(f"(_block div _parts) * {period}L + _slots[cast(_block % _parts as int)]"))
+    placed = placed.withColumn("_at", at).withColumn("_block", F.expr(f"_at div {block_rows}")).withColumn("_slot", F.expr(slot_sql("_block")))
     names = docs.columns if keep is None else keep
     return placed.select(*names, F.expr(f"nullif(_src, '{NO_SOURCE}')").alias("_source"), "_epoch", "_block", F.col("_slot").cast("long").alias("_slot"), F.expr(f"_slot * {block_rows}L + _at % {block_rows}").alias("_position"))
 
