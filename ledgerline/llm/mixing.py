@@ -76,7 +76,7 @@ def source_paths(counts: DataFrame, weights: dict | None, alpha: float) -> DataF
     return spark.createDataFrame([(s, n, paths[s]) for s, n in rows], "_src string, _n long, _path array<struct<light: boolean, part: bigint, whole: bigint>>")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 8, period: int = 240, max_sources: int = 200, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 8, period: int = 240, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` in the mix, with ``_source``, ``_epoch``, ``_block``, ``_slot`` and ``_position``.
 
     ``weights`` gives each source's target weight (sources not named stay
@@ -88,8 +88,8 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source
     A null source is a source of its own; repeated rows and null ids each
     count; an empty table gives an empty mix. ``keep`` names the columns to
     carry (all by default); only they are shuffled. ``period`` has no effect:
-    weights are not rounded to one. Sources must be at most
-    ``max_sources`` (one row each is brought together), else it raises.
+    weights are not rounded to one. Sources may be any number: one entry each
+    is brought to the driver, and one row each is broadcast.
     Within a source, rows are ranked in (source, hash bucket) groups whose
     number grows with the table, so a source with most rows is spread over
     all tasks.
@@ -106,9 +106,6 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source
     bucket = F.substring("_h", 1, digits)
     sizes = stage(ids.groupBy("_src", bucket.alias("_b")).agg(F.count("*").alias("_n")), "mix-sizes")
     counts = sizes.groupBy("_src").agg(F.sum("_n").alias("_n"))
-    found = counts.count()
-    if found > max_sources:
-        raise ValueError(f"{found} sources; at most {max_sources} can be weighed")
     # the slot of a source's last needed block, and the mix's length: the longest of these
     last = F.expr(slot_sql(f"(_n - 1) div {block_rows}"))
     plan = source_paths(counts, weights, alpha).withColumn("_end", F.max(last).over(W.partitionBy(F.lit(1))) + 1)
@@ -116,7 +113,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.9, source
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_src").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("_src", "_b", before.alias("_before"))
     ranked = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(W.partitionBy("_src", "_b").orderBy("_h")))
-    place = ranked.join(base, ["_src", "_b"]).join(F.broadcast(plan), "_src")  # plan: at most max_sources rows
+    place = ranked.join(base, ["_src", "_b"]).join(F.broadcast(plan), "_src")  # plan: one row a source
     index = F.col("_before") + F.col("_r") - 1
     placed = place.withColumn("_i", index).withColumn("_epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_taken - _i + _n - 1) div _n - 1))")))
     at = F.col("_epoch") * F.col("_n") + F.col("_i")

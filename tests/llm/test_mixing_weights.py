@@ -49,3 +49,9 @@ def test_slots_are_a_bijection(spark):
     near = plan.join(counts, "s").withColumn("i", F.explode(F.expr("sequence(greatest(0L, k - 3), k + 3)")))
     for r in near.withColumn("slot", F.expr(mixing.slot_sql("i"))).collect():
         assert (r.slot < n) == (r.i < r.k)
+
+
+def test_any_number_of_sources(spark):
+    sizes = {f"site{i}": 1 + i % 5 for i in range(1200)}
+    order = schedule(spark, sizes)
+    assert set(order) == set(sizes) and worst(order, {s: n**0.9 for s, n in sizes.items()}) < 1.7
