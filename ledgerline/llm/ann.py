@@ -37,13 +37,37 @@ def balanced(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
 
 
 class Graph:
-    """Centres joined to their nearest others; best-first search from a few entries."""
+    """Centres joined to their nearest others, both ways; best-first search from entries that lie far apart.
 
-    def __init__(self, c: np.ndarray, degree: int = 24):
+    Each entry is the centre farthest from the entries before it, one in
+    ``spread`` centres and 16 at least; a part of the graph that holds none of
+    these gets one more, so every centre can be reached.
+    """
+
+    def __init__(self, c: np.ndarray, degree: int = 24, spread: int = 16):
         self.c = c
         d = ((c * c).sum(1) / 2)[None, :] - c @ c.T
-        self.links = np.argsort(d, 1)[:, 1 : degree + 1] if len(c) > 1 else np.zeros((len(c), 0), int)
-        self.entries = np.unique(np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int))
+        np.fill_diagonal(d, -np.inf)
+        near = np.argsort(d, 1)[:, 1 : degree + 1] if len(c) > 1 else np.zeros((len(c), 0), int)
+        a, b = np.repeat(np.arange(len(c)), near.shape[1]), near.ravel()
+        both = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([b, a])], 1), axis=0)
+        self.links = np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, len(c))))
+        entries, gap = [0], ((c - c[0]) ** 2).sum(1)
+        while len(entries) < min(len(c), max(16, len(c) // spread)) and gap.max() > 0:
+            entries.append(int(gap.argmax()))
+            gap = np.minimum(gap, ((c - c[entries[-1]]) ** 2).sum(1))
+        reached, ahead = np.zeros(len(c), bool), list(entries)
+        while True:
+            while ahead:
+                i = ahead.pop()
+                if not reached[i]:
+                    reached[i] = True
+                    ahead.extend(self.links[i][~reached[self.links[i]]].tolist())
+            if reached.all():
+                break
+            ahead = [int(np.flatnonzero(~reached)[0])]
+            entries += ahead
+        self.entries = np.array(entries)
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(centres, squared distances) of about the ``width`` nearest, nearest first."""
