@@ -129,7 +129,7 @@ def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float, apart: fl
 
 
 def build_lists(rows: DataFrame, list_rows: int = 256, copies: int = 4, border: float = 0.25, sample_rows: int = 16_000, max_centres: int = 4096) -> tuple[DataFrame, np.ndarray]:
-    """(posting lists ``cell``, ``id``, ``vec``; centres). Centres are fitted on at most ``sample_rows`` vectors; every row is indexed."""
+    """(posting lists ``cell``, ``id``, ``vec``, ``home``: the vector's nearest list?; centres). Centres are fitted on at most ``sample_rows`` vectors; every row is indexed."""
     n = rows.count()
     c = balanced(sample(rows, sample_rows), int(min(max_centres, max(1, n // list_rows), sample_rows // 8)))
     held = rows.sparkSession.sparkContext.broadcast(c)  # max_centres x dimensions
@@ -140,9 +140,10 @@ def build_lists(rows: DataFrame, list_rows: int = 256, copies: int = 4, border:
         for b in batches:
             if b.num_rows:
                 r, cell = lists_of(matrix(b.column(1)), held.value, copies, border)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r))], names=["cell", "id", "vec"])
+                home = np.append(True, r[1:] != r[:-1])  # a row's nearest list comes first
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(home)], names=["cell", "id", "vec", "home"])
 
-    return stage(rows.mapInArrow(run, "cell int, id long, vec array<double>"), "ann-lists"), c
+    return stage(rows.mapInArrow(run, "cell int, id long, vec array<double>, home boolean"), "ann-lists"), c
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 32, share: float = 0.16, ratio: float = 0.35, shard_rows: int = 4096, **index) -> DataFrame:
@@ -150,7 +151,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     A query scans at most ``lists`` lists or ``share`` of all, whichever is
     more, and of these the lists whose centre is within ``1 + ratio`` of the
-    nearest centre's distance. A share, as in data without clusters the same
+    nearest centre's distance; where these hold fewer than k other ids, the next
+    nearest lists too, until they do or no list is left. A share, as in data without clusters the same
     recall takes the same share of the lists at every size. Lists with more than
     ``shard_rows`` vectors, such as those of one very common vector, are
     scanned in shards by different tasks. A query's own id is no candidate;
@@ -165,6 +167,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted, c = build_lists(rows, **index)
     width = max(lists, -int(-share * len(c) // 1))
+    # each id counts in one list, so that a sum over lists is at most the number of different ids in them
+    homes = posted.filter("home").groupBy("id").agg(F.min("cell").alias("cell")).groupBy("cell").count()
+    ids_in = np.zeros(len(c), np.int64)
+    for r in homes.collect():  # one row a centre, max_centres at most
+        ids_in[r["cell"]] = r["count"]
     held = spark.sparkContext.broadcast(c)
     key = f"graph {id(c)} {spark.sparkContext.applicationId} {c[:1].tobytes()!r} {len(c)}"
 
@@ -180,6 +187,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             for i in range(len(q)):
                 at, d = g.search(q[i], width)
                 near = at[np.sqrt(d) <= np.sqrt(d[0]) * (1 + ratio) + 1e-12]
+                if ids_in[near].sum() <= k:  # the query itself may be one of them
+                    order = np.argsort(((g.c - q[i]) ** 2).sum(1), kind="stable")
+                    enough = int(np.searchsorted(ids_in[order].cumsum(), k, side="right")) + 1
+                    near = np.union1d(near, order[:enough])
                 rows += [i] * len(near)
                 cells += near.tolist()
             take = pa.array(rows, pa.int64())
