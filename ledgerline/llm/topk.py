@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import stage, table
-from ledgerline.llm.vectors import best, centroids, matrix, nearest, query_blocks, sample, usable
+from ledgerline.llm.vectors import best, centroids, matrix, nearest, query_blocks, sample, sample_rows_of, usable
 
 
 def build_blocks(rows: DataFrame, block_rows: int = 128, sample_rows: int = 4000, ranges: int = 64) -> DataFrame:
@@ -100,12 +100,12 @@ def search_blocks(qid, q, blocks, top_score, top_id, k: int) -> int:
             who = active[nth == b]
             ids, x = blocks[b][:2]
             score = np.rint(q[who].astype(float) @ x.T.astype(float)).astype(np.int64)
-            if len(ids) > 4 * k:  # the k + 1 best of the block, one of which may be the query itself, with their ties
-                kth = np.partition(score, len(ids) - k - 1, 1)[:, len(ids) - k - 1 : len(ids) - k]
+            score = np.where(ids[None, :] == qid[who][:, None], NONE, score)
+            if len(ids) > 4 * k:  # the k best of the block, with their ties; rows with the query's id are out already
+                kth = np.partition(score, len(ids) - k, 1)[:, len(ids) - k : len(ids) - k + 1]
                 keep = (score >= kth) & (score >= top_score[who, -1:])
                 cols = np.flatnonzero(keep.any(0))
                 score, ids = score[:, cols], ids[cols]
-            score = np.where(ids[None, :] == qid[who][:, None], NONE, score)
             top_score[who], top_id[who] = merge(top_score[who], top_id[who], score, ids, k)
             scored += len(who)
     return scored
@@ -125,15 +125,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     whole = lambda df: usable(df, id_col, vec_col, False).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
     rows, asked = whole(vectors), whole(queries).dropDuplicates(["id"])
     index = stage(build_blocks(rows, block_rows), "topk-blocks")
-    seeds = sample(rows, 1500)
+    seed_ids, seeds = sample_rows_of(rows, 1500)
     found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for qid, q in query_blocks(asked, queries_at_once):
         q = q.astype(np.int64)
-        # the (k + 1)-th score among a few vectors is a floor for the k-th among all others
+        # the k-th score among a few rows that do not carry the query's id is a floor for the k-th among all such rows
         floor = np.full(len(q), NONE)
-        if len(seeds) > k:
-            s = q.astype(float) @ seeds.T
-            floor = np.partition(s, len(seeds) - k - 1, 1)[:, len(seeds) - k - 1].astype(np.int64)
+        if len(seeds) >= k:
+            s = np.where(seed_ids[None, :] == qid[:, None], float(NONE), q.astype(float) @ seeds.T)
+            floor = np.partition(s, len(seeds) - k, 1)[:, len(seeds) - k].astype(np.int64)
         held = spark.sparkContext.broadcast((qid, q, floor))
 
         def run(batches, held=held):

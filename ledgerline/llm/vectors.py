@@ -26,8 +26,13 @@ def matrix(column) -> np.ndarray:
 
 def sample(rows: DataFrame, limit: int) -> np.ndarray:
     """At most ``limit`` vectors, those of smallest id hash."""
-    top = rows.orderBy(F.xxhash64("id"), "id").limit(limit).select("vec").collect()
-    return np.array([r.vec for r in top]) if top else np.zeros((0, 1))
+    return sample_rows_of(rows, limit)[1]
+
+
+def sample_rows_of(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of ``sample``."""
+    top = rows.orderBy(F.xxhash64("id"), "id").limit(limit).select("id", "vec").collect()
+    return np.array([r.id for r in top], np.int64), np.array([r.vec for r in top]) if top else np.zeros((0, 1))
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
