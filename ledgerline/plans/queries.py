@@ -458,7 +458,7 @@ def score_rouge_l(spark, sf):
 
 @query()
 def score_code_similarity(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", T.code_similarity(F.substring("prediction", 1, 2000), F.substring("gold", 1, 2000)).alias("similarity"))
+    return _turns(spark, sf).select("conv_id", "turn", T.code_similarity(F.col("prediction"), F.col("gold")).alias("similarity"))
 
 
 @query("SELECT page_id, CASE WHEN len(n) = 0 THEN 0.0 ELSE len(list_filter(n, lambda x: x = '2')) / len(n) END::DOUBLE AS score FROM (SELECT page_id, regexp_extract_all(url, '(\\d+)', 1) AS n FROM pages)")
