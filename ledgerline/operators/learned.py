@@ -18,44 +18,59 @@ def standardize(train: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x - train.mean(0)) / np.where(sd > 0, sd, 1.0)
 
 
-def _tree(x, g, depth, bins, least):
-    """(feature, threshold, left, right) or a leaf value, by largest gain of the squared-error split."""
-    value = g.mean() if len(g) else 0.0
-    if depth == 0 or len(g) < 2 * least:
-        return value
-    best = None
-    for f in range(x.shape[1]):
-        for t in bins[f]:
-            left = x[:, f] <= t
-            n = left.sum()
-            if n < least or len(g) - n < least:
-                continue
-            s = g[left].sum()
-            gain = s * s / n + (g.sum() - s) ** 2 / (len(g) - n)
-            if best is None or gain > best[0] + 1e-12:
-                best = (gain, f, t, left)
-    if best is None or best[0] <= g.sum() ** 2 / len(g) + 1e-12:
-        return value
-    _, f, t, left = best
-    return f, t, _tree(x[left], g[left], depth - 1, bins, least), _tree(x[~left], g[~left], depth - 1, bins, least)
-
-
-def _predict(tree, x):
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    f, t, left, right = tree
-    out, go = np.empty(len(x)), x[:, f] <= t
-    out[go], out[~go] = _predict(left, x[go]), _predict(right, x[~go])
-    return out
+def _thresholds(v: np.ndarray, bins: int) -> np.ndarray:
+    """Between all distinct values if they are at most ``bins``, else at quantiles."""
+    u = np.unique(v)
+    if len(u) <= bins:
+        return (u[:-1] + u[1:]) / 2
+    return np.unique(np.percentile(v, np.linspace(0, 100, bins + 1)[1:-1], method="midpoint"))
+
 
+def _grow(binned: np.ndarray, g: np.ndarray, depth: int, width: int, least: int):
+    """Per level (split feature or -1, bin) of each node, and the means of the last level's nodes; all nodes of a level at once.
 
-def boost(train: np.ndarray, y: np.ndarray, x: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.1, bins: int = 16, least: int = 10) -> np.ndarray:
-    """Predictions for x of gradient-boosted trees on quantile bins."""
-    edges = [np.unique(np.quantile(train[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(train.shape[1])]
+    A node takes the split of largest squared-error gain, both sides of at
+    least ``least`` rows; one without such a split passes its rows to the left.
+    """
+    node, levels = np.zeros(len(g), np.int64), []
+    for level in range(depth):
+        m = 2**level
+        best, feature, cut = np.full(m, 1e-12), np.full(m, -1), np.zeros(m, np.int64)
+        for f in range(binned.shape[1]):
+            at = node * width + binned[:, f]
+            n = np.bincount(at, minlength=m * width).reshape(m, width).cumsum(1)
+            s = np.bincount(at, g, m * width).reshape(m, width).cumsum(1)
+            all_n, all_s = n[:, -1:], s[:, -1:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = s * s / n + (all_s - s) ** 2 / (all_n - n) - all_s**2 / all_n
+            gain = np.where((n >= least) & (all_n - n >= least), gain, -np.inf)
+            t = gain.argmax(1)
+            gain = gain[np.arange(m), t]
+            better = gain > best + 1e-12
+            best, feature, cut = np.where(better, gain, best), np.where(better, f, feature), np.where(better, t, cut)
+        levels.append((feature, cut))
+        node = _step(binned, node, feature, cut)
+    n = np.bincount(node, minlength=2**depth)
+    return levels, np.bincount(node, g, 2**depth) / np.maximum(n, 1), node
+
+
+def _step(binned, node, feature, cut):
+    f = feature[node]
+    return 2 * node + ((f >= 0) & (binned[np.arange(len(node)), f] > cut[node]))
+
+
+def boost(train: np.ndarray, y: np.ndarray, x: np.ndarray, rounds: int = 300, depth: int = 4, rate: float = 0.05, bins: int = 255, least: int = 20) -> np.ndarray:
+    """Predictions for x of gradient-boosted histogram trees; by default with the published settings."""
+    edges = [_thresholds(train[:, f], bins) for f in range(train.shape[1])]
+    binned = [np.stack([np.searchsorted(e, m[:, f]) for f, e in enumerate(edges)], 1) for m in (train, x)]
     at, out = np.full(len(y), y.mean()), np.full(len(x), y.mean())
     for _ in range(rounds):
-        tree = _tree(train, y - at, depth, edges, least)
-        at, out = at + rate * _predict(tree, train), out + rate * _predict(tree, x)
+        levels, value, node = _grow(binned[0], y - at, depth, bins + 1, least)
+        at = at + rate * value[node]
+        node = np.zeros(len(x), np.int64)
+        for feature, cut in levels:
+            node = _step(binned[1], node, feature, cut)
+        out = out + rate * value[node]
     return out
 
 
