@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stage
+from ledgerline.llm.common import free, stage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round points every node's larger neighbours at its smallest one, then
     likewise for smaller neighbours, and is written to the shared folder; it
     ends when a round changes nothing. Minima are combined before shuffles.
+    The answer reads one staged table; those of earlier rounds are deleted.
     """
+    spark = edges.sparkSession
     e = stage(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
     mark = None
     while True:
@@ -27,4 +29,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = stage(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, e = e, stage(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        free(spark, before)
+        free(spark, large)

@@ -1,16 +1,19 @@
-"""Exact Jaccard self-join of n-gram sets with a prefix tree.
-
-All sets share one global order of n-grams. Two sets that are similar enough
-share an n-gram among the first few of each, so only documents that meet there
-are compared: the ordered sets of a probe's partners form a trie (a sorted
-list in which neighbours share their common beginning), whose traversal carries
-the overlap of a shared beginning on and leaves a branch when what remains of
-both sets cannot reach the overlap needed.
-
-Equal sets are one node. Links among nodes are found in rounds: in the first few, each
-node against the two centres (one member of an n-gram, another in each round) it meets most,
-which joins groups of near copies without making all their pairs; then the members of an
-n-gram that are still in different components against each other, so that no link between components is lost.
+"""Exact Jaccard self-join of n-gram sets with prefix trees.
+
+All sets share one global order of n-grams: rare ones by hash, then the frequent
+ones. Two sets that are similar enough share an n-gram among the first few of
+each, so every n-gram found in the beginnings of several sets is the root of a
+subtree: the beginnings of these sets from that n-gram on, stored as a compact
+trie. A set is joined with a trie by one walk from its root. What the set shares
+with the path walked so far holds for every set below it, and a subtree is left
+as soon as what remains of the set and of the longest set below cannot reach the
+overlap needed. What survives the beginnings is walked again with whole sets.
+
+Equal sets are one node. Links are found in rounds: in the first few, each
+subtree's members are joined with one of them only (another in each round), which
+joins groups of near copies without making their pairs; then the subtrees whose
+members are still in different components are joined with themselves, so that
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from itertools import islice
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import free, stage, table
@@ -30,12 +32,10 @@ from ledgerline.llm.wordtokens import worker_cache
 #: Keys of n-grams have 63 bits; those of the frequent ones come after all others.
 LATER = np.uint64(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
 #: Rows of an Arrow batch; sets and texts are long.
 ARROW_ROWS = 1000
-BITS = ["b0", "b1", "b2", "b3"]
-NO_BITS = np.zeros(4, np.int64)
+#: Keys of a trie's edge that are compared at once.
+STEP = 64
 
 
 def slices(batches, rows: int = 500):
@@ -60,7 +60,7 @@ class WordHashes(dict):
 
 
 def ngram_set(text: str, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's k-word shingles; of fewer words, one for the whole sequence; of none, empty.
+    """Sorted distinct 63-bit hashes of the text's k-word shingles; of fewer words, one for the whole sequence; of none, empty.
 
     A-Z is lower-cased; words are runs of anything but space and the
     characters from tab to carriage return, as bytes.split() has them.
@@ -70,7 +70,7 @@ def ngram_set(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     if n < k:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n) >> 1], np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     g = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
@@ -80,37 +80,31 @@ def ngram_set(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     g ^= g >> np.uint64(29)
     g *= _MIX[1]
     g ^= g >> np.uint64(32)
+    g >>= np.uint64(1)
     g.sort()
     return g[np.append(True, g[1:] != g[:-1])]
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """256 bits as four numbers; each n-gram flips one. Two sets differ by at least as many n-grams as their bits do."""
-    flips = np.bincount((s >> np.uint64(20)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
-    return np.packbits(flips).view(np.int64)
-
-
 def prefix_length(n: int, percent: int) -> int:
     """So many first n-grams of a set of n hold one of any set that is similar enough."""
     return n - -(-percent * n // 100) + 1
 
 
-def needed(nx: int, ny: int, percent: int) -> int:
+def needed(nx, ny, percent: int):
     """Least overlap of sets of these sizes with 100 * overlap >= percent * union."""
     return -(-percent * (nx + ny) // (100 + percent))
 
 
 def ordered(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Sort keys of sorted hashes (their halves): the frequent ones (``hot``, sorted halves) last."""
-    half = s >> np.uint64(1)
+    """Sort keys of sorted hashes: the frequent ones (``hot``, sorted) last."""
     if not len(hot) or not len(s):
-        return half
-    is_hot = hot[np.minimum(np.searchsorted(hot, half), len(hot) - 1)] == half
-    return np.concatenate([half[~is_hot], half[is_hot] | LATER])
+        return s
+    is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+    return np.concatenate([s[~is_hot], s[is_hot] | LATER])
 
 
 def beginning(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of ``ordered``; only so many of the lowest hashes are looked up as it takes to have enough rare ones."""
+    """The first ``prefix_length`` of ``ordered``; only so many of the lowest hashes are looked up as it takes to have enough rare ones."""
     want = prefix_length(len(s), percent)
     look = want + want // 2 + 8
     while look < len(s):
@@ -121,290 +115,397 @@ def beginning(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     return ordered(s, hot)[:want]
 
 
-def trie_join(x: np.ndarray, items: list[tuple[object, np.ndarray]], percent: int):
-    """The ids of ``items`` (id, ordered keys) that reach the overlap needed with x.
-
-    Items are walked in order of their keys as the leaves of a trie; (overlap,
-    place in x) at each depth of the last walk holds for the beginning that
-    the next item shares.
+class Branch:
+    """A node of a compact trie: the edge ``keys[start:end]`` to it, the ``sets`` that end at it, and of all sets below it the least size and the most that remains from the root on."""
+
+    __slots__ = ("children", "end", "keys", "least", "most", "sets", "start")
+
+    def __init__(self, keys, start: int, end: int):
+        self.keys, self.start, self.end, self.children, self.sets = keys, start, end, [], []
+
+
+def build_trie(sets: list[tuple]) -> Branch:
+    """The compact trie of ``sets``: (keys in global order, size, what remains of the size from the root on, mark)."""
+    root = Branch(None, 0, 0)
+    path, last = [root], None
+    for keys, n, rest, mark in sorted(sets, key=lambda s: s[0].astype(">u8").tobytes()):  # bytes sort as the keys do
+        shared = 0
+        if last is not None:
+            most = min(len(keys), len(last))
+            differ = keys[:most] != last[:most]
+            shared = int(differ.argmax()) if differ.any() else most
+        below = None
+        while path[-1].end > shared:
+            below = path.pop()
+        if below is not None and path[-1].end < shared:  # the edge to it forks
+            fork = Branch(below.keys, below.start, shared)
+            fork.children.append(below)
+            below.start = shared
+            path[-1].children[-1] = fork
+            path.append(fork)
+        if len(keys) > shared or last is None:
+            leaf = Branch(keys, shared, len(keys))
+            path[-1].children.append(leaf)
+            path.append(leaf)
+        path[-1].sets.append((n, rest, mark))
+        last = keys
+    order, at = [root], 0
+    while at < len(order):
+        order += order[at].children
+        at += 1
+    for b in reversed(order):
+        b.least = min([s[0] for s in b.sets] + [c.least for c in b.children])
+        b.most = max([s[1] for s in b.sets] + [c.most for c in b.children])
+    return root
+
+
+def walk_trie(x: np.ndarray, nx: int, rest: int, root: Branch, percent: int, base: int = 0) -> list:
+    """The marks of the sets in the trie that can reach the overlap needed with a set of size nx.
+
+    ``x``: its first keys from the root on, of ``rest`` that remain; ``base``:
+    the overlap up to the root. Keys that either side does not give count as
+    shared, so with whole sets the answer is exact, else it lacks no set.
     """
-    x, nx = x.tolist(), len(x)
-    states, last, depth_done = [(0, 0)], [], 0
-    for big_endian, item in sorted((k.astype(">u8").tobytes(), i) for i, k in items):  # bytes sort as the keys do
-        y = np.frombuffer(big_endian, ">u8").tolist()
-        ny, shared, most = len(y), 0, min(len(y), len(last), depth_done)
-        need = needed(nx, ny, percent)
-        while shared < most and y[shared] == last[shared]:
-            shared += 1
-        del states[shared + 1 :]
-        overlap, px = states[shared]
-        d = shared
-        while d < ny and overlap + min(ny - d, nx - px) >= need:
-            key = y[d]
-            while px < nx and x[px] < key:
-                px += 1
-            if px < nx and x[px] == key:
-                overlap, px = overlap + 1, px + 1
-            d += 1
-            states.append((overlap, px))
-        last, depth_done = y, d
-        if overlap + min(ny - d, nx - px) >= need:
-            yield item
-
-
-def distinct_sets(texts, k: int, memo_entries: int, most_seen: int = 1_000_000):
-    """(digest, set, whether it is the first of its like in this task) of each text; where over ``most_seen`` are held, one may come first again."""
-    hashes, seen = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries)), set()
+    found, stack, size = [], [(root, base, 0)], len(x)
+    while stack:
+        b, overlap, px = stack.pop()
+        d, least = b.start, needed(nx, b.least, percent)
+        ended = False
+        while True:
+            if overlap + min(rest - px, b.most - d) < least:
+                break
+            if d == b.end or ended:
+                below = [b]
+                for c in below:  # all sets below, if x has no further keys
+                    found += [mark for n, r, mark in c.sets if overlap + min(rest - px, r - d) >= needed(nx, n, percent)]
+                    if ended:
+                        below += c.children
+                if not ended:
+                    stack += [(c, overlap, px) for c in b.children]
+                break
+            edge = b.keys[d : min(b.end, d + STEP)]
+            at = x.searchsorted(edge)
+            k = len(edge) if size and at[-1] < size else int(at.searchsorted(size))
+            if k:
+                same = x[at[:k]] == edge[:k]
+                overlap += int(np.count_nonzero(same))
+                px = int(at[k - 1]) + int(same[-1])
+                d += k
+            if k < len(edge):
+                px, ended = size, True
+    return found
+
+
+def distinct_sets(texts, k: int, memo_entries: int, seen: set, most_seen: int = 1_000_000):
+    """(digest, set, whether it is the first of its like) of each text; where over ``most_seen`` are held in ``seen``, one may come first again."""
+    hashes = worker_cache(("words", memo_entries), lambda: WordHashes(memo_entries))
     for t in texts:
         s = ngram_set(t or "", k, hashes)
-        d = xxhash.xxh3_128_digest(s.tobytes())
+        d = xxhash.xxh3_128_intdigest(s.tobytes())
         yield d, s, d not in seen and len(s) > 0
         if len(seen) < most_seen:
             seen.add(d)
 
 
-def each_text(batches, column: int = 0):
+def new_sets(batches, k: int, memo_entries: int):
+    """(digest, set) of the different sets of a task's texts."""
+    seen: set = set()
     for b in slices(batches):
-        yield from b.column(column).to_pylist()
-
-
-def shingle(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, memo_entries: int, hot) -> DataFrame:
-    """``uid``, ``doc``, ``sig``, ``n`` of each row and, for the first row of a set in its task, ``keys``: the first n-grams of the set in the global order, and ``b0`` to ``b3``: bits that each n-gram of the set flips."""
-    schema = f"uid long, doc {docs.schema[id_col].dataType.simpleString()}, sig binary, n int, keys array<long>, b0 long, b1 long, b2 long, b3 long"
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        uid, held = TaskContext.get().partitionId() << 33, []
-        sets = distinct_sets((held.append(i) or t for b in slices(batches) for i, t in zip(b.column(0), b.column(1).to_pylist(), strict=True)), k, memo_entries)
-
-        def rows(part):
-            nonlocal uid, held
-            sig, n, keys, bits = zip(*part, strict=True)
-            ids = pa.array(range(uid, uid + len(part)), pa.int64())
-            uid += len(part)
-            doc, held = pa.array([i.as_py() for i in held], held[0].type), []
-            columns = [ids, doc, pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in np.array(bits, np.int64).reshape(-1, 4).T)]
-            return pa.RecordBatch.from_arrays(columns, names=["uid", "doc", "sig", "n", "keys", *BITS])
-
-        part = []
-        for sig, s, new in sets:
-            part.append((sig, len(s), beginning(s, hot.value, percent).view(np.int64) if new else None, parity(s) if new else NO_BITS))
-            if len(part) == 500:
-                yield rows(part)
-                part = []
-        if part:
-            yield rows(part)
+        for digest, s, new in distinct_sets(b.column(0).to_pylist(), k, memo_entries, seen):
+            if new:
+                yield digest, s
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
+def halves(digest: int) -> tuple[int, int]:
+    """A 128-bit digest as two signed 64-bit numbers."""
+    low, high = ((digest >> shift & (1 << 64) - 1) for shift in (0, 64))
+    return (low ^ 1 << 63) - (1 << 63), (high ^ 1 << 63) - (1 << 63)
 
-def whole_sets(docs: DataFrame, text_col: str, k: int, memo_entries: int) -> DataFrame:
-    """``sig``, ``n``, ``keys`` (sorted hashes) of the texts, equal ones once a task."""
 
-    def run(batches):
-        import pyarrow as pa
+def node_of(digest: int, turn: int) -> int:
+    """The number of a set, as ``node_sql`` has it."""
+    low, high = halves(digest)
+    turned = ((high << turn & (1 << 64) - 1) ^ 1 << 63) - (1 << 63)
+    return low ^ turned
 
-        new_sets = ((sig, len(s), s.tobytes()) for sig, s, new in distinct_sets(each_text(batches), k, memo_entries) if new)
-        while part := list(islice(new_sets, 200)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["sig", "n", "keys"])
 
-    return docs.select(text_col).mapInArrow(run, "sig binary, n int, keys binary")
+def node_sql(turn: int) -> str:
+    return f"s0 ^ shiftleft(s1, {turn})"
 
 
-def frequent(docs: DataFrame, text_col: str, k: int, memo_entries: int, most: int, keys_held: int = 1 << 20) -> DataFrame:
-    """``t``: the frequent n-grams of the texts, at most ``most``.
+def survey(texts: DataFrame, k: int, memo_entries: int, keys_held: int = 1 << 20) -> DataFrame:
+    """``doc``, ``key``, ``s0``, ``s1`` (digest of the set), ``n`` of each row; and rows of ``t``, ``c`` alone: frequent n-grams.
 
     Every text takes part: each run of sets with ``keys_held`` n-grams names those
-    that three and more of its sets hold. The order of n-grams, and with it the work but never the result,
-    depends on these.
+    that three and more of its sets hold. The order of n-grams, and with it the
+    work but never the result, depends on these.
     """
+    doc_type = texts.schema["doc_"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        def often(held):
+        names, ints = ["doc", "key", "s0", "s1", "n", "t", "c"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        held, size, kind, seen = [], 0, None, set()
+
+        def often():
             u, c = np.unique(np.concatenate(held), return_counts=True)
             keep = c >= 3
-            return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=["t", "c"])
-
-        held, size = [], 0
-        for _, s, new in distinct_sets(each_text(batches), k, memo_entries):
-            if new:
-                held.append(s)
-                size += len(s)
+            none = [pa.nulls(int(keep.sum()), t) for t in (kind, pa.binary(), *ints[:3])]
+            return pa.RecordBatch.from_arrays([*none, pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=names)
+
+        for b in slices(batches):
+            kind, rows = b.column(0).type, []
+            for digest, s, new in distinct_sets(b.column(2).to_pylist(), k, memo_entries, seen):
+                rows.append((*halves(digest), len(s)))
+                if new:
+                    held.append(s)
+                    size += len(s)
+            numbers = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ints, strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, *(pa.nulls(len(rows), pa.int64()) for _ in "tc")], names=names)
             if size >= keys_held:
-                yield often(held)
+                yield often()
                 held, size = [], 0
         if held:
-            yield often(held)
+            yield often()
 
-    return docs.select(text_col).mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most)
+    return texts.select("doc_", "key_", "text_").mapInArrow(run, f"doc {doc_type}, key binary, s0 long, s1 long, n int, t long, c long")
 
 
-def first_ngrams(docs: DataFrame, text_col: str, k: int, percent: int, memo_entries: int, hot) -> DataFrame:
-    """``token``: the first n-grams of the sets that are not in ``hot``, each as often as a task's different sets have it there."""
+def key_rows(rows):
+    """Batches of ``node``, ``n``, ``keys`` from (node, size, keys)."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    while part := list(islice(rows, 200)):
+        node, n, keys = zip(*part, strict=True)
+        ends = np.cumsum([0, *map(len, keys)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists], names=["node", "n", "keys"])
 
-        firsts = (beginning(s, hot.value, percent) for _, s, new in distinct_sets(each_text(batches), k, memo_entries) if new)
-        while part := list(islice(firsts, 200)):
-            keys = np.concatenate(part)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keys < LATER].view(np.int64))], names=["token"])
 
-    return docs.select(text_col).mapInArrow(run, "token long")
+def key_sets(texts: DataFrame, k: int, percent: int, memo_entries: int, turn: int, hot, whole: bool) -> DataFrame:
+    """``node``, ``n``, ``keys`` of the different sets of each task: their beginnings or the whole sets, in global order."""
 
+    def run(batches):
+        sets = new_sets(batches, k, memo_entries)
+        yield from key_rows((node_of(d, turn), len(s), ordered(s, hot.value) if whole else beginning(s, hot.value, percent)) for d, s in sets)
 
-def sizes_fit(nx: str, ny: str, percent: int):
-    """Whether sets of these sizes can be similar enough at all."""
-    return F.expr(f"{percent} * greatest({nx}, {ny}) <= 100 * least({nx}, {ny})")
+    return texts.select("text_").mapInArrow(run, "node long, n int, keys array<long>")
 
 
-def prefixes_fit(nx: str, ny: str, px: str, py: str, shared: str, percent: int):
-    """Whether sets that share so many of their first n-grams can be similar enough.
-
-    ``shared`` n-grams are all they share up to the last of these, at places
-    ``px`` and ``py``; beyond it, the overlap is at most what follows in either.
-    """
-    return F.expr(f"{shared} + least({nx} - {px}, {ny} - {py}) >= ({percent} * ({nx} + {ny}) + {99 + percent}) div {100 + percent}")
+def grouped(batches, keys: int):
+    """The rows of batches sorted by their first ``keys`` columns, group by group: a list of columns each, the last one as a list of its arrays."""
+    import pyarrow as pa
 
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
+        rest = b = t.to_batches()[0] if t.num_rows else None
+        if b is None:
+            continue
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns - 1)]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in columns[:keys]:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        yield from cut(columns, b.column(b.num_columns - 1), zip(starts, starts[1:], strict=False))
+        rest = b.slice(starts[-1])
+    if rest is not None:
+        columns = [rest.column(i).to_numpy(zero_copy_only=False) for i in range(rest.num_columns - 1)]
+        yield from cut(columns, rest.column(rest.num_columns - 1), [(0, rest.num_rows)])
+
+
+def cut(columns, lists, spans):
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    for i, j in spans:
+        yield [c[i:j] for c in columns], [values[at[r] : at[r + 1]] for r in range(i, j)]
 
-def met(pairs: DataFrame, percent: int, all_shared: bool = True) -> DataFrame:
-    """``a`` > ``b`` and ``c``, the number of n-grams they meet at, of the pairs that can be similar enough
-    (where ``all_shared`` n-grams of their prefixes are there to tell).
 
-    ``pairs`` has x, y and their xn, yn, xpos, ypos, one row per n-gram of both.
-    """
-    side = lambda c, larger: F.expr(f"if(x > y, {'x' if larger else 'y'}{c}, {'y' if larger else 'x'}{c})")
-    found = pairs.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    found = found.agg(F.count("*").alias("c"), *(F.max(side(c, k)).alias(f"{name}{c}") for k, name in ((True, "a"), (False, "b")) for c in ("n", "pos")))
-    if all_shared:
-        found = found.filter(prefixes_fit("an", "bn", "apos", "bpos", "c", percent))
-    return found.select("a", "b", "c")
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A staged table of narrow rows, broadcast if it has few enough, else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Rows of ``left`` (x...) and ``right`` (y...) of one n-gram that are in different components and can be similar enough.
+def within(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """The ``a``, ``b`` of ``pairs`` that can link by what ``sets`` (``node``, ``n``, ``keys``) has of them: whole sets, or their beginnings.
 
-    The n-gram lies among so many first ones of either that, of the rest alone,
-    the overlap needed could not come; a similar pair has such an n-gram.
-    Up to the n-gram, the overlap is at most the count of n-grams there that
-    any other set has too (``k``); beyond it, at most what follows in either.
+    Each ``a`` is joined with tries of at most about ``chunk`` of its partners.
     """
-    need = f"(({percent} * (xn + yn) + {99 + percent}) div {100 + percent})"
-    near = f"xpos <= xn - {need} + 1 and ypos <= yn - {need} + 1 and least(xk, yk) + least(xn - xpos, yn - ypos) >= {need}"
-    near += f" and {' + '.join(f'bit_count(x{b} ^ y{b})' for b in BITS)} <= xn + yn - 2 * {need}"
-    return left.join(right.withColumnRenamed("token", "ytoken"), F.expr(f"token = ytoken and xroot < yroot and {near}") & sizes_fit("xn", "yn", percent))
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    split = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+    probes = load.select("a", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("a").alias("node"))
+    taking = split.unionByName(probes)
+    taking = F.broadcast(taking) if pairs.count() <= 250_000 else taking
+    rows = sets.join(taking, "node").select("a", "part", "node", "n", "keys")
 
+    def run(batches):
+        import pyarrow as pa
 
-def walk(pairs: DataFrame, sets: DataFrame, hot, percent: int, chunk: int = 128) -> DataFrame:
-    """The ``a``, ``b`` of ``pairs`` that link, given ``node``, ``keys`` (sorted hashes) of the nodes.
+        for (a, _, node, n), keys in grouped(batches, 2):
+            mine, me = np.flatnonzero(node == a[0]), int(a[0])
+            if not len(mine) or len(node) < 2:
+                continue
+            at = int(mine[0])
+            trie = build_trie([(keys[i], int(n[i]), int(n[i]), int(node[i])) for i in range(len(node)) if node[i] != me])
+            if found := walk_trie(keys[at], int(n[at]), int(n[at]), trie, percent):
+                yield pa.RecordBatch.from_arrays([pa.array([me] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
 
-    A probe's partners come in groups of about ``chunk``; each builds its own trie.
-    """
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    split = pairs.join(load, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    partners = split.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "keys")
-    probes = load.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", "keys")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long").distinct()
 
-    def compare(left, right):
-        import pyarrow as pa
 
-        found = []
-        if left.num_rows and right.num_rows:
-            x = ordered(np.frombuffer(left.column("keys")[0].as_py(), np.uint64), hot.value)
-            items = [(i, ordered(np.frombuffer(k, np.uint64), hot.value)) for i, k in zip(*(right.column(f"other_{c}").to_pylist() for c in ("b", "keys")), strict=True)]
-            found = list(trie_join(x, items, percent))
-        a = left.column("a")[0].as_py() if found else 0
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+def join_self(node, n, rest, root, keys, percent: int, probing=None, stored=None):
+    """Pairs of nodes with different roots among the members of a subtree, whose sets share its n-gram, that can reach the overlap needed.
 
-    # both sides stem from the same tables: fresh column names tell them apart
-    partners = partners.select(*(F.col(c).alias(f"other_{c}") for c in partners.columns))
-    return probes.groupBy("a", "part").cogroup(partners.groupBy("other_a", "other_part")).applyInArrow(compare, "a long, b long")
+    ``keys``: their beginnings after that n-gram, of ``rest`` n-grams that remain.
+    ``probing``, ``stored``: which members walk, and which are in the trie (all, each pair once).
+    """
+    n, rest = n.astype(np.int64), rest.astype(np.int64)
+    some = np.arange(len(node)) if probing is None else probing
+    held = np.arange(len(node)) if stored is None else stored
+    # what sizes and places alone leave of the pairs
+    can = 1 + np.minimum(rest[some][:, None], rest[held][None, :]) >= needed(n[some][:, None], n[held][None, :], percent)
+    can &= root[some][:, None] != root[held][None, :]
+    if not can.any():
+        return []
+    kept = held[can.any(axis=0)]
+    trie = build_trie([(keys[i], int(n[i]), int(rest[i]), i) for i in kept.tolist()])
+    found = set()
+    for i in some[can.any(axis=1)].tolist():
+        for j in walk_trie(keys[i], int(n[i]), int(rest[i]), trie, percent, base=1):
+            if root[i] != root[j]:
+                a, b = int(node[i]), int(node[j])
+                found.add((a, b) if a > b else (b, a))
+    return list(found)
+
+
+def subtrees(members: DataFrame, sets: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
+    """``a``, ``b``: pairs of ``members`` (``token``, ``node``, ``root``) of one n-gram, of different roots, that can link by their beginnings (``sets``).
+
+    A pair is sure to be found at the first n-gram that both sets share. Members of one n-gram are joined in blocks of about ``chunk``.
+    """
+    load = members.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    blocks = F.explode(F.expr("sequence(0, parts - 1)"))
+    dealt = members.join(load, "token").withColumn("own", own).withColumn("other", blocks)
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    place = "cast(array_position(keys, token) as int)"
+    rows = dealt.join(sets, "node").select("token", "i", "j", "own", "node", "root", "n", F.expr(f"n - {place}").alias("rest"), F.expr(f"slice(keys, {place} + 1, size(keys))").alias("keys"))
 
+    def run(batches):
+        import pyarrow as pa
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A staged table of narrow rows, broadcast if it has few enough, else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+        out = []
+        for (_, i, j, own, node, root, n, rest), keys in grouped(batches, 3):
+            sides = (None, None) if i[0] == j[0] else (np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]))
+            out += join_self(node, n, rest, root, keys, percent, *sides)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, memo_entries: int = 200_000, most_hot: int = 200_000, often_from: int = 24, rounds: int = 5) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
-    Two documents link when 100 * intersection >= ``percent`` * union of their
-    sets of distinct ``k``-word shingles; a document of fewer words has its
-    whole sequence as one. ``component_id`` is the smallest id reachable by
-    links, itself included. Documents without words (null, empty) link with
-    nothing and keep their own id. N-grams in ``often_from`` prefixes and more
-    go last in the order (the ``most_hot`` most frequent of them; the result
-    is the same for any order); a null id is never smallest; repeated rows
-    are in one component; an empty table gives no row; other columns are not read.
-    The texts are read several times (whole sets are never all kept), so stage ``docs`` if it is costly to make.
-    """
+def resolve(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, key=None, memo_entries: int = 200_000, most_hot: int = 200_000, rounds: int = 3) -> DataFrame:
+    """``doc``, ``key`` (of the row, if any), ``n``, ``s0``, ``s1``, ``root`` of each row; rows with one root are in one component, and those without n-grams have none."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_"), F.col(text_col).alias("text_"))
-    how = {"text_col": "text_", "k": k, "memo_entries": memo_entries}
-    seen = stage(frequent(texts, most=most_hot, **how), "ngram-frequent", ARROW_ROWS).collect()  # at most most_hot n-grams
-    seen = np.unique(np.array([r.t for r in seen], np.int64).view(np.uint64) >> np.uint64(1))
-    often = first_ngrams(texts, percent=percent, hot=spark.sparkContext.broadcast(seen), **how).groupBy("token").agg(F.count("*").alias("c"))
-    often = stage(often.filter(F.col("c") >= often_from).orderBy(F.desc("c"), "token").limit(most_hot), "ngram-often", ARROW_ROWS).collect()
-    hot = spark.sparkContext.broadcast(np.union1d(seen, np.array([r.token for r in often], np.uint64)))  # at most 2 * most_hot
-    rows = stage(shingle(texts, "doc_", percent=percent, hot=hot, **how), "ngram-rows", ARROW_ROWS)
-    full = rows.filter("n > 0")
-    nodes = stage(full.groupBy("sig", "n").agg(F.min("uid").alias("node"), F.min("doc").alias("least")), "ngram-nodes")
-    holders = full.filter("keys is not null").select("sig", "n", "uid")
-    extra = stage(holders.join(nodes, ["sig", "n"]).filter("uid != node").select("uid"), "ngram-extra")
-    reps = full.filter("keys is not null").join(small(extra), "uid", "left_anti").withColumnRenamed("uid", "node")
-    posts = reps.select("node", "n", F.posexplode("keys").alias("p", "token")).select("token", "node", "n", (F.col("p") + 1).alias("pos"))
-    tokens = stage(posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "ngram-tokens")
-    both = posts.join(small(tokens), "token").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("pos")))  # of at most a prefix
-    shared = stage(both.join(reps.select("node", *BITS), "node"), "ngram-shared")
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by whole sets, made anew from the texts of the nodes in the pairs."""
+    key = F.lit(None).cast("binary") if key is None else key
+    texts = docs.select(F.col(id_col).alias("doc_"), key.alias("key_"), F.col(text_col).alias("text_"))
+    seen = stage(survey(texts, k, memo_entries), "ngram-survey", ARROW_ROWS)
+    rows = seen.filter("n is not null").drop("t", "c")
+    often = seen.filter("n is null").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(most_hot).collect()
+    hot = spark.sparkContext.broadcast(np.unique(np.array([r.t for r in often], np.int64).view(np.uint64)))  # at most most_hot n-grams
+    sets = rows.filter("n > 0").groupBy("s0", "s1", "n").agg(F.min("doc").alias("least"))
+    for turn in range(64):
+        nodes = stage(sets.withColumn("node", F.expr(node_sql(turn))), "ngram-nodes")
+        if nodes.count() == nodes.select("node").distinct().count():
+            break
+        free(spark, nodes)
+    else:
+        raise ValueError("64 bits do not tell the sets apart")
+    how = {"k": k, "percent": percent, "memo_entries": memo_entries, "turn": turn, "hot": hot}
+    starts = stage(key_sets(texts, whole=False, **how).dropDuplicates(["node"]), "ngram-starts", ARROW_ROWS)
+    posts = starts.select(F.explode("keys").alias("token"), "node")  # in subtrees of several sets: known
+    met = stage(posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).filter("c > 1"), "ngram-met")
+    many = met.filter("c > 2").select("token", F.col("low").alias("centre"))
+    known = stage(posts.join(small(many), "token").withColumn("root", F.col("node")), "ngram-known")
+    sizes = nodes.select("node", "n")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """The different pairs ``a`` > ``b`` whose sizes can be similar enough."""
+        size = small(sizes)
+        once = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        both = once.join(size.withColumnsRenamed({"node": "a", "n": "an"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "bn"}), "b")
+        return both.filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)").select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The staged ``pairs`` that link, by whole sets, made anew from the texts of the nodes in the pairs."""
         who = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ngram-who")
-        need = stage(reps.select("node", "doc", "sig", "n").join(small(who), "node", "left_semi"), "ngram-need")
-        theirs = texts.join(small(need.select(F.col("doc").alias("of")).distinct()), F.expr("doc_ <=> of"), "left_semi")
-        made = stage(whole_sets(theirs, **how), "ngram-made", ARROW_ROWS)  # beside the sets asked for, those of texts of a repeated id
-        asked = made.join(F.broadcast(need) if need.count() <= 500_000 else need, ["sig", "n"]).select("node", "keys")
-        found = stage(walk(pairs, asked, hot, percent), "ngram-links", ARROW_ROWS)
-        for df in (who, need, made):
+        need = stage(nodes.select("node", "least").join(small(who), "node", "left_semi"), "ngram-need")
+        theirs = texts.join(small(need.select(F.col("least").alias("of")).distinct()), F.expr("doc_ <=> of"), "left_semi")
+        made = key_sets(theirs, whole=True, **how).join(small(who), "node", "left_semi")  # beside the sets asked for, there are those of texts of a repeated id
+        made = stage(made.dropDuplicates(["node"]), "ngram-made", ARROW_ROWS)
+        found = stage(within(pairs, made, percent), "ngram-links", ARROW_ROWS)
+        for df in (who, need, made, pairs):
             free(spark, df)
         return found
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("token", F.col("node").alias(name), *(F.col(c).alias(f"{name}{c}") for c in df.columns if c not in ("token", "node")))
-
     links, merged = None, []
-    known = shared.withColumn("root", F.col("node"))
-    while len(merged) < rounds and (len(merged) < 2 or merged[-1] * 20 > merged[0]):
-        # each node against the two centres it meets most, of other components; the centres change with the round
-        one = F.struct(*(c for c in known.columns if c != "token"))
-        at = known.groupBy("token").agg(F.min_by(one, F.xxhash64("node", F.lit(len(merged)))).alias("one")).select("token", "one.*")
-        star = met(meet(side(at, "x"), side(known, "y"), percent).unionByName(meet(side(known, "x"), side(at, "y"), percent)), percent, all_shared=False)
-        place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("c"), "centre"))  # of at most a prefix of centres
-        sides = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), "c").unionByName(star.select(F.col("b").alias("centre"), F.col("a").alias("node"), "c"))
-        chosen = sides.withColumn("r", place).filter("r <= 2").select(F.greatest("centre", "node").alias("a"), F.least("centre", "node").alias("b")).distinct()
-        found = exact(stage(chosen, "ngram-star"))
+    while len(merged) < rounds and (not merged or merged[-1] * 20 > merged[0]):
+        if merged:  # other centres than before, of the subtrees' members that are not in one component
+            centre = known.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(len(merged)))).alias("centre"))
+            star = known.drop("centre").join(centre, "token")
+        else:
+            star = known
+        star = star.filter("node != centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))
+        if not merged:  # of subtrees with two members, that is their only pair
+            star = star.unionByName(met.filter("c = 2").select(F.col("low").alias("x"), F.col("high").alias("y")))
+        close = stage(fitting(star), "ngram-star")
+        found = verified(stage(within(close, starts, percent), "ngram-close", ARROW_ROWS))
+        free(spark, close)
         links = found if links is None else links.unionByName(found)
-        roots = stage(components(links), "ngram-roots")
+        roots = components(links)
         merged.append(roots.filter("node != root").count() - sum(merged))
-        # what all members of an n-gram that are in one component share links nothing more
+        # what members of one component share links nothing more
         now = known.drop("root").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = stage(now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"), "ngram-split")
-        before, known = known, stage(now.join(small(split), "token", "left_semi"), "ngram-left")
-        free(spark, before)
-    # what members of an n-gram are still in different components, all against each other
-    left = known
-    among = meet(side(left, "x"), side(left, "y"), percent)
-    rest = exact(stage(met(among, percent).select("a", "b"), "ngram-rest"))
-    roots = stage(components(links.unionByName(rest)), "ngram-roots")
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = placed.join(least, "root").select("sig", "n", "component_id")
-    out = rows.select("doc", "sig", "n").join(answer, ["sig", "n"], "left")
+        before, known = known, stage(now.join(small(split), "token", "left_semi"), "ngram-known")
+        for df in (before, split, roots):
+            free(spark, df)
+    free(spark, met)
+    rest = verified(stage(subtrees(known.select("token", "node", "root"), starts, percent), "ngram-rest", ARROW_ROWS))
+    free(spark, starts)
+    free(spark, known)
+    roots = components(links.unionByName(rest))
+    root = nodes.select("s0", "s1", "node").join(small(roots), "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
+    root = stage(root, "ngram-root")
+    out = rows.join(root, ["s0", "s1"], "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    out = stage(out, "ngram-rows")
+    for df in (root, roots, nodes, seen):
+        free(spark, df)
+    return out
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, **how) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
+
+    Two documents link when 100 * intersection >= ``percent`` * union of their
+    sets of distinct ``k``-word shingles; a document of fewer words has its
+    whole sequence as one. ``component_id`` is the smallest id reachable by
+    links, itself included. Documents without words (null, empty) link with
+    nothing and keep their own id. Shingles are told apart by 63-bit hashes,
+    sets by 128-bit ones. The most frequent n-grams (``most_hot`` at most) go
+    last in the order; the result is the same for any order. A null id is never
+    smallest; repeated rows are in one component; an empty table gives no row;
+    other columns are not read. Texts are read whole and never cut. The texts
+    are read several times (whole sets are never all kept), so stage ``docs``
+    if it is costly to make. Nothing is staged any longer than it is read but
+    the answer's own rows.
+    """
+    rows = resolve(docs, id_col, text_col, k, percent, **how)
+    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc").alias("component_id"))
+    out = rows.join(least, "root", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
@@ -412,11 +513,32 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **join) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, one each; rows with a null id stay."""
-    kept = stage(link(docs, id_col, **join).filter(F.col(id_col) == F.col("component_id")).select(id_col), "ngram-kept")
-    once = stage(kept.distinct(), "ngram-once")
-    out = docs.join(small(once), id_col, "left_semi")
-    if kept.count() > once.count():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, **how) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id (null: last), then the smallest digest of its text.
+
+    Rows are told apart by id and text, so rows that share an id but not the
+    text are each their own; of rows that share both, one (any) stays. Rows
+    without words are components of their own, and all stay. All columns are
+    carried along; an empty table gives an empty one.
+    """
+    spark, taken = docs.sparkSession, {c.lower() for c in docs.columns}
+    doc, key = (next(name for name in (f"_{base}{'_' * i}" for i in range(99)) if name not in taken) for base in ("doc", "key"))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = resolve(docs, id_col, text_col, k, percent, key=digest, **how).filter("n > 0")
+    first = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "key")).alias("first")
+    chosen = rows.groupBy("root").agg(first, F.count("*").alias("c"))
+    several = stage(chosen.filter("c > 1"), "ngram-several")
+    others = rows.join(small(several), "root").select("doc", "key", F.expr("doc <=> first.doc and key = first.key").alias("stays"))
+    # one row for each id and text that goes, or that is there more than once and stays
+    marks = others.groupBy("doc", "key").agg(F.first("stays").alias("stays"), F.count("*").alias("c")).filter("not stays or c > 1")
+    marks = stage(marks.select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("stays").alias(f"{key}s")), "ngram-marks")
+    for df in (rows, several):
+        free(spark, df)
+    on = (docs[id_col].eqNullSafe(F.col(doc))) & (digest == F.col(key))
+    gone = marks.filter(~F.col(f"{key}s")).drop(f"{key}s")
+    out = docs.join(small(gone), on, "left_anti")
+    twice = marks.filter(f"{key}s").drop(f"{key}s")
+    if twice.isEmpty():
+        return out
+    once = docs.join(small(twice), on, "left_semi").withColumn(key, digest).dropDuplicates([id_col, key]).drop(key)
+    return out.join(small(twice), on, "left_anti").unionByName(once)

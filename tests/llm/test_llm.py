@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, chat, html_text, mixing, ngram_join, packing, quality, token_counts, topk, warc
+from ledgerline.llm import ann, chat, html_text, mixing, packing, quality, token_counts, topk, warc
 
 P = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, node long"
@@ -192,36 +192,6 @@ def test_ann_recall(spark):
     assert not ann.search(table.limit(0), table.limit(0)).count()
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_ngram_join_matches_brute_force(spark, k, percent):
-    rng = random.Random(k)
-    words = [f"w{i}" for i in range(60)]
-    texts = [None, "", "A b", "a  B", "x y z", "q"]
-    for _ in range(12):
-        base = [rng.choice(words) for _ in range(rng.randint(8, 120))]
-        for _ in range(rng.randint(1, 9)):
-            copy = list(base)
-            for _ in range(rng.randint(0, 4)):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            texts.append(" ".join(copy))
-    table = docs(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(3)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(table, k=k, percent=percent, often_from=3).collect()}
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
-    root = list(range(len(sets)))
-    for _ in sets:
-        for i in range(len(sets)):
-            for j in range(i):
-                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
-    kept = ngram_join.keep_one(table, k=k, percent=percent)
-    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == set(root)
-    assert not ngram_join.link(table.limit(0)).count()
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
