@@ -9,11 +9,13 @@ with the path walked so far holds for every set below it, and a subtree is left
 as soon as what remains of the set and of the longest set below cannot reach the
 overlap needed. What survives the beginnings is walked again with whole sets.
 
-Equal sets are one node. Links are found in rounds: in the first few, each
-subtree's members are joined with one of them only (another in each round), which
-joins groups of near copies without making their pairs; then the subtrees whose
-members are still in different components are joined with themselves, so that
-no link between components is lost.
+Equal sets are one node. First each subtree's members are joined with two of
+them only, which joins groups of near copies without making their pairs. Then the
+subtrees whose members are still in different components are joined with
+themselves: members without a partner by size and place of the n-gram leave,
+then those without one by beginnings, and whole sets link the rest. Each of
+these steps gives members, not pairs, and the last only so many links as join
+the same components; no link between components is lost.
 """
 
 from __future__ import annotations
@@ -116,19 +118,19 @@ def beginning(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Branch:
-    """A node of a compact trie: the edge ``keys[start:end]`` to it, the ``sets`` that end at it, and of all sets below it the least size and the most that remains from the root on."""
+    """A node of a compact trie: the edge ``keys[start:end]`` to it, the ``sets`` that end at it, and of all sets below it the least size, the most that remains from the trie's root on, and the component if it is the same."""
 
-    __slots__ = ("children", "end", "keys", "least", "most", "sets", "start")
+    __slots__ = ("children", "end", "group", "keys", "least", "most", "sets", "start")
 
     def __init__(self, keys, start: int, end: int):
         self.keys, self.start, self.end, self.children, self.sets = keys, start, end, [], []
 
 
 def build_trie(sets: list[tuple]) -> Branch:
-    """The compact trie of ``sets``: (keys in global order, size, what remains of the size from the root on, mark)."""
+    """The compact trie of ``sets``: (keys in global order, size, what remains of the size from the root on, component, mark)."""
     root = Branch(None, 0, 0)
     path, last = [root], None
-    for keys, n, rest, mark in sorted(sets, key=lambda s: s[0].astype(">u8").tobytes()):  # bytes sort as the keys do
+    for keys, n, rest, group, mark in sorted(sets, key=lambda s: s[0].astype(">u8").tobytes()):  # bytes sort as the keys do
         shared = 0
         if last is not None:
             most = min(len(keys), len(last))
@@ -143,11 +145,11 @@ def build_trie(sets: list[tuple]) -> Branch:
             below.start = shared
             path[-1].children[-1] = fork
             path.append(fork)
-        if len(keys) > shared or last is None:
+        if len(keys) > shared:
             leaf = Branch(keys, shared, len(keys))
             path[-1].children.append(leaf)
             path.append(leaf)
-        path[-1].sets.append((n, rest, mark))
+        path[-1].sets.append((n, rest, group, mark))
         last = keys
     order, at = [root], 0
     while at < len(order):
@@ -156,28 +158,30 @@ def build_trie(sets: list[tuple]) -> Branch:
     for b in reversed(order):
         b.least = min([s[0] for s in b.sets] + [c.least for c in b.children])
         b.most = max([s[1] for s in b.sets] + [c.most for c in b.children])
+        groups = {s[2] for s in b.sets} | {c.group for c in b.children}
+        b.group = groups.pop() if len(groups) == 1 else None
     return root
 
 
-def walk_trie(x: np.ndarray, nx: int, rest: int, root: Branch, percent: int, base: int = 0) -> list:
-    """The marks of the sets in the trie that can reach the overlap needed with a set of size nx.
+def walk_trie(x: np.ndarray, nx: int, rest: int, root: Branch, percent: int, base: int = 0, group=-1):
+    """The marks of the sets in the trie, of other components than ``group``, that can reach the overlap needed with a set of size nx.
 
     ``x``: its first keys from the root on, of ``rest`` that remain; ``base``:
     the overlap up to the root. Keys that either side does not give count as
     shared, so with whole sets the answer is exact, else it lacks no set.
     """
-    found, stack, size = [], [(root, base, 0)], len(x)
+    stack, size = [(root, base, 0)], len(x)
     while stack:
         b, overlap, px = stack.pop()
         d, least = b.start, needed(nx, b.least, percent)
         ended = False
-        while True:
-            if overlap + min(rest - px, b.most - d) < least:
-                break
+        while b.group != group and overlap + min(rest - px, b.most - d) >= least:
             if d == b.end or ended:
                 below = [b]
                 for c in below:  # all sets below, if x has no further keys
-                    found += [mark for n, r, mark in c.sets if overlap + min(rest - px, r - d) >= needed(nx, n, percent)]
+                    for n, r, g, mark in c.sets:
+                        if g != group and overlap + min(rest - px, r - d) >= needed(nx, n, percent):
+                            yield mark
                     if ended:
                         below += c.children
                 if not ended:
@@ -193,7 +197,6 @@ def walk_trie(x: np.ndarray, nx: int, rest: int, root: Branch, percent: int, bas
                 d += k
             if k < len(edge):
                 px, ended = size, True
-    return found
 
 
 def distinct_sets(texts, k: int, memo_entries: int, seen: set, most_seen: int = 1_000_000):
@@ -233,11 +236,11 @@ def node_sql(turn: int) -> str:
     return f"s0 ^ shiftleft(s1, {turn})"
 
 
-def survey(texts: DataFrame, k: int, memo_entries: int, keys_held: int = 1 << 20) -> DataFrame:
+def survey(texts: DataFrame, k: int, memo_entries: int, keys_held: int = 1 << 22) -> DataFrame:
     """``doc``, ``key``, ``s0``, ``s1`` (digest of the set), ``n`` of each row; and rows of ``t``, ``c`` alone: frequent n-grams.
 
     Every text takes part: each run of sets with ``keys_held`` n-grams names those
-    that three and more of its sets hold. The order of n-grams, and with it the
+    that two and more of its sets hold. The order of n-grams, and with it the
     work but never the result, depends on these.
     """
     doc_type = texts.schema["doc_"].dataType.simpleString()
@@ -250,7 +253,7 @@ def survey(texts: DataFrame, k: int, memo_entries: int, keys_held: int = 1 << 20
 
         def often():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= 3
+            keep = c > 1
             none = [pa.nulls(int(keep.sum()), t) for t in (kind, pa.binary(), *ints[:3])]
             return pa.RecordBatch.from_arrays([*none, pa.array(u[keep].view(np.int64)), pa.array(c[keep], pa.int64())], names=names)
 
@@ -346,68 +349,108 @@ def within(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) ->
             if not len(mine) or len(node) < 2:
                 continue
             at = int(mine[0])
-            trie = build_trie([(keys[i], int(n[i]), int(n[i]), int(node[i])) for i in range(len(node)) if node[i] != me])
-            if found := walk_trie(keys[at], int(n[at]), int(n[at]), trie, percent):
+            trie = build_trie([(keys[i], int(n[i]), int(n[i]), int(node[i]), int(node[i])) for i in range(len(node)) if node[i] != me])
+            if found := list(walk_trie(keys[at], int(n[at]), int(n[at]), trie, percent, group=me)):
                 yield pa.RecordBatch.from_arrays([pa.array([me] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
 
     return rows.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long").distinct()
 
 
-def join_self(node, n, rest, root, keys, percent: int, probing=None, stored=None):
-    """Pairs of nodes with different roots among the members of a subtree, whose sets share its n-gram, that can reach the overlap needed.
+class Members:
+    """Members of a subtree in one task: sets that share its n-gram, with their component and the n-gram's place in each."""
 
-    ``keys``: their beginnings after that n-gram, of ``rest`` n-grams that remain.
-    ``probing``, ``stored``: which members walk, and which are in the trie (all, each pair once).
-    """
-    n, rest = n.astype(np.int64), rest.astype(np.int64)
-    some = np.arange(len(node)) if probing is None else probing
-    held = np.arange(len(node)) if stored is None else stored
-    # what sizes and places alone leave of the pairs
-    can = 1 + np.minimum(rest[some][:, None], rest[held][None, :]) >= needed(n[some][:, None], n[held][None, :], percent)
-    can &= root[some][:, None] != root[held][None, :]
-    if not can.any():
-        return []
-    kept = held[can.any(axis=0)]
-    trie = build_trie([(keys[i], int(n[i]), int(rest[i]), i) for i in kept.tolist()])
-    found = set()
-    for i in some[can.any(axis=1)].tolist():
-        for j in walk_trie(keys[i], int(n[i]), int(rest[i]), trie, percent, base=1):
-            if root[i] != root[j]:
-                a, b = int(node[i]), int(node[j])
-                found.add((a, b) if a > b else (b, a))
-    return list(found)
-
-
-def subtrees(members: DataFrame, sets: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
-    """``a``, ``b``: pairs of ``members`` (``token``, ``node``, ``root``) of one n-gram, of different roots, that can link by their beginnings (``sets``).
-
-    A pair is sure to be found at the first n-gram that both sets share. Members of one n-gram are joined in blocks of about ``chunk``.
-    """
+    def __init__(self, token, node, root, n, pos, keys, percent: int):
+        self.token, self.node, self.root, self.n, self.pos, self.keys, self.percent = token, node, root, n.astype(np.int64), pos.astype(np.int64), keys, percent
+        self.rest = self.n - self.pos
+
+    def can(self, some: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Which pairs are left by component, size and place."""
+        least = needed(self.n[some][:, None], self.n[held][None, :], self.percent)
+        return (1 + np.minimum(self.rest[some][:, None], self.rest[held][None, :]) >= least) & (self.root[some][:, None] != self.root[held][None, :])
+
+    def partners(self, some: np.ndarray, held: np.ndarray):
+        """Each of ``some`` that is left with the walk of it through the trie of ``held``."""
+        can = self.can(some, held)
+        if not can.any():
+            return
+        trie = build_trie([(self.keys[i][self.pos[i] :], int(self.n[i]), int(self.rest[i]), int(self.root[i]), i) for i in held[can.any(axis=0)].tolist()])
+        for i in some[can.any(axis=1)].tolist():
+            yield i, walk_trie(self.keys[i][self.pos[i] :], int(self.n[i]), int(self.rest[i]), trie, self.percent, base=1, group=int(self.root[i]))
+
+    def rows(self, which) -> list[tuple]:
+        return [(int(self.token), int(self.node[i]), int(self.root[i]), int(self.n[i]), int(self.pos[i])) for i in sorted(which)]
+
+
+def by_place(m: Members, some, held) -> list[tuple]:
+    """The members that have a partner by component, size and place."""
+    can = m.can(some, held)
+    return m.rows({*some[can.any(axis=1)].tolist(), *held[can.any(axis=0)].tolist()})
+
+
+def by_beginning(m: Members, some, held) -> list[tuple]:
+    """The members whose beginning has a partner's in the trie, of those pairs that share no n-gram before this one."""
+
+    def apart(i, j):
+        x, y = m.keys[i][: m.pos[i] - 1], m.keys[j][: m.pos[j] - 1]
+        at = x.searchsorted(y)
+        inside = at < len(x)
+        return not (x[at[inside]] == y[inside]).any()
+
+    stay = set()
+    for sides in ((some, held), (held, some)) if some is not held else ((some, held),):
+        stay |= {i for i, found in m.partners(*sides) if any(apart(i, j) for j in found)}
+    return m.rows(stay)
+
+
+def by_whole(m: Members, some, held) -> list[tuple]:
+    """Links among the members, as few as join the same components; their keys are whole sets."""
+    up: dict[int, int] = {}
+
+    def top(r):
+        while r in up:
+            r = up[r]
+        return r
+
+    links = []
+    for i, found in m.partners(some, held):
+        for j in found:
+            a, b = top(int(m.root[i])), top(int(m.root[j]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((max(int(m.node[i]), int(m.node[j])), min(int(m.node[i]), int(m.node[j]))))
+    return links
+
+
+MEMBERS = "token long, node long, root long, n int, pos int"
+
+
+def subtrees(members: DataFrame, compare, percent: int, schema: str, sets: DataFrame | None = None, chunk: int = 512) -> DataFrame:
+    """What ``compare`` gives for the members of each n-gram's subtree, in blocks of about ``chunk`` of them against each other, with the keys that ``sets`` has of them."""
     load = members.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    blocks = F.explode(F.expr("sequence(0, parts - 1)"))
-    dealt = members.join(load, "token").withColumn("own", own).withColumn("other", blocks)
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    place = "cast(array_position(keys, token) as int)"
-    rows = dealt.join(sets, "node").select("token", "i", "j", "own", "node", "root", "n", F.expr(f"n - {place}").alias("rest"), F.expr(f"slice(keys, {place} + 1, size(keys))").alias("keys"))
+    dealt = members.join(load, "token").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = dealt.withColumn("keys", F.expr("cast(array() as array<bigint>)")) if sets is None else dealt.join(sets.select("node", "keys"), "node")
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
         import pyarrow as pa
 
         out = []
-        for (_, i, j, own, node, root, n, rest), keys in grouped(batches, 3):
-            sides = (None, None) if i[0] == j[0] else (np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]))
-            out += join_self(node, n, rest, root, keys, percent, *sides)
+        for (token, i, j, own, node, root, n, pos), keys in grouped(batches, 3):
+            m, each = Members(token[0], node, root, n, pos, keys, percent), np.arange(len(node))
+            out += compare(m, each, each) if i[0] == j[0] else compare(m, each[own == i[0]], each[own == j[0]])
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    rows = dealt.select("token", "i", "j", "own", "node", "root", "n", "pos", "keys")
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema.replace(" int", " long")).distinct()
 
 
-def resolve(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, key=None, memo_entries: int = 200_000, most_hot: int = 200_000, rounds: int = 3) -> DataFrame:
+def resolve(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, key=None, memo_entries: int = 200_000, most_hot: int = 200_000) -> DataFrame:
     """``doc``, ``key`` (of the row, if any), ``n``, ``s0``, ``s1``, ``root`` of each row; rows with one root are in one component, and those without n-grams have none."""
     spark = docs.sparkSession
     key = F.lit(None).cast("binary") if key is None else key
@@ -426,58 +469,58 @@ def resolve(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, k
         raise ValueError("64 bits do not tell the sets apart")
     how = {"k": k, "percent": percent, "memo_entries": memo_entries, "turn": turn, "hot": hot}
     starts = stage(key_sets(texts, whole=False, **how).dropDuplicates(["node"]), "ngram-starts", ARROW_ROWS)
-    posts = starts.select(F.explode("keys").alias("token"), "node")  # in subtrees of several sets: known
+    posts = starts.select("node", "n", F.posexplode("keys").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
     met = stage(posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).filter("c > 1"), "ngram-met")
-    many = met.filter("c > 2").select("token", F.col("low").alias("centre"))
-    known = stage(posts.join(small(many), "token").withColumn("root", F.col("node")), "ngram-known")
-    sizes = nodes.select("node", "n")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """The different pairs ``a`` > ``b`` whose sizes can be similar enough."""
-        size = small(sizes)
-        once = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        both = once.join(size.withColumnsRenamed({"node": "a", "n": "an"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "bn"}), "b")
-        return both.filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)").select("a", "b")
+    known = stage(posts.join(small(met.filter("c > 2")), "token"), "ngram-known")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The staged ``pairs`` that link, by whole sets, made anew from the texts of the nodes in the pairs."""
-        who = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ngram-who")
+        """The staged ``pairs`` that link, by whole sets."""
+        whole = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        found = stage(within(pairs, whole, percent), "ngram-links", ARROW_ROWS)
+        free(spark, whole)
+        return found
+
+    def sets_of(which: DataFrame) -> DataFrame:
+        """The whole sets of the nodes, made anew from their texts."""
+        who = stage(which.distinct(), "ngram-who")
         need = stage(nodes.select("node", "least").join(small(who), "node", "left_semi"), "ngram-need")
         theirs = texts.join(small(need.select(F.col("least").alias("of")).distinct()), F.expr("doc_ <=> of"), "left_semi")
         made = key_sets(theirs, whole=True, **how).join(small(who), "node", "left_semi")  # beside the sets asked for, there are those of texts of a repeated id
         made = stage(made.dropDuplicates(["node"]), "ngram-made", ARROW_ROWS)
-        found = stage(within(pairs, made, percent), "ngram-links", ARROW_ROWS)
-        for df in (who, need, made, pairs):
-            free(spark, df)
-        return found
-
-    links, merged = None, []
-    while len(merged) < rounds and (not merged or merged[-1] * 20 > merged[0]):
-        if merged:  # other centres than before, of the subtrees' members that are not in one component
-            centre = known.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(len(merged)))).alias("centre"))
-            star = known.drop("centre").join(centre, "token")
-        else:
-            star = known
-        star = star.filter("node != centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))
-        if not merged:  # of subtrees with two members, that is their only pair
-            star = star.unionByName(met.filter("c = 2").select(F.col("low").alias("x"), F.col("high").alias("y")))
-        close = stage(fitting(star), "ngram-star")
-        found = verified(stage(within(close, starts, percent), "ngram-close", ARROW_ROWS))
-        free(spark, close)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        merged.append(roots.filter("node != root").count() - sum(merged))
-        # what members of one component share links nothing more
-        now = known.drop("root").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = stage(now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"), "ngram-split")
-        before, known = known, stage(now.join(small(split), "token", "left_semi"), "ngram-known")
-        for df in (before, split, roots):
-            free(spark, df)
-    free(spark, met)
-    rest = verified(stage(subtrees(known.select("token", "node", "root"), starts, percent), "ngram-rest", ARROW_ROWS))
+        free(spark, who)
+        free(spark, need)
+        return made
+
+    # each member against the first and the last one of its subtree
+    star = met.filter("c = 2").select(F.col("low").alias("x"), F.col("high").alias("y"))
+    for centre in ("low", "high"):
+        star = star.unionByName(known.filter(f"node != {centre}").select(F.col("node").alias("x"), F.col(centre).alias("y")))
+    size = small(nodes.select("node", "n"))
+    once = star.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    both = once.join(size.withColumnsRenamed({"node": "a", "n": "an"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "bn"}), "b")
+    fitting = stage(both.filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)").select("a", "b"), "ngram-star")
+    close = stage(within(fitting, starts, percent), "ngram-close", ARROW_ROWS)
+    links = verified(close)
+    roots = components(links)
+    # the others of a subtree against each other, if they are in different components; of three members, all pairs are done
+    now = known.filter("c > 3").select("token", "node", "n", "pos").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = stage(now, "ngram-now")
+    split = stage(now.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first < last").select("token"), "ngram-split")
+    left = now.join(small(split), "token", "left_semi")
+    for df in (met, known, fitting, close, roots):
+        free(spark, df)
+    placed = stage(subtrees(left, by_place, percent, MEMBERS), "ngram-placed", ARROW_ROWS)
+    begun = stage(subtrees(placed, by_beginning, percent, MEMBERS, starts), "ngram-begun", ARROW_ROWS)
+    for df in (now, split, placed):
+        free(spark, df)
+    whole = sets_of(begun.select("node"))
+    rest = stage(subtrees(begun, by_whole, percent, "a long, b long", whole), "ngram-rest", ARROW_ROWS)
+    for df in (begun, whole):
+        free(spark, df)
     free(spark, starts)
-    free(spark, known)
     roots = components(links.unionByName(rest))
+    free(spark, links)
+    free(spark, rest)
     root = nodes.select("s0", "s1", "node").join(small(roots), "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
     root = stage(root, "ngram-root")
     out = rows.join(root, ["s0", "s1"], "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))

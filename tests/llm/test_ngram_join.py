@@ -55,10 +55,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("k", "percent", "how"), [(4, 85, {}), (5, 80, {"rounds": 1}), (4, 85, {"rounds": 1, "most_hot": 5})])
+@pytest.mark.parametrize(("k", "percent", "how"), [(4, 85, {}), (5, 80, {}), (4, 85, {"most_hot": 5})])
 def test_components_match_brute_force(spark, monkeypatch, k, percent, how):
     # small blocks, so that subtrees and probes fall into several
-    monkeypatch.setattr(nj.subtrees, "__defaults__", (3,))
+    monkeypatch.setattr(nj.subtrees, "__defaults__", (None, 3))
     monkeypatch.setattr(nj.within, "__defaults__", (2,))
     texts = corpus(k)
     table = frame(spark, list(enumerate(texts))).repartition(3)
@@ -91,21 +91,21 @@ def test_trie_walk_is_exact_on_whole_sets():
         for _ in range(12):
             base = rng.choice(500, rng.integers(1, 200), replace=False)
             sets += [np.unique(np.append(rng.choice(base, max(1, int(len(base) * rng.uniform(0.8, 1))), replace=False), rng.choice(500, rng.integers(0, 6)))).astype(np.uint64) for _ in range(6)]
-        trie = nj.build_trie([(s, len(s), len(s), i) for i, s in enumerate(sets)])
+        trie = nj.build_trie([(s, len(s), len(s), i, i) for i, s in enumerate(sets)])
         for x in sets:
             want = {j for j, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))}
             assert set(nj.walk_trie(x, len(x), len(x), trie, percent)) == want
             # beginnings lose none
-            short = nj.build_trie([(s[: nj.prefix_length(len(s), percent)], len(s), len(s), i) for i, s in enumerate(sets)])
+            short = nj.build_trie([(s[: nj.prefix_length(len(s), percent)], len(s), len(s), i, i) for i, s in enumerate(sets)])
             assert set(nj.walk_trie(x[: nj.prefix_length(len(x), percent)], len(x), len(x), short, percent)) >= want
 
 
 def test_trie_shares_beginnings():
     a = np.arange(100, dtype=np.uint64)
     b = np.append(a[:90], np.uint64(500))
-    root = nj.build_trie([(a, 100, 100, 0), (b, 91, 91, 1), (a, 100, 100, 2)])
+    root = nj.build_trie([(a, 100, 100, 5, 0), (b, 91, 91, 6, 1), (a, 100, 100, 5, 2)])
     (shared,) = root.children
-    assert (shared.start, shared.end, shared.least, shared.most) == (0, 90, 91, 100) and len(shared.children) == 2
+    assert (shared.start, shared.end, shared.least, shared.most, shared.group) == (0, 90, 91, 100, None) and len(shared.children) == 2
 
 
 def test_nodes_are_the_same_in_sql(spark):
