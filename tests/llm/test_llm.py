@@ -99,7 +99,7 @@ def test_branches_are_ranked(spark):
 
 def test_mixing_stays_within_a_block(spark):
     texts = [(i, "t", None, ["a", "b", None][0 if i % 10 < 7 else 1 if i % 10 < 9 else 2], 1, 0.0, 0) for i in range(400)] + [(1, "t", None, "a", 1, 0.0, 0)]
-    got = mixing.mix(spark.createDataFrame(texts, DOC), weights={"a": 3, "b": 2, None: 1}, block_rows=4, period=60).collect()
+    got = mixing.mix(spark.createDataFrame(texts, DOC), weights={"a": 3, "b": 2, None: 1}, block_rows=4).collect()
     assert len({r._position for r in got}) == len(got) and {r.doc_id for r in got} == set(range(400))
     slots = sorted({(r._slot, r._source or "-") for r in got})
     assert [s for s, _ in slots] == list(range(len(slots)))
