@@ -41,8 +41,9 @@ def word_kind(word: str) -> int:
 
 
 def word_shape(word: str) -> str:
-    """Letters as a or A, digits as 0, signs as they are; runs once; at most 12 characters."""
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:60]))[:12]
+    """Letters as a or A, digits as 0, signs as they are; runs once. Of shapes over 12 characters, what they are made of."""
+    shape = _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+    return shape if len(shape) <= 12 else "long " + "".join(sorted(set(shape)))
 
 
 def bucket(feature: str) -> int:
@@ -51,6 +52,11 @@ def bucket(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) % (BUCKETS - 1) + 1  # 0 is the constant
 
 
+def _distinct(different: int, n: int) -> float:
+    """The share of different words, evened out for few words, and against the square root of their number where texts are so long that words must come again."""
+    return (different + 5) / (n + 5) * max(1.0, n**0.5 / 72)
+
+
 class Shares(dict):
     """What the labellers look at, of one text."""
 
@@ -65,9 +71,9 @@ class Shares(dict):
             capitals=kinds[2] / n if n else 0.0,
             bare=kinds[3] / n if n else 0.0,
             digits=kinds[4] / n if n else 0.0,
-            long=kinds[5] / n if n else 0.0,
+            long=kinds[5] / (n + 10),  # in a few words, one long one says little
             repeats=sum(map(operator.eq, words, words[1:])) / n if n else 0.0,
-            distinct=len(set(words)) / n if n else 0.0,
+            distinct=_distinct(len(set(words)), n),
             repeated_lines=1 - len(set(lines)) / len(lines) if lines else 0.0,
             ended=sum(x.rstrip()[-1] in ".!?\"')" for x in lines) / len(lines) if lines else 0.0,
         )
@@ -83,9 +89,9 @@ LABELLERS = {
     "capitals": _over("capitals", 0.08, 0.25),
     "bare": _over("bare", 0.03, 0.1),
     "repeats": _over("repeats", 0.06, 0.2),
-    "distinct": lambda s: GOOD if s["words"] < 20 else JUNK if s["distinct"] < 0.25 and s["words"] < 5000 else GOOD if s["distinct"] > 0.45 else ABSTAIN,
+    "distinct": lambda s: JUNK if s["distinct"] < 0.25 else GOOD if s["distinct"] > 0.45 else ABSTAIN,
     "lines": _over("repeated_lines", 0.15, 0.5),
-    "long": lambda s: GOOD if s["long"] <= 0.01 or s["words"] < 20 else JUNK if s["long"] > 0.1 else ABSTAIN,
+    "long": lambda s: GOOD if s["long"] <= 0.01 else JUNK if s["long"] > 0.1 else ABSTAIN,
     "prose": lambda s: JUNK if not s["words"] else GOOD if s["ended"] >= 0.8 and s["signs"] + s["bare"] < 0.05 and s["capitals"] < 0.2 else ABSTAIN if s["ended"] > 0.2 else JUNK,
 }
 
@@ -143,10 +149,10 @@ def features(text: str, shape, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
         out[k] = out.get(k, 0.0) + v / n
     for k in ("repeats", "repeated_lines", "bare", "signs", "capitals", "long"):
         for step in (0.05, 0.15, 0.3):
-            if shares[k] > step and (k != "long" or shares["words"] >= 20):
+            if shares[k] > step:
                 b = bucket(f"{k}>{step}")
                 out[b] = out.get(b, 0.0) + 1.0
-    if shares["words"] >= 20 and shares["distinct"] < 0.3:
+    if shares["distinct"] < 0.3:
         out[bucket("few distinct")] = 1.0
     if not shares["words"]:
         out[bucket("empty")] = 1.0
@@ -243,9 +249,10 @@ def _judge(texts, w, kind, shape, posterior):
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = 300_000) -> DataFrame:
-    """One row per document: ``id_col``, ``posterior`` of its votes, ``score`` of the scorer, ``keep`` (score >= 0.5).
+    """One row per document: ``id_col``, ``posterior`` of its votes, ``score`` of the scorer, ``keep`` (score >= 0.5, so a tie at 0.5 keeps).
 
-    Null and empty texts are junk; repeated rows each keep theirs; an empty
+    Null and empty texts are junk; repeated rows each keep theirs, and equal
+    texts have equal scores; texts of any length are looked at whole; an empty
     table gives none; other columns are not read. A narrow pass.
     """
     held = docs.sparkSession.sparkContext.broadcast((model["weights"], model["posterior"]))  # BUCKETS floats, 3 ** labellers at most
@@ -264,7 +271,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", memo_entries: int = 300_000) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps, with all their columns as they are."""
+    """The rows of ``docs`` that the scorer keeps (as ``score`` does), with all their columns as they are.
+
+    Null and empty texts go; ids are not looked at; repeated rows stay or go together.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model["weights"])
     at = docs.columns.index(text_col)
 
