@@ -424,7 +424,7 @@ def by_whole(m: Members, some, held) -> list[tuple]:
 MEMBERS = "token long, node long, root long, n int, pos int"
 
 
-def subtrees(members: DataFrame, compare, percent: int, schema: str, sets: DataFrame | None = None, chunk: int = 512) -> DataFrame:
+def subtrees(members: DataFrame, compare, percent: int, schema: str, sets: DataFrame | None = None, chunk: int = 128) -> DataFrame:
     """What ``compare`` gives for the members of each n-gram's subtree, in blocks of about ``chunk`` of them against each other, with the keys that ``sets`` has of them."""
     load = members.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
