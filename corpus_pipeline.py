@@ -2,14 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents`` (and any further ones that come in).
+An empty table passes through every stage; texts of any length are used whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import stage, table
+from ledgerline.llm.common import free, stage, table
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.ngram_join import keep_one
 from ledgerline.llm.packing import packed
@@ -17,22 +18,29 @@ from ledgerline.llm.quality import fit, keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised scorer rejects go."""
+    """Documents that the weakly supervised scorer rejects go, null and empty texts among them; ids and other columns are not looked at, and repeated rows stay or go together."""
     return keep_good(docs, fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle similarity 0.8 and more stays."""
+    """One document of each component of five-word shingle similarity 0.8 and more stays: that with the smallest id (null: last).
+
+    Rows that share an id but not the text are documents of their own; of rows
+    that share both, one stays. Texts without words all stay.
+    """
     return keep_one(docs, k=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; sources below their tempered weight begin further epochs until the shares hold."""
+    """Every document at least once; sources below their tempered weight begin further epochs until the shares hold.
+
+    A null source is one of its own; repeated rows and null ids each count.
+    """
     return mix(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null text is packed as an empty one, and each repeated row has pieces of its own."""
     return packed(docs)
 
 
@@ -43,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, f"pipeline-{name}")
+            if before is not None:
+                free(spark, before)
+            before = docs
     return docs
