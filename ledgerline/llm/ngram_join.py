@@ -236,7 +236,7 @@ def node_sql(turn: int) -> str:
     return f"s0 ^ shiftleft(s1, {turn})"
 
 
-def survey(texts: DataFrame, k: int, memo_entries: int, keys_held: int = 1 << 22) -> DataFrame:
+def survey(texts: DataFrame, k: int, memo_entries: int, keys_held: int = 1 << 21) -> DataFrame:
     """``doc``, ``key``, ``s0``, ``s1`` (digest of the set), ``n`` of each row; and rows of ``t``, ``c`` alone: frequent n-grams.
 
     Every text takes part: each run of sets with ``keys_held`` n-grams names those

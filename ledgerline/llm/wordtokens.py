@@ -73,7 +73,8 @@ _WORKER: dict = {}
 
 
 def worker_cache(key, build):
-    """What ``build()`` makes, once in each Python worker."""
+    """What ``build()`` makes, once in each Python worker for as long as it is asked for no other: workers outlive stages."""
     if key not in _WORKER:
+        _WORKER.clear()
         _WORKER[key] = build()
     return _WORKER[key]
