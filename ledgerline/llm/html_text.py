@@ -13,7 +13,8 @@ from ledgerline.llm.common import table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 # Fixed values of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -32,20 +33,23 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "caption", "colgroup"}, {"table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 #: End tags do not reach beyond these.
 BORDERS = {"table", "td", "th", "caption", "html"}
 #: Open elements at most; what lies deeper joins the deepest, as in browsers.
 DEPTH = 256
+#: Characters to which a column's cells are wrapped if another column follows.
+COLUMN = 60
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "attrs")
+    """``hidden``: with all it holds; ``seen``: what its visibility style says of its text, None if nothing."""
 
-    def __init__(self, tag: str, attrs: str = "", hidden: bool = False):
-        self.tag, self.children, self.hidden, self.attrs = tag, [], hidden, attrs
+    __slots__ = ("tag", "children", "hidden", "attrs", "seen")
+
+    def __init__(self, tag: str, attrs: str = "", hidden: bool = False, seen: bool | None = None):
+        self.tag, self.children, self.hidden, self.attrs, self.seen = tag, [], hidden, attrs, seen
 
 
 def attribute(attrs: str, name: str) -> str | None:
@@ -61,16 +65,23 @@ def _is_hidden(tag: str, attrs: str) -> bool:
     low = attrs.lower()
     if "hidden" in low and ((h := attribute(attrs, "hidden")) is not None and h.lower() != "until-found"):
         return True
-    if "style" in low and (s := attribute(attrs, "style")) is not None and _HIDDEN_STYLE.search(s):
+    if "style" in low and (s := attribute(attrs, "style")) is not None and _NO_DISPLAY.search(s):
         return True
     return tag == "dialog" and attribute(attrs, "open") is None
 
 
+def _seen(attrs: str) -> bool | None:
+    if "isibility" not in attrs and "ISIBILITY" not in attrs:
+        return None
+    found = _VISIBILITY.findall(attribute(attrs, "style") or "")
+    return found[-1].lower() == "visible" if found else None
+
+
 def build(page: str) -> Node:
     """The element tree of a page; end tags are implied where HTML lets them be left out."""
     root = Node("html")
     stack = [root]
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
 
     def close_until(names, borders) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -93,12 +104,14 @@ def build(page: str) -> Node:
         top.children.append(entities.unescape(s) if "&" in s else s)
 
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            text(page[at:])
+        m = _TAG.search(page, at, last + 1) if at <= last else None
+        if not m:  # no tag ends any more; a comment may still begin
+            text(page[at:].partition("<!--")[0])
             break
         text(page[at : m.start()])
         at = m.end()
+        if at > last and page.startswith("<!--", m.start()) and not page.endswith("-->", m.start() + 4, at):
+            break  # a comment that never ends
         end, name, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if not name:
             continue
@@ -123,9 +136,12 @@ def build(page: str) -> Node:
             stack.pop()
         if tag in IMPLIED:
             close_until(*IMPLIED[tag])
+        elif tag in ("tbody", "thead", "tfoot"):  # ends all that is open in the table
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), len(stack))
+            del stack[k + 1 :]
         if tag in CLOSES_P:
             close_until({"p"}, BORDERS | {"button"})
-        node = Node(tag, attrs, _is_hidden(tag, attrs))
+        node = Node(tag, attrs, _is_hidden(tag, attrs), _seen(attrs) if attrs else None)
         stack[-1].children.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
@@ -194,49 +210,58 @@ class Writer:
         return out[k:]
 
 
-def _flow(node: Node, out: Writer, pre: bool) -> None:
+def _flow(node: Node, out: Writer, pre: bool, seen: bool = True) -> None:
     for c in node.children:
         if isinstance(c, str):
-            out.text(c, pre)
-        elif c.hidden:
+            if seen:
+                out.text(c, pre)
+            continue
+        if c.hidden:
             continue
-        elif c.tag == "br":
+        shown = seen if c.seen is None else c.seen
+        if c.tag == "br":
             out.newline()
         elif c.tag == "hr":
             out.block(True)
         elif c.tag == "table":
             out.block(True)
-            _indented(out, _table(c), "")
+            _indented(out, _table(c, shown), "")
             out.block(True)
         elif c.tag in ("ul", "ol", "menu", "dir"):
             out.block(True)
-            _list(c, out)
+            _list(c, out, shown)
             out.block(True)
         elif c.tag == "details" and attribute(c.attrs, "open") is None:
             out.block(False)
             for x in c.children:
                 if isinstance(x, Node) and x.tag == "summary":
-                    _flow(x, out, pre)
+                    _flow(x, out, pre, shown if x.seen is None else x.seen)
                     break
             out.block(False)
         elif c.tag in ("pre", "xmp"):
             out.block(True)
             if c.children and isinstance(c.children[0], str):
                 c.children[0] = c.children[0].removeprefix("\r").removeprefix("\n")
-            _flow(c, out, True)
+            _flow(c, out, True, shown)
             out.block(True)
         elif c.tag in BLOCK:
             spaced = c.tag in SPACED
             out.block(spaced)
             if c.tag in ("blockquote", "dd"):
                 inner = Writer()
-                _flow(c, inner, pre)
+                _flow(c, inner, pre, shown)
                 _indented(out, inner.result(), "    ")
             else:
-                _flow(c, out, pre)
+                _flow(c, out, pre, shown)
             out.block(spaced)
         else:
-            _flow(c, out, pre)
+            _flow(c, out, pre, shown)
+
+
+def _lines(node: Node, seen: bool) -> list[str]:
+    out = Writer()
+    _flow(node, out, False, seen)
+    return out.result()
 
 
 def _indented(out: Writer, lines: list[str], by: str, first: str | None = None) -> None:
@@ -245,71 +270,96 @@ def _indented(out: Writer, lines: list[str], by: str, first: str | None = None)
         out.lines.append(((first if k == 0 and first is not None else by) + x).rstrip())
 
 
-def _list(node: Node, out: Writer) -> None:
+def _list(node: Node, out: Writer, seen: bool) -> None:
     start = attribute(node.attrs, "start") if node.attrs else None
     number = int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1
     loose = Node("div")
     for c in [*node.children, None]:
         if isinstance(c, Node) and c.tag == "li" or c is None:
             if loose.children:
-                inner = Writer()
-                _flow(loose, inner, False)
-                _indented(out, inner.result(), "")
+                _indented(out, _lines(loose, seen), "")
                 loose = Node("div")
             if c is None or c.hidden:
                 continue
-            inner = Writer()
-            _flow(c, inner, False)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = [x for x in inner.result() if x]
+            lines = [x for x in _lines(c, seen if c.seen is None else c.seen) if x]
             if lines:
                 _indented(out, lines, " " * len(mark), mark)
         else:
             loose.children.append(c)
 
 
-def _rows(node: Node):
-    for c in node.children:
-        if isinstance(c, Node) and not c.hidden:
-            if c.tag == "tr":
-                yield c
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(c)
+def _rows(node: Node, seen: bool):
+    """The rows of a table's sections with whether their text is seen, and the number of rows left in the section, each itself included."""
+    for part in [node, *(x for x in node.children if isinstance(x, Node) and x.tag in ("tbody", "thead", "tfoot") and not x.hidden)]:
+        shown = seen if part is node or part.seen is None else part.seen
+        own = [c for c in part.children if isinstance(c, Node) and not c.hidden and (c.tag == "tr" or part is node and c.tag in ("tbody", "thead", "tfoot"))]
+        if part is node and any(c.tag != "tr" for c in own):  # sections come in their place, below
+            own = [c for c in own if c.tag == "tr"]
+        for k, r in enumerate(own):
+            yield r, shown if r.seen is None else r.seen, len(own) - k
+
+
+def _span(cell: Node, name: str, most: int, none: int) -> int:
+    found = attribute(cell.attrs, name) if cell.attrs else None
+    return 1 if not found or not re.fullmatch(r"\d{1,9}", found) else min(int(found), most) or none
+
+
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines cut at spaces to ``COLUMN`` characters where they can be; a longer word stays whole."""
+    out = []
+    for x in lines:
+        while len(x) > COLUMN:
+            lead = len(x) - len(x.lstrip(" "))
+            cut = x.rfind(" ", lead, COLUMN + 1)
+            cut = cut if cut > lead else x.find(" ", COLUMN)
+            if cut < 0:
+                break
+            out.append(x[:cut])
+            x = x[cut + 1 :]
+        out.append(x)
+    return out
 
 
-def _table(node: Node) -> list[str]:
-    """Lines of a table. Cells of up to 60 characters a line are padded to their column's width; with longer ones
-    (layout tables), cells follow each other as blocks."""
-    stray, grid = Node("div"), []
+def _table(node: Node, seen: bool) -> list[str]:
+    """Lines of a table: what stands outside cells, then its rows, each cell below the others of its column.
+
+    A cell takes its columns and rows by colspan (up to 1,000, as the standard
+    has it) and rowspan (up to the end of its section); its text stands in the
+    first. Cells that another column follows are wrapped to ``COLUMN``
+    characters; a longer word pushes what follows it in its line to the right.
+    """
+    stray, grid, taken = Node("div"), [], {}
     for part in [node, *(x for x in node.children if isinstance(x, Node) and x.tag in ("tbody", "thead", "tfoot") and not x.hidden)]:
         stray.children += [x for x in part.children if isinstance(x, str) and not x.isspace() or isinstance(x, Node) and x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col")]
-    for r in _rows(node):
-        row = []
+    for r, shown, left in _rows(node, seen):
+        row: list = []
+        free = {k: n for k, n in taken.items() if n}  # columns that cells from above reach into
+        taken = {k: n - 1 for k, n in free.items()}
         for c in r.children:
             if isinstance(c, Node) and c.tag in ("td", "th"):
                 if c.hidden:
                     continue
-                inner = Writer()
-                _flow(c, inner, False)
-                row.append(inner.result())
-                span = attribute(c.attrs, "colspan") if c.attrs else None
-                row += [[]] * (min(int(span), 1000) - 1 if span and re.fullmatch(r"[1-9]\d{0,5}", span) else 0)
+                while len(row) in free:
+                    row.append([])
+                wide, high = _span(c, "colspan", 1000, 1), min(_span(c, "rowspan", 65534, left), left)
+                for k in range(len(row), len(row) + wide):
+                    taken[k] = max(taken.get(k, 0), high - 1)
+                row.append(_lines(c, shown if c.seen is None else c.seen))
+                row += [[]] * (wide - 1)
             elif isinstance(c, Node) or not c.isspace():
                 stray.children.append(c)
-        grid.append(row)
-    before = Writer()
-    _flow(stray, before, False)
-    out = before.result()
-    if any(len(x) > 60 for row in grid for cell in row for x in cell):
-        for row in grid:
-            for cell in row:
-                out += cell
-        return out
+        if left == 1:
+            taken = {}
+        while row and not row[-1]:
+            row.pop()
+        grid.append([_wrapped(cell) for cell in row[:-1]] + row[-1:])
+    out = _lines(stray, seen)
     width: list[int] = []
     for row in grid:
         for k, cell in enumerate(row):
-            w = max(map(len, cell), default=0)
+            w = min(max(map(len, cell), default=0), COLUMN)
             if k == len(width):
                 width.append(w)
             elif w > width[k]:
@@ -326,9 +376,13 @@ def render(page: str) -> str:
     """All visible text of a page, as laid out without scripts.
 
     Hidden: head, scripts, styles, templates, embedded documents, closed
-    dialogs and details, and elements with ``hidden``, ``display:none`` or
-    ``visibility:hidden``. Paragraphs and other spaced blocks stand between
-    blank lines, other blocks on lines of their own; list items get marks.
+    dialogs and details, elements with ``hidden`` or ``display:none``, and text
+    under ``visibility:hidden`` but not under ``visibility:visible`` within.
+    Paragraphs and other spaced blocks stand between blank lines, other blocks
+    on lines of their own; list items get marks, table cells are aligned (see
+    ``_table``). Elements nested deeper than ``DEPTH`` join the deepest; their
+    text is kept. A tag that never ends is text. Time is in proportion to the
+    page's length.
     """
     out = Writer()
     _flow(build(page), out, False)
