@@ -19,6 +19,8 @@ from ledgerline.llm.common import new_path, stage, table
 
 MAGIC, CRLF = "WARC/1.0\r\n", "\r\n"
 GAP = CRLF + CRLF
+#: Bytes of a file within which parts and the records they belong to are brought together.
+STRETCH = 1 << 16
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -62,8 +64,9 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("part"))
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Each magic: ``file``, ``at``, ``next`` (its successor by its own header), what its header says and its payload's digest.
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Each magic: ``file``, ``at``, ``next`` (its successor by its own header), what its header says and its payload's digest;
+    and ``file``, ``block``, ``base``: where each block that a task read begins.
 
     ``whole`` is false where the payload goes on past the next magic.
     ``head`` is the bytes from the magic to the payload.
@@ -105,9 +108,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     found = stage(_scan(spark, path).mapInArrow(run, schema), "warc-scan")
     blocks = found.groupBy("file", "block").agg(F.sum("size").alias("total"))
     before = F.coalesce(F.sum("total").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    based = found.join(blocks.select("file", "block", before.alias("base")), ["file", "block"])
+    bases = stage(blocks.select("file", "block", before.alias("base")), "warc-bases")  # one row a block
+    based = found.join(bases, ["file", "block"])
     at = F.col("base") + F.col("at")
-    return based.select("file", at.alias("at"), (at + F.col("head") + F.col("length") + len(GAP)).alias("next"), "head", "length", "bytes", "digest", "type", "id", "refers", "whole", (F.col("size") - len(MAGIC)).alias("size"))
+    return based.select("file", at.alias("at"), (at + F.col("head") + F.col("length") + len(GAP)).alias("next"), "head", "length", "bytes", "digest", "type", "id", "refers", "whole"), bases
 
 
 def reachable(cand: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Payloads that hold the magic were cut there; their parts alone are read
     again and joined before the digest is taken.
     """
-    cand = candidates(spark, path)
+    cand, bases = candidates(spark, path)
     true = stage(reachable(cand), "warc-true")
     out = ["id", "type", "refers", "bytes", "digest"]
     cut = true.filter("not whole and type != 'revisit'")
@@ -164,13 +168,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["file", "block", "at", "part"])
 
-    blocks = _scan(spark, path).select("file_path", "file_block_start", "part").mapInArrow(parts, "file string, block long, at long, part binary")
-    totals = cand.select("file", "at", "size")
-    # a part's own offset: its block's first candidate tells the block's base, so parts are found by (file, order in the file)
-    order = F.row_number().over(W.partitionBy("file").orderBy("block", "at"))
-    numbered = blocks.withColumn("k", order).join(totals.withColumn("k", F.row_number().over(W.partitionBy("file").orderBy("at"))).select("file", "k", F.col("at").alias("abs")), ["file", "k"])
-    owner = cut.select("file", F.col("at").alias("own"), "next", "head", "length", "id", "type", "refers", "bytes")
-    held = numbered.join(owner, "file").filter("abs >= own and abs < next")
+    cut_files = F.broadcast(cut.select(F.col("file").alias("file_path")).distinct()) if cut.count() <= 100_000 else cut.select(F.col("file").alias("file_path")).distinct()
+    scanned = _scan(spark, path).select("file_path", "file_block_start", "part").mapInArrow(parts, "file string, block long, at long, part binary")
+    placed = scanned.join(cut_files, F.col("file") == F.col("file_path"), "left_semi").join(bases, ["file", "block"]).select("file", (F.col("base") + F.col("at")).alias("abs"), "part")
+    # the part's owner is the last cut record that begins at or before it, sought among what lies in the same stretch of the file
+    owner = cut.select("file", F.struct(F.col("at").alias("own"), "next", "head", "length", "id", "type", "refers").alias("o"))
+    reach = owner.withColumn("stretch", F.explode(F.expr(f"sequence(o.own div {STRETCH}, (o.next - 1) div {STRETCH})")))
+    begins = reach.select("file", "stretch", F.expr(f"greatest(o.own, stretch * {STRETCH})").alias("abs"), F.lit(0).alias("kind"), "o", F.lit(None).cast("binary").alias("part"))
+    lies = placed.select("file", F.expr(f"abs div {STRETCH}").alias("stretch"), "abs", F.lit(1).alias("kind"), F.lit(None).cast(owner.schema["o"].dataType).alias("o"), "part")
+    last = F.last("o", ignorenulls=True).over(W.partitionBy("file", "stretch").orderBy("abs", "kind"))
+    held = begins.unionByName(lies).withColumn("o", last).filter("kind = 1 and abs < o.next").select("file", "abs", "part", "o.*")
 
     def join(pdf):
         import pandas as pd
