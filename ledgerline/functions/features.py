@@ -79,3 +79,36 @@ def compression_ratio(full: Column, kept: Column, strict: bool = True) -> Column
 
 def stop_ids(native: Column, extra: Column, use_extra: Column) -> Column:
     return F.when(use_extra, F.array_union(native, extra)).otherwise(native)
+
+
+#: Length-only baselines: the features they look at.
+LENGTH_ONLY = {"both": ("seq_len_tokens", "seq_len_chars"), "tokens": ("seq_len_tokens",)}
+
+
+def subset(features: Column, all_names: list[str], names: tuple[str, ...]) -> Column:
+    """Those of a feature vector's entries that are named, in that order."""
+    return F.array(*(F.element_at(features, all_names.index(n) + 1) for n in names))
+
+
+def tokenized(prompts, load, prompt: str = "prompt", chat: str = "chat", wrap=None):
+    """Adds ``ids``, the prompt's token ids by any tokenizer.
+
+    ``load()`` runs once in each task and gives a function of a text; rows whose
+    ``chat`` is true are first put through ``wrap`` (text -> text), and the
+    others are not. A null prompt is an empty one.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*prompts.schema, T.StructField("ids", T.ArrayType(T.LongType()))])
+    at, flag = prompts.columns.index(prompt), prompts.columns.index(chat) if chat in prompts.columns else None
+
+    def run(batches):
+        import pyarrow as pa
+
+        encode = load()
+        for b in batches:
+            wrapped = b.column(flag).to_pylist() if flag is not None else [False] * b.num_rows
+            ids = [list(encode(wrap(t or "") if w and wrap else t or "")) for t, w in zip(b.column(at).to_pylist(), wrapped, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int64()))], names=schema.names)
+
+    return prompts.mapInArrow(run, schema)

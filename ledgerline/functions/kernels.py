@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 
 def quantize_groups(x: Column, bits: int, group: int) -> Column:
@@ -24,25 +22,34 @@ def quantize_groups(x: Column, bits: int, group: int) -> Column:
     return F.flatten(F.transform(parts, one))
 
 
-def quantize_masked(bits: int, group: int):
-    """Arrow function (vector, outlier mask) -> dequantized vector. Outliers stay and, like padding, are not in the range."""
+def _dequantized(g: Column, levels: Column) -> Column:
+    """Elements (v, m) of one range quantized and dequantized; the masked ones (m) stay and are not in the range."""
+    kept = F.transform(F.filter(g, lambda e: ~e["m"]), lambda e: e["v"])
+    low, high = F.coalesce(F.array_min(kept), F.lit(0.0)), F.coalesce(F.array_max(kept), F.lit(0.0))
+    one = F.array(F.struct(low.alias("low"), (F.greatest(high - low, F.lit(1e-8)) / levels).alias("scale")))  # made once, not for every element
+    value = lambda e, r: F.when(e["m"], e["v"]).otherwise(F.greatest(F.lit(0.0), F.least(levels, F.rint((e["v"] - r["low"]) / r["scale"]))) * r["scale"] + r["low"])
+    return F.get(F.transform(one, lambda r: F.transform(g, lambda e: value(e, r))), F.lit(0))
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def run(x: pd.Series, mask: pd.Series) -> pd.Series:
-        out = []
-        for v, m in zip(x, mask, strict=True):
-            v, m = np.asarray(v, float), np.asarray(m, bool)
-            r = v.copy()
-            for i in range(0, len(v), group):
-                g, keep = v[i : i + group], ~m[i : i + group]
-                low, high = (g[keep].min(), g[keep].max()) if keep.any() else (0.0, 0.0)
-                scale = max(high - low, 1e-8) / (2**bits - 1)
-                q = np.clip(np.rint((g - low) / scale), 0, 2**bits - 1) * scale + low
-                r[i : i + group] = np.where(keep, q, g)
-            out.append(r)
-        return pd.Series(out)
 
-    return run
+def _masked(x: Column, mask: Column | None) -> Column:
+    mask = F.transform(x, lambda v: F.lit(False)) if mask is None else mask
+    return F.zip_with(x, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m")))
+
+
+def quantize_masked(x: Column, mask: Column, bits: int, group: int) -> Column:
+    """Dequantized vector by groups. Outliers stay and, like padding, are not in the range."""
+    pairs, levels = _masked(x, mask), F.lit(float(2**bits - 1))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / group).cast("int") - 1), lambda i: F.slice(pairs, i * group + 1, F.lit(group)))
+    return F.flatten(F.transform(parts, lambda g: _dequantized(g, levels)))
+
+
+def tail_outliers(x: Column, fraction: float) -> Column:
+    """Mask of what lies beyond the vector's order statistics at half of ``fraction`` from either end; short vectors have none."""
+    n = F.size(x)
+    low = F.greatest(F.lit(1), F.ceil(fraction / 2 * n)).cast("int")
+    high = F.least(n, F.greatest(low + 1, F.least(n, F.floor((1 - fraction / 2) * n).cast("int"))))
+    none = F.transform(x, lambda v: F.lit(False))
+    return none if fraction <= 0 else F.when(n <= 2, none).otherwise(kth_outliers(x, low, high))
 
 
 def outlier_ranks(values: DataFrame, fraction: float, tensor: str, value: str, *ties: str) -> DataFrame:
@@ -53,10 +60,11 @@ def outlier_ranks(values: DataFrame, fraction: float, tensor: str, value: str, *
     return values.withColumn("outlier", rank <= F.rint(n * fraction))
 
 
-def kth_outliers(x: Column, low: int, high: int) -> Column:
+def kth_outliers(x: Column, low: int | Column, high: int | Column) -> Column:
     """Mask of values below the low-th or above the high-th smallest of the vector."""
     s = F.sort_array(x)
-    return F.transform(x, lambda v: (v < F.element_at(s, low)) | (v > F.element_at(s, high)))
+    ends = F.array(F.struct(F.element_at(s, low).alias("a"), F.element_at(s, high).alias("b")))  # found once
+    return F.get(F.transform(ends, lambda e: F.transform(x, lambda v: (v < e["a"]) | (v > e["b"]))), F.lit(0))
 
 
 def packed_bytes(n: Column, bits: int, group: int, outliers: Column | None = None) -> Column:
@@ -92,6 +100,25 @@ def layer_budgets(scores: DataFrame, k: int, group: str, layer: str = "layer", v
     return scores.withColumn("_r", rank).groupBy(group, layer).agg(F.count_if(F.col("_r") <= k).alias("budget"))
 
 
+def reallocate(scores: DataFrame, base: int, ratio_max: float, group: str, prefix_cap: int | None = None) -> DataFrame:
+    """Prefix budgets of the layers: ``base`` a layer in all, dealt by how many of the best base * heads * layers scores lie in each.
+
+    Rows are (group, layer, head, pos, score). A layer gets at most
+    ratio_max * base, its prefix's length, and ``prefix_cap`` (models with a
+    sliding window). Layers are a few dozen; only their counts meet in one task.
+    """
+    layers = scores.groupBy(group, "layer").agg(F.countDistinct("head").alias("heads"), F.countDistinct("pos").alias("length"), F.count("*").alias("entries"))
+    per = layers.groupBy(group).agg(F.max("heads").alias("heads"), F.count("*").alias("layers"), F.sum("entries").alias("entries"))
+    k = F.least(F.lit(base) * F.col("heads") * F.col("layers"), F.col("entries"))
+    best = scores.join(F.broadcast(per.select(group, k.alias("_k"))), group)  # one row a group
+    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "layer", "head", "pos"))
+    won = best.withColumn("_r", rank).filter(F.col("_r") <= F.col("_k")).groupBy(group, "layer").agg(F.count("*").alias("weight"))
+    hard = int(ratio_max * base) if prefix_cap is None else min(int(ratio_max * base), prefix_cap)
+    rows = layers.join(won, [group, "layer"], "left").join(F.broadcast(per.select(group, "layers")), group)
+    rows = rows.select(group, F.col("layer").alias("item"), F.coalesce("weight", F.lit(0)).cast("double").alias("weight"), F.least(F.lit(hard), F.col("length")).alias("cap"), (F.lit(base) * F.col("layers")).alias("total"))
+    return allocate(rows, group, "total").select(group, F.col("item").alias("layer"), F.col("share").alias("budget"))
+
+
 def water_fill(total: int, weights: list[float], caps: list[int]) -> list[int]:
     """Whole shares of ``total`` in proportion to weights, none above its cap; what caps leave over is dealt again.
 
@@ -139,6 +166,29 @@ def head_votes(scores: DataFrame, group: str, target: int) -> DataFrame:
     return votes.withColumn("_r", best).filter(F.col("_r") <= target).drop("_r")
 
 
+def keep_positions(scores: DataFrame, group: str, target: int, window: int) -> DataFrame:
+    """Positions that a layer keeps for all heads: the recent ``window`` and, up to ``target``, those before it with most votes.
+
+    Rows are (group, head, pos, score) of key-value heads. A head's budget
+    before the window is its part, by the sum of its best scores there, of what
+    all heads have in all; its votes are as in ``head_votes``. Groups of at
+    most ``target`` positions keep all.
+    """
+    sizes = scores.groupBy(group).agg((F.max("pos") + 1).alias("_s"), F.countDistinct("head").alias("_h"))  # one row a group
+    rows = scores.join(F.broadcast(sizes), group)
+    recent, avail = F.least(F.lit(window), F.col("_s")), F.col("_s") - F.least(F.lit(window), F.col("_s"))
+    every = rows.filter((F.col("_s") <= target) | (F.col("pos") >= F.col("_s") - recent)).select(group, "pos").distinct()
+    before = rows.filter((F.col("_s") > target) & (F.col("pos") < F.col("_s") - recent)).withColumn("_avail", avail).withColumn("_recent", recent)
+    before = before.withColumn("_r", F.row_number().over(W.partitionBy(group, "head").orderBy(F.desc("score"), "pos")))
+    heads = before.groupBy(group, "head").agg(F.greatest(F.sum(F.when(F.col("_r") <= F.least(F.lit(target), F.col("_avail")), F.col("score"))), F.lit(1e-6)).alias("_c"), F.first("_avail").alias("_a"), F.first("_recent").alias("_n"), F.first("_h").alias("_heads"))
+    share = F.col("_c") / F.sum("_c").over(W.partitionBy(group))  # one row a head
+    total = F.greatest(F.lit(0), F.lit(target) * F.col("_heads") - F.col("_heads") * F.col("_n"))
+    heads = heads.select(group, "head", F.greatest(F.lit(0), F.least(F.col("_a"), F.rint(share * total).cast("int"))).alias("budget"))
+    votes = before.join(heads, [group, "head"]).groupBy(group, "pos").agg(F.sum(F.when(F.col("_r") <= F.col("budget"), F.col("score")).otherwise(0.0)).alias("votes"), F.first("_recent").alias("_n"))
+    best = F.row_number().over(W.partitionBy(group).orderBy(F.desc("votes"), "pos"))
+    return every.unionByName(votes.withColumn("_b", best).filter(F.col("_b") <= target - F.col("_n")).select(group, "pos"))
+
+
 def value_bits(span: Column, tokens: Column, error: float, attention: Column) -> Column:
     """Bits for a value vector of the given range under an attention-weighted error."""
     step = 2 * F.sqrt(F.lit(12.0) / tokens) * error / F.greatest(attention, F.lit(1e-6))
@@ -151,18 +201,24 @@ def key_bits(span: Column, tokens: Column, error: float, q_norm: Column) -> Colu
     return F.least(F.lit(16), F.greatest(F.lit(2), F.ceil(F.log2(span / (2 * F.sqrt(F.lit(3.0)) * sigma) + 1)))).cast("int")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def apply_bits(x: pd.Series, bits: pd.Series) -> pd.Series:
-    """Quantize and dequantize each vector with its own width; equal widths are done together."""
-    out: list = [None] * len(x)
-    for b in bits.unique():
-        at = np.flatnonzero(bits.to_numpy() == b)
-        for i in at:
-            v = np.asarray(x.iloc[i], float)
-            low, high = v.min(), v.max()
-            scale = max(high - low, 1e-8) / (2 ** int(b) - 1)
-            out[i] = np.clip(np.rint((v - low) / scale), 0, 2 ** int(b) - 1) * scale + low
-    return pd.Series(out)
+def apply_bits(x: Column, bits: Column, mask: Column | None = None) -> Column:
+    """Each vector quantized and dequantized in one range with its own number of bits; masked values stay."""
+    return _dequantized(_masked(x, mask), F.pow(F.lit(2.0), bits) - 1)
+
+
+def effective_bits(average: Column, width: int) -> Column:
+    """Stored bits an element, all metadata included: one outlier a vector of ``width`` (16-bit value, 32-bit index), 16-bit scale and zero, a 4-bit width."""
+    share = 1.0 / width
+    return (1 - share) * average + share * (16 + 32) + (2 * 16 + 4) / width
+
+
+def effective_bytes(vectors: Column, average: Column, width: int) -> Column:
+    return F.when(vectors == 0, 0.0).otherwise(vectors * width * effective_bits(average, width) / 8)
+
+
+def held_bytes(charged: Column, held: Column, tokens: Column) -> Column:
+    """Bytes charged for all tokens, scaled to those that a sliding-window model holds."""
+    return charged * held / tokens
 
 
 def rolling_max(rows: DataFrame, steps: int, *by: str, value: str = "score") -> DataFrame:

@@ -51,18 +51,32 @@ def _f_measure(lcs: int, n: int, m: int) -> float:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            row[j], diagonal = diagonal + 1 if x == y else max(row[j], row[j - 1]), row[j]
-    return row[-1]
+    """Length of the longest common subsequence, a whole row of the table at a time as the bits of one number."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every = row = (1 << len(a)) - 1
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return len(a) - row.bit_count()
+
+
+def _rouge(p, g) -> float:
+    a, b = str(p or "").split(), str(g or "").split()
+    return _f_measure(lcs_length(a, b), len(a), len(b)) if a and b else 0.0
 
 
 @F.pandas_udf(DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     """ROUGE-L F over blank-separated words, one sentence a side; 0 where either is empty."""
-    return pd.Series([_f_measure(lcs_length(a, b), len(a), len(b)) if a and b else 0.0 for a, b in ((str(p or "").split(), str(g or "").split()) for p, g in zip(prediction, gold, strict=True))], dtype=float)
+    return pd.Series([_rouge(p, g) for p, g in zip(prediction, gold, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def rouge_l_best(prediction: pd.Series, references: pd.Series) -> pd.Series:
+    """The largest ROUGE-L F over the references; 0 without any."""
+    return pd.Series([max((_rouge(p, g) for g in (refs if refs is not None else ())), default=0.0) for p, refs in zip(prediction, references, strict=True)], dtype=float)
 
 
 def classification(prediction: Column, gold: Column, classes: Column, strict: bool = True) -> Column:
@@ -108,6 +122,15 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(100 * SequenceMatcher(None, x or "", y or "").ratio()) / 100 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(DoubleType())
+def sequence_ratio_best(a: pd.Series, references: pd.Series) -> pd.Series:
+    """The largest similarity over the references; 0 without any."""
+    from difflib import SequenceMatcher
+
+    ratio = lambda x, y: round(100 * SequenceMatcher(None, x or "", y or "").ratio()) / 100
+    return pd.Series([max((ratio(x, y) for y in (refs if refs is not None else ())), default=0.0) for x, refs in zip(a, references, strict=True)], dtype=float)
+
+
 def code_similarity(prediction: Column, gold: Column) -> Column:
     return sequence_ratio(code_line(prediction), gold)
 
@@ -119,7 +142,7 @@ def best_reference(references: Column, score, strict: bool = True) -> Column:
 
 
 def dispatch(scorer: Column, prediction: Column, references: Column, classes: Column, strict: bool = True) -> Column:
-    """The task's scorer over all references. Alignment scorers run as Arrow functions on exploded references instead."""
+    """The task's scorer, at its best over all references; an unknown scorer gives null. The two alignment scorers are Arrow functions, which get only their own rows' references."""
     by = {
         "qa_f1": lambda g: token_f1(prediction, g),
         "classification": lambda g: classification(prediction, g, classes, strict),
@@ -129,6 +152,10 @@ def dispatch(scorer: Column, prediction: Column, references: Column, classes: Co
     out = F.lit(None).cast("double")
     for name, f in by.items():
         out = F.when(scorer == name, best_reference(references, f, strict)).otherwise(out)
+    there = best_reference(references, lambda g: F.lit(1.0), strict)
+    for name, text, f in (("rouge_l", prediction, rouge_l_best), ("code_similarity", code_line(prediction), sequence_ratio_best)):
+        own = f(F.when(scorer == name, text), F.when(scorer == name, references))
+        out = F.when(scorer == name, there * own).otherwise(out)
     return out
 
 

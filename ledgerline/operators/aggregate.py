@@ -109,3 +109,12 @@ def ordered_digest(rows: DataFrame, by: str, order: list[str], line: Column) ->
     """Order-sensitive sha256 over the lines of each group; a group's lines are brought together, so groups must be bounded."""
     items = F.sort_array(F.collect_list(F.struct(*order, line.alias("line"))))
     return rows.groupBy(by).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["line"]), ""), 256).alias("digest"), F.count("*").alias("n"))
+
+
+def ordered_ids_sha256(rows: DataFrame, by: str, id_col: str, order: list[str]) -> DataFrame:
+    """Per group the sha256 over its ids in order, each behind its length in bytes as eight bytes, little end first. A group's ids are brought together, so groups must be bounded."""
+    data = F.encode(F.col(id_col), "UTF-8")
+    n = F.octet_length(F.col(id_col)).cast("long")
+    length = F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(8)))
+    framed = F.sort_array(F.collect_list(F.struct(*order, F.concat(length, F.hex(data)).alias("_x"))))
+    return rows.groupBy(by).agg(F.sha2(F.unhex(F.array_join(F.transform(framed, lambda x: x["_x"]), "")), 256).alias("digest"), F.count("*").alias("n"))

@@ -35,19 +35,62 @@ def quality_first(labels: DataFrame, ties: str = "compression", include_baseline
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def gathered(labels: DataFrame, *fields: str) -> DataFrame:
+    """One row per item: ``key``, ``task``, the baseline's score ``base`` and its configurations ``c`` in order. The only shuffle of what follows."""
+    c = F.sort_array(F.collect_list(F.struct("cfg_ord", "configuration", "score", "compression", *(f for f in fields if f not in ("score", "compression")))))
+    return labels.groupBy("key", "task").agg(F.max(F.when(F.col("cfg_ord") == 0, F.col("score"))).alias("base"), c.alias("c"))
+
+
+def _best(of: str, *by: str) -> str:
+    """The element of the array that is first by these, then by configuration."""
+    order = ", ".join(f"{x} as a{k}" for k, x in enumerate(by))
+    return f"{of}[array_min(transform({of}, (x, i) -> struct({order}, x.cfg_ord as b, i as i))).i]"
+
+
+def _iso(of: str, tau: float) -> str:
+    """The element of largest ratio among those that keep tau of ``base``, else that of the best score, then ratio."""
+    ok = f"filter({of}, x -> x.score >= {tau}D * base)"
+    return f"if(exists({of}, x -> x.score >= {tau}D * base), {_best(ok, '-x.compression')}, {_best(of, '-x.score', '-x.compression')})"
+
+
+#: What is carried of the selected configuration, if it is there.
+OUTPUT_FIELDS = ("score", "prediction", "kv_bytes", "kv_bytes_fp16", "compression", "generated_token_count", "kv_accounting")
+
+
 def attach(labels: DataFrame, tau: float = 0.99) -> DataFrame:
-    """Per item both oracles' choices side by side, with the eligible set."""
-    iso = iso_quality(labels, tau).select("key", "task", *(F.col(c).alias(f"primary_{c}") for c in ("configuration", "score", "compression", "fallback")), "eligible")
-    best = quality_first(labels).select("key", *(F.col(c).alias(f"quality_{c}") for c in ("configuration", "score", "compression")))
-    return iso.join(best, "key")
+    """Per item both oracles' choices side by side: every output field of the selected configuration that the labels have,
+    fallback, threshold, whether the choice is below it, and the eligible set."""
+    fields = [f for f in OUTPUT_FIELDS if f in labels.columns]
+    items = gathered(labels, *fields).withColumn("c", F.expr("filter(c, x -> x.cfg_ord >= 1)"))
+    items = items.withColumn("_p", F.expr(_iso("c", tau))).withColumn("_q", F.expr(_best("c", "-x.score", "-x.compression")))
+    items = items.withColumn("threshold", F.lit(tau) * F.col("base")).withColumn("eligible", F.expr("transform(filter(c, x -> x.score >= threshold), x -> x.configuration)"))
+    out = [F.col(f"_{o}.{f}").alias(f"{name}_{f}") for o, name in (("p", "primary"), ("q", "quality")) for f in ("configuration", *fields)]
+    return items.select("key", "task", *out, (F.size("eligible") == 0).alias("primary_fallback"), "threshold", (F.col("_p.score") < F.col("threshold")).alias("below_threshold"), F.sort_array("eligible").alias("eligible"))
+
+
+def oracle_summary(labels: DataFrame, tau: float = 0.99) -> DataFrame:
+    """One row for the iso-quality oracle: rollups, fallbacks and violations with their shares, and selections per candidate.
+
+    A choice below its threshold that is no fallback cannot be; it raises.
+    """
+    from ledgerline.operators.aggregate import summary
+
+    chosen = iso_quality(labels, tau).withColumn("below", F.col("score") < tau * F.col("base"))
+    wrong = F.count_if(F.col("below") & ~F.col("fallback"))
+    n, back = F.count("*"), F.count_if("fallback")
+    candidates = [r[0] for r in labels.filter("cfg_ord >= 1").select("configuration").distinct().orderBy("configuration").collect()]  # a handful
+    counts = chosen.agg(
+        back.alias("fallback_count"), F.try_divide(back, n).alias("fallback_fraction"), (n - back).alias("nonfallback_count"),
+        F.when(wrong > 0, F.raise_error(F.lit("an eligible choice lies below its threshold")).cast("long")).otherwise(wrong).alias("violation_count"),
+        F.when(n > back, wrong / (n - back)).otherwise(0.0).alias("violation_fraction"), *(F.count_if(F.col("configuration") == c).alias(f"selected_{c}") for c in candidates),
+    )
+    return summary(chosen).crossJoin(counts)  # one row each
 
 
 def dataset_labels(labels: DataFrame, taus: tuple[float, ...] = (0.99, 0.95, 0.90)) -> DataFrame:
-    """Training labels over all configurations, the baseline too: best quality, and iso-quality at each tau."""
-    out = quality_first(labels, ties="order", include_baseline=True).select("key", "task", F.col("configuration").alias("best_quality"))
-    for tau in taus:
-        out = out.join(iso_quality(labels, tau, include_baseline=True).select("key", F.col("configuration").alias(f"iso_{int(tau * 100)}")), "key")
-    return out
+    """Training labels over all configurations, the baseline too: best quality, and iso-quality at each tau. All from one gathering by item."""
+    iso = [F.expr(f"({_iso('c', tau)}).configuration").alias(f"iso_{int(tau * 100)}") for tau in taus]
+    return gathered(labels).select("key", "task", F.expr(f"({_best('c', '-x.score')}).configuration").alias("best_quality"), *iso)
 
 
 def best_fixed(labels: DataFrame) -> DataFrame:

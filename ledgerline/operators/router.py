@@ -64,23 +64,47 @@ def decide(predicted: DataFrame, stats: DataFrame, tau: float = 0.99, points: Da
     configuration. ``points`` (pool_key, pool, tau) evaluates many pools and
     taus over the same predictions; it is registry-sized and broadcast.
     ``reason``, ``eligible`` and ``ranked`` tell how it went.
+
+    An item's configurations are gathered in one row, the only shuffle; points
+    multiply rows afterwards, where they are evaluated and aggregated in place.
     """
-    by = ["key"]
-    rows = predicted.join(stats.select("fold", "cfg_ord", "train_q", "train_cr"), ["fold", "cfg_ord"])
-    rows = rows.withColumn("base_pred", F.max(F.when(F.col("cfg_ord") == 0, F.col("prediction"))).over(W.partitionBy("key")))
-    if use_floor:
-        rows = rows.withColumn("base_pred", F.greatest("base_pred", F.max(F.when(F.col("cfg_ord") == 0, F.col("train_q"))).over(W.partitionBy("key"))))
-    rows = rows.filter("cfg_ord >= 1")
+    rows = predicted.join(F.broadcast(stats.select("fold", "cfg_ord", "train_q", "train_cr")), ["fold", "cfg_ord"])  # one row a fold and configuration
+    rows = rows.select("key", F.struct("cfg_ord", *(c for c in rows.columns if c not in ("key", "cfg_ord"))).alias("c"))
+    items = rows.groupBy("key").agg(F.sort_array(F.collect_list("c")).alias("c"))  # a handful of configurations
+    first = F.get(F.filter("c", lambda x: x["cfg_ord"] == 0), F.lit(0))
+    base = F.greatest(first["prediction"], first["train_q"]) if use_floor else first["prediction"]
+    items = items.select("key", base.alias("base_pred"), F.filter("c", lambda x: x["cfg_ord"] >= 1).alias("c"))
     if points is None:
-        rows = rows.withColumn("tau", F.lit(float(tau)))
+        items = items.withColumn("tau", F.lit(float(tau)))
     else:
-        rows = rows.crossJoin(F.broadcast(points)).filter(F.array_contains("pool", F.col("configuration")))
-        by = ["pool_key", "tau", "key"]
-    item = W.partitionBy(*by)
-    rows = rows.withColumn("_ok", F.col("prediction") >= F.col("tau") * F.col("base_pred")).withColumn("_any", F.max("_ok").over(item))
-    order = [F.desc("_ok"), F.desc(F.when(F.col("_any"), F.col("train_cr")).otherwise(F.col("prediction"))), "cfg_ord"]
-    rows = rows.withColumn("eligible", F.sort_array(F.collect_list(F.when(F.col("_ok"), F.col("configuration"))).over(item)))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("train_cr")).alias("a"), "cfg_ord", "configuration")).over(item))
-    rows = rows.withColumn("ranked", F.transform(ranked, lambda x: x["configuration"]))
-    best = rows.withColumn("_r", F.row_number().over(item.orderBy(*order))).filter("_r = 1")
-    return best.withColumn("reason", F.when(F.col("_any"), "eligible").otherwise("fallback")).drop("_ok", "_any", "_r")
+        items = items.crossJoin(F.broadcast(points)).withColumn("c", F.expr("filter(c, x -> array_contains(pool, x.configuration))"))
+    ok = F.filter("c", lambda x: x["prediction"] >= F.col("tau") * F.col("base_pred"))
+    items = items.withColumn("_ok", ok).filter("size(c) > 0")
+    best = lambda of, by: f"array_min(transform({of}, (x, i) -> struct(-x.{by} as a, x.cfg_ord as b, i as i))).i"
+    items = items.withColumn("_best", F.expr(f"if(size(_ok) > 0, _ok[{best('_ok', 'train_cr')}], c[{best('c', 'prediction')}])"))
+    names = lambda of: F.transform(of, lambda x: x["configuration"])
+    order = F.expr("transform(array_sort(transform(c, x -> struct(-x.train_cr as a, x.cfg_ord as b, x.configuration as name))), x -> x.name)")
+    kept = [c for c in ("pool_key", "pool", "size") if points is not None]
+    return items.select("key", *kept, "tau", "base_pred", "_best.*", F.when(F.size("_ok") > 0, "eligible").otherwise("fallback").alias("reason"), F.sort_array(names("_ok")).alias("eligible"), order.alias("ranked"))
+
+
+def evaluate_folds(labels: DataFrame, folds: DataFrame, taus: tuple[float, ...], predictions: DataFrame | None = None, stats: DataFrame | None = None, use_floor: bool = True, filter_candidates: bool = False) -> DataFrame:
+    """Routing of every held-out item for each tau, by any fold table (k-fold, leave one task out, a split): per tau mean score, harmonic ratio, items and the share of choices below tau times the baseline's true score.
+
+    ``predictions`` (key, fold, cfg_ord, prediction) are made once and serve all
+    taus; without them the training means stand in. Items without a fold (the
+    training side of a split) are not routed.
+    """
+    stats = train_stats(labels, folds) if stats is None else stats
+    predicted = mean_predictions(labels, folds) if predictions is None else labels.join(folds, "key").join(predictions, ["key", "fold", "cfg_ord"])
+    out = None
+    for tau in taus:
+        rows = predicted
+        if filter_candidates:
+            keep = viable(stats, tau).select("fold", "cfg_ord").unionByName(stats.filter("cfg_ord = 0").select("fold", "cfg_ord"))
+            rows = rows.join(F.broadcast(keep), ["fold", "cfg_ord"], "left_semi")
+        chosen = decide(rows, stats, tau, use_floor=use_floor)
+        out = chosen if out is None else out.unionByName(chosen)
+    base = labels.filter("cfg_ord = 0").select("key", F.col("score").alias("_base"))
+    below = (F.col("score") < F.col("tau") * F.col("_base")).cast("double")
+    return out.join(base, "key").groupBy("tau").agg(F.avg("score").alias("q"), (F.count("*") / F.sum(1 / F.col("compression"))).alias("cr"), F.count("*").alias("n"), F.avg(below).alias("violation_rate"))

@@ -17,32 +17,29 @@ def win_tie_loss(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.agg(F.count_if(d > 0).alias("win"), F.count_if(d == 0).alias("tie"), F.count_if(d < 0).alias("loss"), F.avg(d).alias("mean_difference"))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 12345, a: str = "a", b: str = "b") -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 12345, a: str = "a", b: str = "b", key: str = "key") -> DataFrame:
     """``mean``, ``low``, ``high`` (95 %), ``p`` of the mean paired difference.
 
-    Distributed resampling by Poisson(1) weights: every partition draws the
-    weights of its own rows for all resamples and returns per resample two
-    sums, so no task holds all rows. p is twice the smaller tail, as defined
+    Distributed resampling by Poisson(1) weights: each row's weights for all
+    resamples are drawn from its key and the seed, so that they do not depend
+    on partitions or order, and every partition returns two sums per resample,
+    so no task holds all rows. Rows without a ``key`` draw by their values. p is twice the smaller tail, as defined
     not capped at one.
     """
-    step = 1000
 
     def draw(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         s, n = np.zeros(resamples), np.zeros(resamples)
         for batch in batches:
-            d = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(d), step):
-                w = rng.poisson(1.0, (resamples, len(d[i : i + step])))
-                s += w @ d[i : i + step]
-                n += w.sum(1)
+            for d, key in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), strict=True):
+                w = np.random.default_rng([seed, key & (1 << 64) - 1]).poisson(1.0, resamples)
+                s += w * d
+                n += w
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(s), pa.array(n)], names=["r", "s", "n"])
 
     d = (F.col(a) - F.col(b)).cast("double")
-    means = pairs.select(d.alias("d")).mapInArrow(draw, "r long, s double, n double").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    means = pairs.select(d.alias("d"), F.xxhash64(*([key] if key in pairs.columns else pairs.columns)).alias("k")).mapInArrow(draw, "r long, s double, n double").groupBy("r").agg(F.round(F.sum("s") / F.sum("n"), 12).alias("m"))
     tails = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), (2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p"))
     return pairs.agg(F.avg(d).alias("mean")).crossJoin(tails)  # one row each
 
@@ -79,21 +76,19 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
 def random_router_draws(labels: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
     """Monte-Carlo mean and population deviation of the quality of random candidates.
 
-    Each partition draws a candidate per item for all draws and returns sums.
+    Each item's candidates for all draws come from its key and the seed, whatever the partition; partitions return sums.
     """
     items = labels.filter("cfg_ord >= 1").groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("cfg_ord", "score"))), lambda x: x["score"]).alias("s"))
 
     def draw(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         total, n = np.zeros(draws), 0
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                total += np.asarray(s)[rng.integers(0, len(s), draws)]
+            for s, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += np.asarray(s)[np.random.default_rng([seed, key & (1 << 64) - 1]).integers(0, len(s), draws)]
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total), pa.array(np.full(draws, n))], names=["r", "s", "n"])
 
-    per = items.select("s").mapInArrow(draw, "r long, s double, n long").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("q"))
+    per = items.select("s", F.xxhash64("key").alias("k")).mapInArrow(draw, "r long, s double, n long").groupBy("r").agg(F.round(F.sum("s") / F.sum("n"), 12).alias("q"))
     return per.agg(F.avg("q").alias("mean"), F.stddev_pop("q").alias("sd"), F.count("*").alias("draws"))

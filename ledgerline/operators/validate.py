@@ -16,9 +16,15 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {[r.asDict() for r in first]}")
 
 
-def pivot_join(records: DataFrame, value: str, configurations: list[str], strict: bool = False) -> DataFrame:
-    """One row per item with a column per configuration. Incomplete items go, or (``strict``) raise."""
-    wide = records.groupBy("task", "key").pivot("configuration", configurations).agg(F.max(value))
+def pivot_join(records: DataFrame, value: str, configurations: list[str], strict: bool = False, order: str | None = None) -> DataFrame:
+    """One row per item with a column per configuration. Incomplete items go, or (``strict``) raise.
+
+    Of repeated records the last by ``order`` counts; without an order they raise if ``strict``, and any (the largest) counts otherwise.
+    """
+    if strict and order is None:
+        require_none(repeated_keys(records, "task", "key", "configuration"), "repeated records")
+    pick = F.max_by(value, order) if order else F.max(value)
+    wide = records.groupBy("task", "key").pivot("configuration", configurations).agg(pick)
     missing = F.lit(False)
     for c in configurations:
         missing = missing | F.col(c).isNull()
@@ -27,6 +33,74 @@ def pivot_join(records: DataFrame, value: str, configurations: list[str], strict
     return wide.filter(~missing)
 
 
+def incomplete(records: DataFrame, configurations: list[str]) -> DataFrame:
+    """Per task how many items lack a configuration, and how many are complete."""
+    per = records.filter(F.col("configuration").isin(configurations)).groupBy("task", "key").agg(F.countDistinct("configuration").alias("n"))
+    return per.groupBy("task").agg(F.count_if(F.col("n") < len(configurations)).alias("dropped"), F.count_if(F.col("n") == len(configurations)).alias("kept"))
+
+
+def coverage(records: DataFrame, authority: DataFrame, configurations: list[str]) -> DataFrame:
+    """What keeps records from being exactly the authority's keys times the configurations: rows (task, key, configuration, problem).
+
+    ``problem`` is missing, unexpected or repeated. The keys come from the
+    authority alone, never from one of the configurations.
+    """
+    expected = authority.select("task", "key").distinct().withColumn("configuration", F.explode(F.array(*map(F.lit, configurations)))).withColumn("_e", F.lit(True))
+    found = records.groupBy("task", "key", "configuration").agg(F.count("*").alias("_n"))
+    both = expected.join(found, ["task", "key", "configuration"], "full_outer")
+    problem = F.when(F.col("_e").isNull(), "unexpected").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated")
+    return both.select("task", "key", "configuration", problem.alias("problem")).filter("problem is not null")
+
+
+def strict_join(records: DataFrame, authority: DataFrame, value: str, configurations: list[str], shared: tuple[str, ...] = ()) -> DataFrame:
+    """The wide table of exactly the authority's items; anything missing, unexpected, repeated or (``shared`` fields) differing among configurations raises."""
+    require_none(coverage(records, authority, configurations), "records and the prepared keys differ")
+    if shared:
+        text = F.to_json(F.struct(*(F.col(f) for f in sorted(shared))), {"ignoreNullFields": "false"})
+        require_none(disagreeing(records, text, len(configurations), "task", "key"), f"{', '.join(shared)} differ among configurations")
+    return records.groupBy("task", "key").pivot("configuration", configurations).agg(F.first(value))
+
+
+def pilot_markers(events: DataFrame) -> DataFrame:
+    """Events that carry pilot-only fields, at the top or in their method's metadata; a canonical journal has none."""
+    marked = F.lit(False)
+    if "pilot_profile" in events.columns:
+        marked = marked | F.col("pilot_profile").isNotNull()
+    if "method_metadata" in events.columns:
+        kind = events.schema["method_metadata"].dataType
+        for name in ("pilot_profile", "cuda_feasibility"):
+            if hasattr(kind, "fieldNames") and name in kind.fieldNames():
+                marked = marked | F.col(f"method_metadata.{name}").isNotNull()
+            elif not hasattr(kind, "fieldNames"):
+                marked = marked | F.get_json_object("method_metadata", f"$.{name}").isNotNull()
+    return events.filter(marked)
+
+
+def canonical(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows in the canonical order: the registry's tasks, then source index, then key. Range-partitioned; unknown tasks raise."""
+    known = rows.join(F.broadcast(registry.select("task", "task_ord")), "task", "left")  # one row a task
+    place = F.when(F.col("task_ord").isNull(), F.raise_error(F.concat(F.lit("unknown task "), F.col("task"))).cast("int")).otherwise(F.col("task_ord"))
+    return known.withColumn("task_ord", place).orderBy("task_ord", "source_index", "key").drop("task_ord")
+
+
+def identity_differences(found: dict, expected: dict, path: str = "") -> list[str]:
+    """Dotted names of what two provenance documents (manifest, environment, run identity, hashes) do not agree in; empty if all is equal."""
+    out = []
+    for k in sorted(found.keys() | expected.keys()):
+        name, a, b = f"{path}{k}", found.get(k), expected.get(k)
+        if isinstance(a, dict) and isinstance(b, dict):
+            out += identity_differences(a, b, f"{name}.")
+        elif a != b or (k in found) != (k in expected) or type(a) is not type(b):
+            out.append(name)
+    return out
+
+
+def require_identity(found: dict, expected: dict, what: str) -> None:
+    """Raises where a provenance document is not what is expected; meant to be called before and after the work."""
+    if differ := identity_differences(found, expected):
+        raise ValueError(f"{what}: {', '.join(differ)} differ")
+
+
 def last_wins(records: DataFrame, order: str, *by: str) -> DataFrame:
     """The latest of repeated records of a key."""
     return records.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")

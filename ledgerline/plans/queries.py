@@ -66,12 +66,23 @@ def oracle_quality_order_ties(spark, sf):
     return O.quality_first(panel(spark, sf), ties="order").groupBy("configuration").agg(F.count("*").alias("n"))
 
 
-@query(f"""{WITH}, {ISO99}, best AS (SELECT key, configuration, score, compression, row_number() OVER (PARTITION BY key ORDER BY score DESC, compression DESC, cfg_ord) AS r FROM panel WHERE cfg_ord >= 1)
-SELECT iso.key, task, iso.configuration AS primary_configuration, round(iso.score, 6) AS primary_score, round(iso.compression, 6) AS primary_compression, NOT has_ok AS primary_fallback,
-  coalesce(array_to_string(eligible0, '+'), '') AS eligible, best.configuration AS quality_configuration, round(best.score, 6) AS quality_score, round(best.compression, 6) AS quality_compression
+CHOSEN = ", ".join(f"{'round(' if f != 'configuration' else ''}{t}.{f}{', 6)' if f != 'configuration' else ''} AS {name}_{f}" for t, name in (("iso", "primary"), ("best", "quality")) for f in ("configuration", "score", "kv_bytes", "kv_bytes_fp16", "compression"))
+
+
+@query(f"""{WITH}, {ISO99}, best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, compression DESC, cfg_ord) AS r FROM panel WHERE cfg_ord >= 1)
+SELECT iso.key, iso.task, {CHOSEN}, NOT has_ok AS primary_fallback, round(0.99 * base, 6) AS threshold, iso.score < 0.99 * base AS below_threshold, coalesce(array_to_string(eligible0, '+'), '') AS eligible
 FROM iso JOIN best ON iso.key = best.key AND best.r = 1""")
 def oracle_attach(spark, sf):
-    return rounded(O.attach(panel(spark, sf)).withColumn("eligible", F.array_join("eligible", "+")))
+    rows = O.attach(panel(spark, sf)).withColumn("eligible", F.array_join("eligible", "+"))
+    return rounded(rows.select(*(F.col(c).cast("double").alias(c) if "kv_bytes" in c else F.col(c) for c in rows.columns)))
+
+
+@query(f"""{WITH}, {ISO99}, t AS (SELECT category, task, avg(score) AS q, count(*) / sum(1 / compression) AS h FROM iso GROUP BY ALL), c AS (SELECT category, avg(q) AS q, avg(h) AS h FROM t GROUP BY ALL)
+SELECT round((SELECT avg(q) FROM c), 6) AS macro, round(avg(score), 6) AS micro, count(*) AS n, round(count(*) / sum(1 / compression), 6) AS harmonic, round((SELECT avg(h) FROM c), 6) AS category_balanced,
+  count(*) FILTER (NOT has_ok) AS fallback_count, round(avg((NOT has_ok)::INT), 6) AS fallback_fraction, count(*) FILTER (has_ok) AS nonfallback_count, count(*) FILTER (has_ok AND score < 0.99 * base) AS violation_count,
+  round(coalesce(count(*) FILTER (has_ok AND score < 0.99 * base) / nullif(count(*) FILTER (has_ok), 0), 0), 6)::DOUBLE AS violation_fraction, {", ".join(f"count(*) FILTER (configuration = 'C{i}') AS selected_C{i}" for i in range(1, 6))} FROM iso""")
+def oracle_summary(spark, sf):
+    return rounded(O.oracle_summary(panel(spark, sf)))
 
 
 def _labels_sql(tau: float) -> str:
@@ -197,6 +208,25 @@ def missing_keys(spark, sf):
     return V.missing(panel(spark, sf), expected, all_records(spark, sf), "key")
 
 
+@query(f"""{WITH}, e AS (SELECT p_type || '-' || (p_size % 3) AS task, p_partkey AS key, 'C' || i AS configuration FROM part, range(6) t(i) WHERE p_size <= 40), f AS (SELECT task, key, configuration, count(*) AS n FROM (SELECT task, key, configuration FROM records UNION ALL SELECT task, key, configuration FROM records WHERE key % 50 = 1) GROUP BY ALL)
+SELECT coalesce(e.task, f.task) AS task, coalesce(e.key, f.key) AS key, coalesce(e.configuration, f.configuration) AS configuration, CASE WHEN e.key IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS problem
+FROM e FULL JOIN f ON e.task = f.task AND e.key = f.key AND e.configuration = f.configuration WHERE e.key IS NULL OR n IS NULL OR n > 1""")
+def join_coverage(spark, sf):
+    records = all_records(spark, sf).select("task", "key", "configuration")
+    authority = table(spark, sf, "part").filter("p_size <= 40").select(F.concat_ws("-", "p_type", (F.col("p_size") % 3).cast("string")).alias("task"), F.col("p_partkey").alias("key"))
+    return V.coverage(records.unionAll(records.filter("key % 50 = 1")), authority, CONFIGS)
+
+
+@query(f"{WITH}, p AS (SELECT task, key, count(DISTINCT configuration) AS n FROM records GROUP BY task, key) SELECT task, count(*) FILTER (n < 6) AS dropped, count(*) FILTER (n = 6) AS kept FROM p GROUP BY task")
+def dropped_items(spark, sf):
+    return V.incomplete(all_records(spark, sf), CONFIGS)
+
+
+@query("""SELECT conv_id, sha256(unhex(string_agg(printf('%02X', octet_length(encode(text)) % 256) || printf('%02X', octet_length(encode(text)) // 256) || '000000000000' || hex(encode(text)), '' ORDER BY turn))) AS digest, count(*) AS n FROM conversations GROUP BY conv_id""")
+def ordered_id_digest(spark, sf):
+    return A.ordered_ids_sha256(table(spark, sf, "conversations"), "conv_id", "text", ["turn"])
+
+
 @query(f"{WITH} SELECT DISTINCT key FROM panel WHERE key NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
 def unexpected_keys(spark, sf):
     expected = table(spark, sf, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("key"))
@@ -323,10 +353,10 @@ d2 AS (SELECT *, max(ok::INT) OVER (PARTITION BY key) = 1 AS has_ok, list_sort(l
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ok DESC, CASE WHEN has_ok THEN train_cr ELSE prediction END DESC, cfg_ord) AS r FROM d2) WHERE r = 1)"""
 
 
-@query(f"{WITH}, {FOLDS}, {STATS}, {PRED}, {DECIDE} SELECT key, task, fold, configuration, round(score, 6) AS score, round(compression, 6) AS compression, CASE WHEN has_ok THEN 'eligible' ELSE 'fallback' END AS reason, coalesce(array_to_string(el, '+'), '') AS eligible FROM d")
+@query(f"{WITH}, {FOLDS}, {STATS}, {PRED}, {DECIDE} SELECT key, task, fold, configuration, round(score, 6) AS score, round(compression, 6) AS compression, CASE WHEN has_ok THEN 'eligible' ELSE 'fallback' END AS reason, coalesce(array_to_string(el, '+'), '') AS eligible, (SELECT string_agg(s.configuration, '+' ORDER BY round(s.train_cr, 9) DESC, s.cfg_ord) FROM stats s WHERE s.fold = d.fold AND s.cfg_ord >= 1) AS ranked FROM d")
 def router_decisions(spark, sf):
     _, _, stats, predicted = _router(spark, sf)
-    return rounded(R.decide(predicted, stats).select("key", "task", "fold", "configuration", "score", "compression", "reason", F.array_join("eligible", "+").alias("eligible")))
+    return rounded(R.decide(predicted, stats).select("key", "task", "fold", "configuration", "score", "compression", "reason", F.array_join("eligible", "+").alias("eligible"), F.array_join("ranked", "+").alias("ranked")))
 
 
 @query(f"""{WITH}, {FOLDS}, {STATS}, {PRED}, {DECIDE}, t AS (SELECT category, task, avg(score) AS q, count(*) / sum(1 / compression) AS h FROM d GROUP BY ALL), c AS (SELECT category, avg(q) AS q, avg(h) AS h FROM t GROUP BY ALL)
@@ -377,6 +407,33 @@ def best_operating_point(spark, sf):
     return P.best_point(_sweep(spark, sf)).select("pool_key", "tau", "q", "cr")
 
 
+def _sweep_sql(folds: str) -> str:
+    return f"""{WITH}, folds AS ({folds}), {STATS}, taus AS (SELECT unnest([0.9, 0.95, 0.99])::DOUBLE AS tau),
+e0 AS (SELECT p.*, st.fold, round(st.train_q, 9) AS prediction, round(st.train_cr, 9) AS train_cr FROM panel p JOIN folds f USING (key) JOIN stats st ON st.fold = f.fold AND st.cfg_ord = p.cfg_ord),
+e1 AS (SELECT *, max(CASE WHEN cfg_ord = 0 THEN prediction END) OVER (PARTITION BY key) AS bp, max(CASE WHEN cfg_ord = 0 THEN score END) OVER (PARTITION BY key) AS base FROM e0),
+e2 AS (SELECT e1.*, tau, prediction >= tau * bp AS ok FROM e1, taus WHERE cfg_ord >= 1), e3 AS (SELECT *, max(ok::INT) OVER (PARTITION BY key, tau) = 1 AS has_ok FROM e2),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, tau ORDER BY ok DESC, CASE WHEN has_ok THEN train_cr ELSE prediction END DESC, cfg_ord) AS r FROM e3) WHERE r = 1)
+SELECT tau, round(avg(score), 6) AS q, round(count(*) / sum(1 / compression), 6) AS cr, count(*) AS n, round(avg((score < tau * base)::INT), 6) AS violation_rate FROM e GROUP BY tau"""
+
+
+def _tau_sweep(labels, folds):
+    stats = R.train_stats(labels, folds).withColumn("train_q", F.round("train_q", 9)).withColumn("train_cr", F.round("train_cr", 9))
+    predictions = labels.select("key", "cfg_ord").join(folds, "key").join(stats.select("fold", "cfg_ord", F.col("train_q").alias("prediction")), ["fold", "cfg_ord"])
+    return rounded(R.evaluate_folds(labels, folds, (0.9, 0.95, 0.99), predictions, stats))
+
+
+@query(_sweep_sql("SELECT DISTINCT key, task AS fold FROM panel"))
+def leave_one_task_out_sweep(spark, sf):
+    labels = panel(spark, sf)
+    return _tau_sweep(labels, R.task_folds(labels))
+
+
+@query(_sweep_sql("SELECT DISTINCT key, key % 3 AS fold FROM panel"))
+def fold_tau_sweep(spark, sf):
+    labels = panel(spark, sf)
+    return _tau_sweep(labels, labels.select("key", (F.col("key") % 3).alias("fold")).distinct())
+
+
 @query(f"""{WITH}, {FOLDS}, {STATS}, {PRED}, {DECIDE}, pt AS (SELECT round(avg(score), 4) AS q, round(count(*) / sum(1 / compression), 3) AS cr FROM d), fx AS (SELECT configuration, round(avg(score), 4) AS q, round(count(*) / sum(1 / compression), 3) AS cr FROM panel GROUP BY configuration)
 SELECT configuration, CASE WHEN pt.q >= fx.q AND pt.cr >= fx.cr AND (pt.q > fx.q OR pt.cr > fx.cr) THEN 'dominates' WHEN fx.q >= pt.q AND fx.cr >= pt.cr AND (fx.q > pt.q OR fx.cr > pt.cr) THEN 'dominated' ELSE 'non_dominated' END AS verdict FROM fx, pt""")
 def pareto_verdicts(spark, sf):
@@ -414,9 +471,12 @@ def wilcoxon(spark, sf):
     return S.wilcoxon(_pairs(spark, sf)).select(F.round(F.col("statistic").cast("double"), 6).alias("statistic"), "n")
 
 
-@query()
+@query(f"""{WITH}, {PAIRS}, d AS (SELECT round(a - b, 12) AS d FROM pairs), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM d),
+s AS (SELECT sum(CASE WHEN d > 0 THEN rk ELSE 0 END)::DOUBLE AS wp, sum(CASE WHEN d < 0 THEN rk ELSE 0 END)::DOUBLE AS wm, count(*)::DOUBLE AS n, (count(*) FILTER (d = 0))::DOUBLE AS z0 FROM r),
+t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM d WHERE d <> 0 GROUP BY abs(d)))
+SELECT round(least(wp, wm), 6) AS statistic, (n - z0)::BIGINT AS n, round((least(wp, wm) - (n * (n + 1) - z0 * (z0 + 1)) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1) - ties / 2) / 24), 6) AS z FROM s, t""")
 def wilcoxon_pratt(spark, sf):
-    return S.wilcoxon(_pairs(spark, sf), "pratt")
+    return S.wilcoxon(_pairs(spark, sf), "pratt").select(F.round(F.col("statistic").cast("double"), 6).alias("statistic"), "n", F.round("z", 6).alias("z"))
 
 
 @query()
@@ -541,10 +601,20 @@ def quantize_groups(spark, sf):
     return q.select("vec_id", F.round(F.aggregate(F.zip_with("q", "x", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v), 6).alias("error"))
 
 
-@query()
+MASKED = "SELECT vec_id, round(sum(CASE WHEN m THEN score ELSE least(levels, greatest(0, round_even((score - lo) / sc, 0))) * sc + lo END), 6) AS total FROM g GROUP BY vec_id"
+
+
+def _masked_sql(low: str, high: str, levels: str, by: str) -> str:
+    kept = "coalesce({f}(score) FILTER (NOT m) OVER w, 0)"
+    lo, hi = kept.format(f="min"), kept.format(f="max")
+    return f"""WITH {LONG}, o AS (SELECT l.*, score < list_sort(x)[{low}] OR score > list_sort(x)[{high}] AS m, {levels} AS levels FROM l JOIN v USING (vec_id)),
+g AS (SELECT *, {lo} AS lo, greatest({hi} - {lo}, 1e-8) / levels AS sc FROM o WINDOW w AS (PARTITION BY {by})) {MASKED}"""
+
+
+@query(_masked_sql("2", "63", "15.0::DOUBLE", "vec_id, pos // 16"))
 def quantize_with_outliers(spark, sf):
-    v = _vectors(spark, sf).withColumn("mask", K.kth_outliers(F.col("x"), 2, 63))
-    return v.select("vec_id", F.round(F.aggregate(K.quantize_masked(4, 16)("x", "mask"), F.lit(0.0), lambda s, y: s + y), 6).alias("total"))
+    q = K.quantize_masked(F.col("x"), K.kth_outliers(F.col("x"), 2, 63), 4, 16)
+    return _vectors(spark, sf).select("vec_id", F.round(F.aggregate(q, F.lit(0.0), lambda s, y: s + y), 6).alias("total"))
 
 
 @query(f"WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(score) DESC, vec_id, pos) AS r, count(*) OVER (PARTITION BY label) AS n FROM l) SELECT label, vec_id, pos FROM r WHERE r <= round_even(n * 0.01, 0)")
@@ -597,6 +667,15 @@ def head_votes(spark, sf):
     return rounded(K.head_votes(heads, "label", 12))
 
 
+@query(f"""WITH {HEADS}, b AS (SELECT *, row_number() OVER (PARTITION BY label, head ORDER BY score DESC, pos) AS r FROM h WHERE pos < 60), c AS (SELECT label, head, greatest(sum(score) FILTER (r <= 12), 1e-6) AS c FROM b GROUP BY ALL),
+k AS (SELECT label, head, greatest(0, least(60, round_even(c / sum(c) OVER (PARTITION BY label) * (SELECT 12 * count(DISTINCT head) - 4 * count(DISTINCT head) FROM h WHERE h.label = c.label), 0))) AS share FROM c),
+vo AS (SELECT label, pos, sum(CASE WHEN r <= share THEN score ELSE 0 END) AS votes FROM b JOIN k USING (label, head) GROUP BY ALL)
+SELECT label, pos FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(votes, 9) DESC, pos) AS r FROM vo) WHERE r <= 8 UNION ALL SELECT DISTINCT label, pos FROM h WHERE pos >= 60""")
+def kept_positions(spark, sf):
+    heads = _long(spark, sf).groupBy("label", (F.col("vec_id") % 4).alias("head"), "pos").agg(F.round(F.avg("score"), 9).alias("score"))
+    return K.keep_positions(heads, "label", 12, 4)
+
+
 @query(f"WITH {VEC} SELECT vec_id, CAST(least(16, greatest(2, ceil(log2((list_max(x) - list_min(x)) / (2 * sqrt(12.0 / 100) * 0.01 / greatest(abs(x[1]), 1e-6)) + 1)))) AS INTEGER) AS bits FROM v")
 def value_bits(spark, sf):
     x = F.col("x")
@@ -609,10 +688,16 @@ def key_bits(spark, sf):
     return _vectors(spark, sf).select("vec_id", K.key_bits(F.array_max(x) - F.array_min(x), F.lit(100.0), 0.001, F.abs(F.get(x, F.lit(0)))).alias("bits"))
 
 
-@query()
+@query(_masked_sql("1", "63", "(2 ** (vec_id % 7 + 2) - 1)::DOUBLE", "vec_id"))
 def variable_bits(spark, sf):
-    v = _vectors(spark, sf).withColumn("bits", (F.col("vec_id") % 7 + 2).cast("int"))
-    return v.select("vec_id", F.round(F.aggregate(K.apply_bits("x", "bits"), F.lit(0.0), lambda s, y: s + y), 6).alias("total"))
+    q = K.apply_bits(F.col("x"), (F.col("vec_id") % 7 + 2).cast("int"), K.tail_outliers(F.col("x"), 0.01))
+    return _vectors(spark, sf).select("vec_id", F.round(F.aggregate(q, F.lit(0.0), lambda s, y: s + y), 6).alias("total"))
+
+
+@query("SELECT vec_id, round((1 - 1.0 / 64) * b + 48.0 / 64 + 36.0 / 64, 6)::DOUBLE AS bits, round(10 * 64 * ((1 - 1.0 / 64) * b + 48.0 / 64 + 36.0 / 64) / 8 * 3 / 4, 6)::DOUBLE AS held FROM (SELECT vec_id, (vec_id % 7 + 2)::DOUBLE AS b FROM embeddings)")
+def effective_bits(spark, sf):
+    b = (F.col("vec_id") % 7 + 2).cast("double")
+    return rounded(table(spark, sf, "embeddings").select("vec_id", K.effective_bits(b, 64).alias("bits"), K.held_bytes(K.effective_bytes(F.lit(10), b, 64), F.lit(3), F.lit(4)).alias("held")))
 
 
 @query(f"WITH {LONG}, m AS (SELECT label, pos, vec_id, score, row_number() OVER (PARTITION BY label, pos ORDER BY vec_id) - 1 AS step FROM l) SELECT label, pos, step, round(greatest(max(score) OVER (PARTITION BY label, pos ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), 6) AS rolling FROM m")

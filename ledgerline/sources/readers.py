@@ -23,13 +23,47 @@ def sample_task(rows: DataFrame, n: int, order: str, *by: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Strict JSON lines: a blank, partial or non-object line raises."""
+    """Strict JSON lines: a blank, partial or non-object line raises, and a file whose last line has no line feed."""
+    if cut := cut_files(spark, path):
+        raise ValueError(f"the last line of {cut[0]} has no line feed")
     lines = spark.read.text(path)
     parsed = lines.select("value", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     ok = F.when(F.trim("value") == "", F.raise_error(F.lit("blank line"))).when(F.col("r._bad").isNotNull() | F.col("r").isNull(), F.raise_error(F.concat(F.lit("no valid record: "), F.substring("value", 1, 80)))).otherwise(F.col("r"))
     return parsed.select(ok.alias("r")).select("r.*").drop("_bad")
 
 
+def cut_files(spark: SparkSession, path: str) -> list[str]:
+    """The files at a path of any store that are not empty and do not end with a line feed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store, out = where.getFileSystem(conf), []
+    for f in store.globStatus(where) or []:
+        for part in store.listStatus(f.getPath()) if f.isDirectory() else [f]:
+            if part.getLen() and not part.getPath().getName().startswith(("_", ".")):
+                stream = store.open(part.getPath())
+                stream.seek(part.getLen() - 1)
+                if stream.read() != 10:
+                    out.append(part.getPath().toString())
+                stream.close()
+    return out
+
+
+def read_routing(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """First-generation routing dataset: JSON lines of items with ``scores`` and ``compression`` per configuration, in the labels' long form.
+
+    ``path`` may hold ``{model}``. An item's number in its file's order is lost to Spark, so its own ``task`` and ``sample_idx`` make its key.
+    """
+    rows = spark.read.json(path.format(model=model) if model else path)
+    return long_labels(rows)
+
+
+def long_labels(rows: DataFrame) -> DataFrame:
+    """Wide items (structs ``scores``, ``compression`` by configuration) as one row per configuration."""
+    names = sorted(rows.schema["scores"].dataType.fieldNames())
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("configuration"), F.lit(i).alias("cfg_ord"), F.col(f"scores.{c}").cast("double").alias("score"), F.col(f"compression.{c}").cast("double").alias("compression")) for i, c in enumerate(names))))
+    return rows.select("task", F.concat_ws(":", "task", F.col("sample_idx").cast("string")).alias("key"), each.alias("_c")).select("task", "key", "_c.*")
+
+
 def complete_file(path: str) -> bool:
     """Whether a local file ends with a line feed."""
     with open(path, "rb") as f:
