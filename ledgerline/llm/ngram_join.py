@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import free, stage, table
 from ledgerline.llm.components import components
-from ledgerline.llm.wordtokens import worker_cache
+from ledgerline.llm.wordtokens import slices, worker_cache
 
 #: Keys of n-grams have 63 bits; those of the frequent ones come after all others.
 LATER = np.uint64(1 << 63)
@@ -40,13 +40,6 @@ ARROW_ROWS = 1000
 STEP = 64
 
 
-def slices(batches, rows: int = 500):
-    """The batches in parts of few rows, so that a worker holds few sets at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 class WordHashes(dict):
     """word -> 64-bit hash; of at most ``limit`` entries."""
 
@@ -334,12 +327,12 @@ def within(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) ->
 
     Each ``a`` is joined with tries of at most about ``chunk`` of its partners.
     """
+    few = pairs.count() <= 250_000
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    split = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
+    split = pairs.join(F.broadcast(load) if few else load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"))
     probes = load.select("a", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("a").alias("node"))
     taking = split.unionByName(probes)
-    taking = F.broadcast(taking) if pairs.count() <= 250_000 else taking
-    rows = sets.join(taking, "node").select("a", "part", "node", "n", "keys")
+    rows = sets.join(F.broadcast(taking) if few else taking, "node").select("a", "part", "node", "n", "keys")
 
     def run(batches):
         import pyarrow as pa

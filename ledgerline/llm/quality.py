@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import stage, table
-from ledgerline.llm.wordtokens import Memo, worker_cache
+from ledgerline.llm.wordtokens import Memo, slices, worker_cache
 
 JUNK, GOOD, ABSTAIN = 0, 1, 2
 #: Buckets of the hashed linear scorer.
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         import pyarrow as pa
 
         kind, _ = _memos(memo_entries)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern_of(Shares(t or "", kind)) for t in b.column(1).to_pylist()], pa.int32())], names=["h", "pattern"])
 
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         import pyarrow as pa
 
         kind, shape = _memos(memo_entries)
-        for b in batches:
+        for b in slices(batches):
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 i, v = features(t or "", shape, Shares(t or "", kind))
                 yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([i.tolist()], pa.list_(pa.int32())), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["h", "i", "v"])
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
         kind, shape = _memos(memo_entries)
         w, posterior = held.value
-        for b in batches:
+        for b in slices(batches):
             found = list(_judge(b.column(1).to_pylist(), w, kind, shape, posterior))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for _, p in found], pa.float64()), pa.array([s for s, _ in found], pa.float64()), pa.array([s >= 0.5 for s, _ in found], pa.bool_())], names=schema.names)
 
@@ -282,7 +282,7 @@ def keep_good(docs: DataFrame, model: dict, text_col: str = "text", memo_entries
         import pyarrow as pa
 
         kind, shape = _memos(memo_entries)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([s >= 0.5 for s, _ in _judge(b.column(at).to_pylist(), held.value, kind, shape, None)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

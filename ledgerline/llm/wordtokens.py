@@ -69,6 +69,13 @@ class Memo(dict):
         return value
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts of few rows, so that a worker holds few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 _WORKER: dict = {}
 
 
