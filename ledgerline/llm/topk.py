@@ -80,14 +80,28 @@ def merge(top_score, top_id, score, ids, k: int):
 NONE = np.iinfo(np.int64).min // 4
 
 
+#: Components below this give products whose sums over 1,024 dimensions are exact as floats.
+EXACT = 1 << 21
+#: Components below this give sums over 1,024 dimensions that fit into 64 bits.
+FITS = 1 << 26
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows."""
+    if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < EXACT and q.shape[1] <= 1024:
+        return np.rint(q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    return q @ x.T
+
+
 def search_blocks(qid, q, blocks, top_score, top_id, k: int) -> int:
     """Update the running top k of all queries with some blocks; the number of (query, block) pairs scored.
 
-    Integer scores are exact: components are below 2**24, dimensions few.
+    Scores are exact: whole numbers below 2**53 as floats (``EXACT``), larger ones as 64-bit integers.
     """
     high, low = np.stack([b[2] for b in blocks]), np.stack([b[3] for b in blocks])
     plus, minus = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
     bound = plus @ high.T.astype(float) + minus @ low.T.astype(float)
+    bound += np.abs(bound) * 1e-9 + 1  # no rounding takes it below a score
     order = np.argsort(-bound, 1, kind="stable")
     scored, active = 0, np.arange(len(q))
     for r in range(len(blocks)):
@@ -99,7 +113,7 @@ def search_blocks(qid, q, blocks, top_score, top_id, k: int) -> int:
         for b in np.unique(nth):
             who = active[nth == b]
             ids, x = blocks[b][:2]
-            score = np.rint(q[who].astype(float) @ x.T.astype(float)).astype(np.int64)
+            score = products(q[who], x)
             score = np.where(ids[None, :] == qid[who][:, None], NONE, score)
             if len(ids) > 4 * k:  # the k best of the block, with their ties; rows with the query's id are out already
                 kth = np.partition(score, len(ids) - k, 1)[:, len(ids) - k : len(ids) - k + 1]
@@ -117,23 +131,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     A query's own id is no candidate; ties go to the smaller id; fewer than
     k candidates are all returned. Null ids and vectors that are null, empty
     or hold null or non-finite components take no part; vectors must have one
-    length. Queries go to the tasks in blocks of ``queries_at_once``
-    (a bounded broadcast); each pass reads the blocks once. Repeated rows are
-    candidates each; a repeated query id is searched once.
+    length. Components of 2**26 / ``scale`` and more raise: their scores might
+    not fit into a long. Queries go to the tasks in blocks of ``queries_at_once``
+    (a bounded broadcast); each pass reads the blocks once and writes what it
+    found, so that plans stay small with any number of queries. Repeated rows
+    are candidates each; a repeated query id is searched once.
     """
     spark = vectors.sparkSession
     whole = lambda df: usable(df, id_col, vec_col, False).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
-    rows, asked = whole(vectors), whole(queries).dropDuplicates(["id"])
+    rows, asked = whole(vectors), stage(whole(queries).dropDuplicates(["id"]), "topk-queries")
+    largest = lambda df: df.agg(F.max(F.expr("array_max(transform(vec, x -> abs(x)))"))).first()[0] or 0.0
+    if max(largest(rows), largest(asked)) >= FITS:
+        raise ValueError(f"components of {FITS} and more after scaling")
     index = stage(build_blocks(rows, block_rows), "topk-blocks")
     seed_ids, seeds = sample_rows_of(rows, 1500)
-    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    passes = []
     for qid, q in query_blocks(asked, queries_at_once):
         q = q.astype(np.int64)
         # the k-th score among a few rows that do not carry the query's id is a floor for the k-th among all such rows
         floor = np.full(len(q), NONE)
         if len(seeds) >= k:
-            s = np.where(seed_ids[None, :] == qid[:, None], float(NONE), q.astype(float) @ seeds.T)
-            floor = np.partition(s, len(seeds) - k, 1)[:, len(seeds) - k].astype(np.int64)
+            s = np.where(seed_ids[None, :] == qid[:, None], NONE, products(q, seeds.astype(np.int64)))
+            floor = np.partition(s, len(seeds) - k, 1)[:, len(seeds) - k]
         held = spark.sparkContext.broadcast((qid, q, floor))
 
         def run(batches, held=held):
@@ -152,7 +171,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 a, z = r[i : i + 50_000], c[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(ids[a, z]), pa.array(score[a, z])], names=["query_id", "vec_id", "score"])
 
-        found = found.unionByName(index.mapInArrow(run, "query_id long, vec_id long, score long"))
+        passes.append(stage(index.mapInArrow(run, "query_id long, vec_id long, score long"), "topk-found"))
+    schema = "query_id long, vec_id long, score long"
+    files = [f for df in passes for f in df.inputFiles()]
+    found = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
     return best(found, k, nearest_first=False)
 
 
