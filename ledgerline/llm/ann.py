@@ -99,12 +99,16 @@ class Graph:
         return np.array([i for _, i in kept]), np.array([a for a, _ in kept])
 
 
-def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float, apart: float = 0.15):
+def between_centres(c: np.ndarray) -> np.ndarray:
+    half = (c * c).sum(1)
+    return (half[:, None] + half[None, :]) - 2 * c @ c.T
+
+
+def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float, between: np.ndarray, apart: float = 0.15):
     """(row, centre) of each vector's lists: its nearest centre, and others within ``1 + border`` of that distance
     unless a chosen centre lies far nearer to them (``apart`` of the squared distance) than the vector does."""
     half = (c * c).sum(1)
     among = min(4 * copies, len(c))
-    between = ((half[:, None] + half[None, :]) - 2 * c @ c.T)
     rows, cells = [], []
     for i in range(0, len(x), 2048):
         part = x[i : i + 2048]
@@ -129,7 +133,10 @@ def lists_of(x: np.ndarray, c: np.ndarray, copies: int, border: float, apart: fl
 
 
 def build_lists(rows: DataFrame, list_rows: int = 256, copies: int = 4, border: float = 0.25, sample_rows: int = 16_000, max_centres: int = 4096) -> tuple[DataFrame, np.ndarray]:
-    """(posting lists ``cell``, ``id``, ``vec``, ``home``: the vector's nearest list?; centres). Centres are fitted on at most ``sample_rows`` vectors; every row is indexed."""
+    """(posting lists ``cell``, ``id``, ``vec``, ``home``: the vector's nearest list?; centres). Centres are fitted on at most ``sample_rows`` vectors; every row is indexed.
+
+    Beyond ``list_rows`` * ``max_centres`` vectors lists grow with the table, as the centres of one in-memory graph do not.
+    """
     n = rows.count()
     c = balanced(sample(rows, sample_rows), int(min(max_centres, max(1, n // list_rows), sample_rows // 8)))
     held = rows.sparkSession.sparkContext.broadcast(c)  # max_centres x dimensions
@@ -137,9 +144,11 @@ def build_lists(rows: DataFrame, list_rows: int = 256, copies: int = 4, border:
     def run(batches):
         import pyarrow as pa
 
+        between = None
         for b in batches:
             if b.num_rows:
-                r, cell = lists_of(matrix(b.column(1)), held.value, copies, border)
+                between = between_centres(held.value) if between is None else between
+                r, cell = lists_of(matrix(b.column(1)), held.value, copies, border, between)
                 home = np.append(True, r[1:] != r[:-1])  # a row's nearest list comes first
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(home)], names=["cell", "id", "vec", "home"])
 
@@ -158,7 +167,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     scanned in shards by different tasks. A query's own id is no candidate;
     ties go to the smaller id; null ids and vectors that are null, zero, empty
     or hold null or non-finite components take no part; repeated query ids
-    are searched once. Vectors must have one length.
+    are searched once, and of repeated rows of an id the nearest counts once.
+    Vectors must have one length.
     """
     rows = stage(usable(vectors, id_col, vec_col, True), "ann-rows")
     asked = usable(queries, id_col, vec_col, True).dropDuplicates(["id"])
