@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.ranks import range_rank
+
 
 def quantize_groups(x: Column, bits: int, group: int) -> Column:
     """Group-wise asymmetric quantize and dequantize: groups padded with zeros that count in the range, half to even."""
@@ -53,11 +55,9 @@ def tail_outliers(x: Column, fraction: float) -> Column:
 
 
 def outlier_ranks(values: DataFrame, fraction: float, tensor: str, value: str, *ties: str) -> DataFrame:
-    """``outlier``: whether a value is among the round(n * fraction) largest magnitudes of its tensor; ties by position."""
-    w = W.partitionBy(tensor)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(F.desc(F.abs(value)), *ties))
-    return values.withColumn("outlier", rank <= F.rint(n * fraction))
+    """``outlier``: whether a value is among the round(n * fraction) largest magnitudes of its tensor; ties by position. Ranked by value ranges."""
+    ranked = range_rank(values, [tensor], -F.abs(F.col(value)), *ties)
+    return ranked.withColumn("outlier", F.col("_rank") <= F.rint(F.col("_all") * fraction)).drop("_rank", "_all")
 
 
 def kth_outliers(x: Column, low: int | Column, high: int | Column) -> Column:
@@ -95,9 +95,9 @@ def retain(scores: DataFrame, recent: int, top: int, *by: str, value: str = "sco
 
 
 def layer_budgets(scores: DataFrame, k: int, group: str, layer: str = "layer", value: str = "score") -> DataFrame:
-    """How many of a group's k best scores over all layers lie in each layer, zeros filled in."""
-    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc(value), layer, "pos"))
-    return scores.withColumn("_r", rank).groupBy(group, layer).agg(F.count_if(F.col("_r") <= k).alias("budget"))
+    """How many of a group's k best scores over all layers lie in each layer, zeros filled in. Ranked by value ranges."""
+    ranked = range_rank(scores, [group], -F.col(value), layer, "pos")
+    return ranked.groupBy(group, layer).agg(F.count_if(F.col("_rank") <= k).alias("budget"))
 
 
 def reallocate(scores: DataFrame, base: int, ratio_max: float, group: str, prefix_cap: int | None = None) -> DataFrame:
@@ -111,8 +111,7 @@ def reallocate(scores: DataFrame, base: int, ratio_max: float, group: str, prefi
     per = layers.groupBy(group).agg(F.max("heads").alias("heads"), F.count("*").alias("layers"), F.sum("entries").alias("entries"))
     k = F.least(F.lit(base) * F.col("heads") * F.col("layers"), F.col("entries"))
     best = scores.join(F.broadcast(per.select(group, k.alias("_k"))), group)  # one row a group
-    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "layer", "head", "pos"))
-    won = best.withColumn("_r", rank).filter(F.col("_r") <= F.col("_k")).groupBy(group, "layer").agg(F.count("*").alias("weight"))
+    won = range_rank(best, [group], -F.col("score"), "layer", "head", "pos").filter(F.col("_rank") <= F.col("_k")).groupBy(group, "layer").agg(F.count("*").alias("weight"))
     hard = int(ratio_max * base) if prefix_cap is None else min(int(ratio_max * base), prefix_cap)
     rows = layers.join(won, [group, "layer"], "left").join(F.broadcast(per.select(group, "layers")), group)
     rows = rows.select(group, F.col("layer").alias("item"), F.coalesce("weight", F.lit(0)).cast("double").alias("weight"), F.least(F.lit(hard), F.col("length")).alias("cap"), (F.lit(base) * F.col("layers")).alias("total"))
@@ -228,10 +227,9 @@ def rolling_max(rows: DataFrame, steps: int, *by: str, value: str = "score") ->
 
 
 def calibrated(rows: DataFrame, value: str, share: float, floor: float, *by: str) -> DataFrame:
-    """The value at sorted index int(n * share), not interpolated, at least ``floor``."""
-    w = W.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(value)) - 1
-    return rows.select(*by, value, at.alias("_i"), F.floor(F.count("*").over(w) * share).alias("_k")).filter("_i = _k").select(*by, F.greatest(F.col(value), F.lit(floor)).alias("threshold"))
+    """The value at sorted index int(n * share), not interpolated, at least ``floor``. Ranked by value ranges."""
+    ranked = range_rank(rows.select(*by, value), list(by), F.col(value))
+    return ranked.filter(F.col("_rank") - 1 == F.floor(F.col("_all") * share)).select(*by, F.greatest(F.col(value), F.lit(floor)).alias("threshold"))
 
 
 def head_groups(rows: DataFrame, per: int, *by: str, value: str = "score") -> DataFrame:

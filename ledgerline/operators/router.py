@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ledgerline.operators.ranks import range_rank
 
 
 def stratified_folds(items: DataFrame, k: int = 10) -> DataFrame:
-    """``key``, ``fold``: within each task, by key order, round robin; sizes differ by one at most. Any other fold table may be injected instead."""
-    return items.select("task", "key").distinct().select("key", ((F.row_number().over(W.partitionBy("task").orderBy("key")) - 1) % k).cast("int").alias("fold"))
+    """``key``, ``fold``: within each task, by key order, round robin; sizes differ by one at most. Any other fold table may be injected instead.
+
+    Numbers are ranked by ranges, so no task sorts a whole group; other keys by a window over the task.
+    """
+    rows = items.select("task", "key").distinct()
+    if isinstance(rows.schema["key"].dataType, NumericType):
+        ranked = range_rank(rows, ["task"], F.col("key"), "key")
+    else:
+        ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("task").orderBy("key")))
+    return ranked.select("key", ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
+
+
+def seeded_folds(items: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
+    """The same after a shuffle by the seed: within each task by seeded hash of the key, ranked by ranges."""
+    rows = items.select("task", "key").distinct().withColumn("_h", F.xxhash64("key", F.lit(seed)))
+    return range_rank(rows, ["task"], F.col("_h"), "_h", "key").select("key", ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
 
 
 def task_folds(items: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ledgerline.operators.ranks import running_sum
+
 
 def win_tie_loss(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     d = F.col(a) - F.col(b)
@@ -49,14 +50,13 @@ def wilcoxon(pairs: DataFrame, zeros: str = "wilcox", a: str = "a", b: str = "b"
 
     Zero differences are dropped (``wilcox``) or ranked and then dropped
     (``pratt``). Average ranks come from the counts of distinct magnitudes, so
-    only those are ordered, not all rows. Without any difference z is null.
+    only those are ordered, by value ranges. Without any difference z is null.
     """
     d = F.round(F.col(a) - F.col(b), 12)
     sizes = pairs.select(d.alias("d")).filter("d is not null").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("pos"))
     if zeros == "wilcox":
         sizes = sizes.filter("m > 0")
-    before = F.coalesce(F.sum("t").over(W.partitionBy(F.lit(1)).orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a magnitude
-    ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = running_sum(sizes, "m", "t", "before").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     used = F.col("m") > 0
     t = F.col("t").cast("double")
     sums = ranked.agg(F.sum(F.when(used, F.col("pos") * F.col("rank"))).alias("w_plus"), F.sum(F.when(used, (t - F.col("pos")) * F.col("rank"))).alias("w_minus"), F.sum(t).alias("n"), F.sum(F.when(~used, t).otherwise(0.0)).alias("z0"), F.sum(F.when(used, t * t * t - t).otherwise(0.0)).alias("ties"))
