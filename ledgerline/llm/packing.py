@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import stage, table
-from ledgerline.llm.wordtokens import Memo, chunks, load_tokenizer, worker_cache
+from ledgerline.llm.wordtokens import Memo, chunks, load_tokenizer, slices, worker_cache
 
 DIMS, BITS = 4, 12
 
@@ -88,7 +88,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
         enc = worker_cache(("encode", path, memo_entries), lambda: Encoder(path, memo_entries))
         width = int(enc.kind[-1])
         end = np.array([end_id], enc.kind).tobytes()
-        for b in batches:
+        for b in slices(batches):
             rows, mean = [], np.zeros((b.num_rows, DIMS))
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = enc.ids(text) if text else b""
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     and one open sequence.
     """
     spark = docs.sparkSession
-    tokens = stage(tokenize(docs, path, id_col, text_col, end_id, memo_entries), "pack")  # range-sorting reads its input twice
+    tokens = stage(tokenize(docs, path, id_col, text_col, end_id, memo_entries), "pack", 1000)  # range-sorting reads its input twice
     order = [F.col("curve_key"), F.col("doc"), F.xxhash64("ids")]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -180,11 +180,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return ranged.mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, **how) -> DataFrame:
     """What query and pipeline return of the pieces, with the digest of their ids."""
     import public_tokenizers
 
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), **how)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -211,7 +211,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern_of(Shares(t or "", kind)) for t in b.column(1).to_pylist()], pa.int32())], names=["h", "pattern"])
 
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
-    votes = stage(keyed.mapInArrow(vote, "h long, pattern int"), "votes")
+    votes = stage(keyed.mapInArrow(vote, "h long, pattern int"), "votes", 1000)
     seen = sorted((r.pattern, r.n) for r in votes.groupBy("pattern").agg(F.count("*").alias("n")).collect())
     patterns, counts = np.array([p for p, _ in seen], np.int64), np.array([n for _, n in seen], float)
     post, chance = em(patterns, counts) if seen else (np.zeros(0), np.zeros((2, len(LABELLERS), 3)))
