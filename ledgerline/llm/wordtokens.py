@@ -79,9 +79,20 @@ def slices(batches, rows: int = 500):
 _WORKER: dict = {}
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    import contextlib
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_cache(key, build):
     """What ``build()`` makes, once in each Python worker for as long as it is asked for no other: workers outlive stages."""
     if key not in _WORKER:
-        _WORKER.clear()
+        if _WORKER:
+            _WORKER.clear()
+            _give_back()
         _WORKER[key] = build()
     return _WORKER[key]
