@@ -41,7 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences; a null text is packed as an empty one, and each repeated row has pieces of its own."""
-    return packed(docs, memo_entries=400_000)  # a smaller memo than alone: workers also hold what earlier stages left
+    return packed(docs, memo_entries=150_000)  # a smaller memo than alone: workers also hold what earlier stages left
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("packing", packing)]
