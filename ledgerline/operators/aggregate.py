@@ -43,6 +43,13 @@ def task_report(rows: DataFrame, digits: tuple[int, int] = (4, 3)) -> DataFrame:
     return rows.groupBy("task").agg(F.round(F.avg("score"), digits[0]).alias("q"), F.round(harmonic("compression"), digits[1]).alias("cr"), F.count("*").alias("n"))
 
 
+def picks_report(chosen: DataFrame, configurations: list[str], digits: tuple[int, int] = (4, 3)) -> DataFrame:
+    """Per task, and over all items as ``overall``: rounded mean score and harmonic ratio, count, and how often each configuration was chosen."""
+    picks = [F.count_if(F.col("configuration") == c).alias(f"picks_{c}") for c in configurations]
+    rows = chosen.rollup("task").agg(F.grouping("task").alias("_all"), F.round(F.avg("score"), digits[0]).alias("q"), F.round(harmonic("compression"), digits[1]).alias("cr"), F.count("*").alias("n"), *picks)
+    return rows.withColumn("task", F.when(F.col("_all") == 1, "overall").otherwise(F.col("task"))).drop("_all")
+
+
 def fixed_configurations(rows: DataFrame, subset: DataFrame | None = None) -> DataFrame:
     """Mean score and harmonic ratio of always choosing one configuration, on all items or a subset of keys; ratios of zero stay out."""
     rows = rows if subset is None else rows.join(subset.select("key").distinct(), "key", "left_semi")
@@ -69,6 +76,12 @@ def length_profile(rows: DataFrame, length: str, cap: int, *by: str) -> DataFram
     return rows.groupBy(*by).agg(*(F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)), F.max(x).alias("longest"), F.sum((x > cap).cast("long")).alias("truncated"), (F.sum(F.least(x, F.lit(cap))) / F.sum(x)).alias("retained"))
 
 
+def truncation_differences(rows: DataFrame, length: str, cap: int, expected: DataFrame) -> DataFrame:
+    """Tasks whose number of rows longer than ``cap`` is not that of ``expected`` (``task``, ``truncated``), tasks of one side only among them."""
+    counted = rows.groupBy("task").agg(F.count_if(F.col(length) > cap).alias("found"))
+    return counted.join(expected, "task", "full").filter(~F.col("found").eqNullSafe(F.col("truncated")))
+
+
 def fit_metrics(rows: DataFrame, *by: str, y: str = "score", p: str = "prediction") -> DataFrame:
     """Mean absolute error and R2; constant truth gives 1 if met exactly, else 0; a single row gives null."""
     n, mean = F.count("*"), F.avg(y)

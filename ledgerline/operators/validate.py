@@ -83,6 +83,28 @@ def canonical(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return known.withColumn("task_ord", place).orderBy("task_ord", "source_index", "key").drop("task_ord")
 
 
+def lookup(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each row with what the registry has of its task; a task that it lacks raises before any row is returned."""
+    unknown = rows.select("task").distinct().join(F.broadcast(registry), "task", "left_anti")  # one row a task
+    require_none(unknown, "tasks that the registry lacks")
+    return rows.join(F.broadcast(registry), "task")
+
+
+def index_violations(index: DataFrame, registry: DataFrame, cap: int) -> DataFrame:
+    """What a prepared index breaks, as (``rule``, ``task``, ``n``): a place or an id of a task taken twice, a task whose places are not 0 to its expected count, unknown tasks, and truncation marks that the length before truncation belies.
+
+    ``index``: ``task``, ``source_index``, ``key``, ``original_tokens``, ``token_count``, ``truncated``; ``registry``: ``task``, ``expected``.
+    """
+    taken = [index.groupBy("task", c).agg(F.count("*").alias("_c")).filter("_c > 1").groupBy("task").agg(F.count("*").alias("n")).withColumn("rule", F.lit(rule)) for c, rule in (("source_index", "repeated place"), ("key", "repeated id"))]
+    counts = index.groupBy("task").agg(F.count("*").alias("_c"), F.min("source_index").alias("_low"), F.max("source_index").alias("_high"))
+    both = counts.join(F.broadcast(registry.select("task", "expected")), "task", "full")
+    whole = (F.col("_c") == F.col("expected")) & (F.col("_low") == 0) & (F.col("_high") == F.col("expected") - 1)
+    panel = both.filter(F.col("expected").isNull() | ~F.coalesce(whole, F.lit(False))).select("task", F.coalesce("_c", F.lit(0)).alias("n"), F.when(F.col("expected").isNull(), "unknown task").otherwise("incomplete task").alias("rule"))
+    right = (F.col("truncated") == (F.col("original_tokens") > cap)) & (F.col("token_count") == F.least("original_tokens", F.lit(cap)))
+    marks = index.filter(~F.coalesce(right, F.lit(False))).groupBy("task").agg(F.count("*").alias("n")).withColumn("rule", F.lit("truncation"))
+    return taken[0].unionByName(taken[1]).unionByName(panel).unionByName(marks).select("rule", "task", "n")
+
+
 def identity_differences(found: dict, expected: dict, path: str = "") -> list[str]:
     """Dotted names of what two provenance documents (manifest, environment, run identity, hashes) do not agree in; empty if all is equal."""
     out = []

@@ -135,6 +135,16 @@ def task_report(spark, sf):
     return A.task_report(panel(spark, sf).filter("cfg_ord = 1"))
 
 
+PICKS = ", ".join(f"count(*) FILTER (configuration = '{c}') AS picks_{c}" for c in CONFIGS[1:])
+
+
+@query(f"""{WITH}, {ISO99}
+SELECT CASE WHEN grouping(task) = 1 THEN 'overall' ELSE task END AS task, round(avg(score), 6) AS q, round(count(*) / sum(1 / compression), 6) AS cr, count(*) AS n, {PICKS} FROM iso GROUP BY ROLLUP (task)""")
+def picks_report(spark, sf):
+    return A.picks_report(O.iso_quality(panel(spark, sf)), CONFIGS[1:], (6, 6))
+
+
+
 @query(f"{WITH} SELECT configuration, round(avg(score), 6) AS q, round(count(*) / sum(1 / compression), 6) AS cr, count(*) AS n FROM panel GROUP BY configuration")
 def fixed_configurations(spark, sf):
     return rounded(A.fixed_configurations(panel(spark, sf)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
 import platform
 import re
+import subprocess
 import zipfile
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,6 +98,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").option("header", True).option("lineSep", "\n").csv(path)
 
 
+def master(parts: dict[str, DataFrame], label: str = "part") -> DataFrame:
+    """The tables of a master file under each other, in the order given: ``label`` names the part; columns that a part lacks are null."""
+    out = None
+    for i, (name, part) in enumerate(parts.items()):
+        rows = part.select(F.lit(i).alias("part_ord"), F.lit(name).alias(label), *part.columns)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no parts")
+    return out
+
+
 def bundle(files: dict[str, str], path: str) -> None:
     """A deflated ZIP of name -> local file."""
     with zipfile.ZipFile(path, "x", zipfile.ZIP_DEFLATED) as z:
@@ -112,9 +126,35 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *("| " + " | ".join(str(r[c]) for c in columns) + " |" for r in rows)])
 
 
-def environment(spark: SparkSession) -> dict:
+def git_state(folder: str = ".") -> dict:
+    """Commit and cleanness of the working copy that ``folder`` lies in; nulls where there is none."""
+
+    def git(*what: str) -> str | None:
+        try:
+            done = subprocess.run(["git", "-C", folder, *what], capture_output=True, text=True, timeout=30, check=False)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    changes = git("status", "--porcelain")
+    return {"commit": git("rev-parse", "HEAD"), "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "dirty": None if changes is None else bool(changes)}
+
+
+def package_versions(*names: str) -> dict:
+    """Installed version of each package, null where it is not installed."""
+    out = {}
+    for name in names:
+        try:
+            out[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            out[name] = None
+    return out
+
+
+def environment(spark: SparkSession, folder: str = ".", packages: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "numpy")) -> dict:
+    """What a run ran on: versions of Spark, Java, Python and packages, platform, and the state of the code in ``folder``."""
     jvm = spark.sparkContext._jvm.System
-    return {"spark": spark.version, "java": jvm.getProperty("java.version"), "python": platform.python_version(), "platform": platform.platform()}
+    return {"spark": spark.version, "java": jvm.getProperty("java.version"), "python": platform.python_version(), "platform": platform.platform(), "packages": package_versions(*packages), "git": git_state(folder)}
 
 
 def file_sha256(path: str) -> str:
@@ -122,15 +162,35 @@ def file_sha256(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def finalize(recomputed: DataFrame, stored: DataFrame, manifest: dict, path: str) -> str:
-    """Compare a stored table with its recomputation in both directions and write the manifest; complete manifests are final, the same one again is no error."""
+@contextlib.contextmanager
+def exclusive(path: str):
+    """One holder of the lock file at a time; a second one raises at once."""
+    import fcntl
+
+    with open(path, "a") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError as e:
+            raise RuntimeError(f"{path} is held by another run") from e
+        yield
+
+
+def finalize(tables: dict[str, tuple[DataFrame, DataFrame]], artifacts: dict[str, str], manifest: dict, path: str) -> str:
+    """Mark a run complete; the hash of its manifest.
+
+    Every stored table (second) must be its recomputation (first), row for row
+    in both directions. The manifest holds the hash of each artifact, a local
+    file. A complete manifest is final: the same one again is no error, another
+    one, or an artifact changed since, raises.
+    """
     from ledgerline.operators.validate import same_rows
 
-    if not same_rows(recomputed, stored):
-        raise ValueError("the stored rows are not those recomputed")
-    done = manifest | {"status": "complete"}
-    if Path(path).exists():
-        if json.loads(Path(path).read_text()) != done:
-            raise ValueError("another manifest is already complete")
-        return file_sha256(path)
-    return atomic_json(done, path)
+    with exclusive(f"{path}.lock"):
+        if differ := [name for name, (recomputed, stored) in tables.items() if not same_rows(recomputed, stored)]:
+            raise ValueError(f"the stored rows are not those recomputed: {', '.join(differ)}")
+        done = manifest | {"status": "complete", "artifacts": {name: file_sha256(file) for name, file in artifacts.items()}}
+        if Path(path).exists():
+            if json.loads(Path(path).read_text()) != done:
+                raise ValueError("another manifest is already complete, or an artifact changed since")
+            return file_sha256(path)
+        return atomic_json(done, path)
