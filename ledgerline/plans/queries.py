@@ -274,6 +274,22 @@ def journal_status(spark, sf):
     return V.status_counts(_journal(spark, sf), "user_id")
 
 
+@query("""WITH j AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'completed' END AS status FROM events),
+d AS (SELECT *, coalesce(max((status = 'completed')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM j),
+o AS (SELECT *, CASE WHEN status = 'running' THEN 'invalid status' WHEN done = 1 THEN 'already completed' ELSE 'appended' END AS outcome FROM d)
+SELECT user_id, event_id, status, outcome, CASE WHEN outcome = 'appended' THEN CAST(count(*) FILTER (outcome = 'appended') OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) END AS attempt FROM o""")
+def journal_stream(spark, sf):
+    from ledgerline.sources.scratch import fresh
+    from ledgerline.streaming.journal import decide_stream
+
+    schema = table(spark, sf, "events").schema
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running").otherwise("completed")
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select("user_id", "event_id", F.col("event_id").alias("seq"), status.alias("status"))
+    path = fresh(spark, "journal")
+    decide_stream(events, f"{path}/rows", f"{path}/state", "user_id").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("user_id", "event_id", "status", "outcome", "attempt")
+
+
 @query("SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type <> 'error')")
 def pending_keys(spark, sf):
     return V.pending(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), _journal(spark, sf), "user_id")
