@@ -1,119 +1,179 @@
-"""Learned per-item score predictions: one scaler and boosted-tree regressor per (fold, configuration).
+"""Learned score predictions: a scaler and boosted trees per (held-out fold, configuration), by spark.ml.
 
-The panels are small (thousands of items), the fits many and independent:
-each runs as one group, on its training rows alone, so no fit sees its fold.
+Every fit is a distributed one: trees grow on histograms that tasks sum and
+the driver only chooses splits from, so a fold or configuration may be of any
+size. Fits are independent and run some at a time, as many as ``parallelism``. Predictions are a table, made once
+for given scores, features, folds and settings, and found again by their content.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+from dataclasses import asdict, dataclass
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources.scratch import exists, fresh, shared, staged
+
+PREDICTIONS = "key {key}, fold {fold}, cfg_ord int, prediction double"
+
+
+@dataclass(frozen=True)
+class Settings:
+    """The published learner's by default; ``features`` names those of the vector that are looked at (none: all)."""
+
+    rounds: int = 300
+    depth: int = 4
+    rate: float = 0.05
+    bins: int = 255
+    least: int = 20
+    seed: int = 42
+    features: tuple[str, ...] = ()
+
+
+def items(labels: DataFrame, features: DataFrame, folds: DataFrame) -> DataFrame:
+    """One row per item: ``key``, ``fold``, ``s<cfg_ord>`` (score) per configuration, and the columns of ``features`` with null as -1."""
+    ordinals = sorted(r[0] for r in labels.select("cfg_ord").distinct().collect())  # one row a configuration
+    scores = labels.groupBy("key").agg(*(F.max(F.when(F.col("cfg_ord") == c, F.col("score"))).alias(f"s{c}") for c in ordinals))
+    filled = features.select("key", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in features.columns if c != "key"))
+    return scores.join(folds.select("key", "fold"), "key").join(filled, "key")
+
 
-def standardize(train: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """By mean and population deviation of the training rows."""
-    sd = train.std(0)
-    return (x - train.mean(0)) / np.where(sd > 0, sd, 1.0)
+def learner(names: list[str], label: str, out: str, s: Settings) -> Pipeline:
+    gather = VectorAssembler(inputCols=names, outputCol="_x")
+    scale = StandardScaler(inputCol="_x", outputCol="_z", withMean=True)
+    trees = GBTRegressor(featuresCol="_z", labelCol=label, predictionCol=out, maxIter=s.rounds, maxDepth=s.depth, stepSize=s.rate, maxBins=s.bins, minInstancesPerNode=s.least, seed=s.seed)
+    return Pipeline(stages=[gather, scale, trees])
 
 
-def _thresholds(v: np.ndarray, bins: int) -> np.ndarray:
-    """Between all distinct values if they are at most ``bins``, else at quantiles."""
-    u = np.unique(v)
-    if len(u) <= bins:
-        return (u[:-1] + u[1:]) / 2
-    return np.unique(np.percentile(v, np.linspace(0, 100, bins + 1)[1:-1], method="midpoint"))
+def fit_one(rows: DataFrame, fold, c: int, names: list[str], s: Settings) -> PipelineModel:
+    """A configuration's model from the rows of other folds that have its score."""
+    train = rows.filter(~F.col("fold").eqNullSafe(F.lit(fold))).filter(f"s{c} is not null")
+    return learner(names, f"s{c}", f"_p{c}", s).fit(train)
 
 
-def _grow(binned: np.ndarray, g: np.ndarray, depth: int, width: int, least: int):
-    """Per level (split feature or -1, bin) of each node, and the means of the last level's nodes; all nodes of a level at once.
+def predict_fold(rows: DataFrame, fold, models: list[PipelineModel], ordinals: list[int]) -> DataFrame:
+    held = rows.filter(F.col("fold").eqNullSafe(F.lit(fold)))
+    for model in models:
+        held = model.transform(held).drop("_x", "_z")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cfg_ord"), F.col(f"_p{c}").alias("prediction")) for c in ordinals))).alias("_c")
+    return held.select("key", "fold", each).select("key", "fold", "_c.cfg_ord", "_c.prediction")
 
-    A node takes the split of largest squared-error gain, both sides of at
-    least ``least`` rows; one without such a split passes its rows to the left.
+
+def predictions(rows: DataFrame, s: Settings | None = None, parallelism: int = 8) -> DataFrame:
+    """``key``, ``fold``, ``cfg_ord``, ``prediction`` of ``items`` rows, each by fits that have not seen its fold.
+
+    Folds are a few (each is a fit per configuration), so they are listed on
+    the driver. An empty table gives no predictions, and so does a table of a
+    single fold, whose fits would have no rows.
     """
-    node, levels = np.zeros(len(g), np.int64), []
-    for level in range(depth):
-        m = 2**level
-        best, feature, cut = np.full(m, 1e-12), np.full(m, -1), np.zeros(m, np.int64)
-        for f in range(binned.shape[1]):
-            at = node * width + binned[:, f]
-            n = np.bincount(at, minlength=m * width).reshape(m, width).cumsum(1)
-            s = np.bincount(at, g, m * width).reshape(m, width).cumsum(1)
-            all_n, all_s = n[:, -1:], s[:, -1:]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = s * s / n + (all_s - s) ** 2 / (all_n - n) - all_s**2 / all_n
-            gain = np.where((n >= least) & (all_n - n >= least), gain, -np.inf)
-            t = gain.argmax(1)
-            gain = gain[np.arange(m), t]
-            better = gain > best + 1e-12
-            best, feature, cut = np.where(better, gain, best), np.where(better, f, feature), np.where(better, t, cut)
-        levels.append((feature, cut))
-        node = _step(binned, node, feature, cut)
-    n = np.bincount(node, minlength=2**depth)
-    return levels, np.bincount(node, g, 2**depth) / np.maximum(n, 1), node
-
-
-def _step(binned, node, feature, cut):
-    f = feature[node]
-    return 2 * node + ((f >= 0) & (binned[np.arange(len(node)), f] > cut[node]))
-
-
-def boost(train: np.ndarray, y: np.ndarray, x: np.ndarray, rounds: int = 300, depth: int = 4, rate: float = 0.05, bins: int = 255, least: int = 20) -> np.ndarray:
-    """Predictions for x of gradient-boosted histogram trees; by default with the published settings."""
-    edges = [_thresholds(train[:, f], bins) for f in range(train.shape[1])]
-    binned = [np.stack([np.searchsorted(e, m[:, f]) for f, e in enumerate(edges)], 1) for m in (train, x)]
-    at, out = np.full(len(y), y.mean()), np.full(len(x), y.mean())
-    for _ in range(rounds):
-        levels, value, node = _grow(binned[0], y - at, depth, bins + 1, least)
-        at = at + rate * value[node]
-        node = np.zeros(len(x), np.int64)
-        for feature, cut in levels:
-            node = _step(binned[1], node, feature, cut)
-        out = out + rate * value[node]
+    s = s or Settings()
+    names = [c for c in rows.columns if c not in ("key", "fold") and not (c[0] == "s" and c[1:].isdigit())]
+    names = [c for c in names if c in s.features] if s.features else names
+    ordinals = sorted(int(c[1:]) for c in rows.columns if c[0] == "s" and c[1:].isdigit())
+    folds = sorted((r[0] for r in rows.select("fold").distinct().collect()), key=lambda x: (x is None, x))  # a fold a row
+    empty = rows.sparkSession.createDataFrame([], PREDICTIONS.format(key=rows.schema["key"].dataType.simpleString(), fold=rows.schema["fold"].dataType.simpleString()))
+    if len(folds) < 2:
+        return empty
+    work = inheritable_thread_target(rows.sparkSession)(lambda fit: fit_one(rows, *fit, names, s))
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(work, [(fold, c) for fold in folds for c in ordinals], chunksize=1)
+    out = empty
+    for k, fold in enumerate(folds):
+        out = out.unionByName(predict_fold(rows, fold, models[k * len(ordinals) : (k + 1) * len(ordinals)], ordinals))
     return out
 
 
-def fit_predict(rows: DataFrame, features: str = "features") -> DataFrame:
-    """``fold``, ``cfg_ord``, ``key``, ``prediction``: rows (key, fold, cfg_ord, score, features) predicted by fits on the other folds.
+def fingerprint(rows: DataFrame) -> str:
+    """Of a table's rows in any order, repeated ones counted, and of its columns: by sums of two hashes, in one aggregation."""
+    names = sorted(rows.columns)
+    sums = [F.sum(F.xxhash64(F.lit(seed), *names).cast("decimal(38,0)")) for seed in (1, 2)]
+    found = rows.agg(F.count("*"), *sums).first()
+    return hashlib.sha256(json.dumps([names, [rows.schema[c].dataType.simpleString() for c in names], [str(x) for x in found]]).encode()).hexdigest()
+
+
+def address(rows: DataFrame, s: Settings) -> str:
+    """What predictions depend on: scores, features and folds (``items`` rows), and the settings."""
+    return hashlib.sha256(json.dumps([fingerprint(rows), asdict(s)], sort_keys=True).encode()).hexdigest()
 
-    A group is one configuration's rows times one held-out fold: bounded by
-    the panel, not by the corpus.
+
+def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str | None = None, parallelism: int = 8) -> DataFrame:
+    """The predictions of ``items`` rows from ``store`` (by default in the shared folder), made and stored there if they are not yet.
+
+    A table's name is the hash of all it depends on, so another score, feature,
+    fold or setting is another table and a stale one is never read. Spark's
+    committer makes a table appear as a whole; one without its mark of success is made again.
     """
-    folds = F.broadcast(rows.select(F.col("fold").alias("held")).distinct())  # a few folds
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf["fold"] == pdf["held"]
-        x = np.stack(pdf[features].to_numpy())
-        train, test = x[~held], x[held]
-        p = boost(standardize(train, train), pdf.loc[~held, "score"].to_numpy(), standardize(train, test)) if len(train) and len(test) else np.zeros(len(test))
-        return pd.DataFrame({"fold": pdf.loc[held, "fold"], "cfg_ord": pdf.loc[held, "cfg_ord"], "key": pdf.loc[held, "key"], "prediction": p})
-
-    kind = rows.schema["fold"].dataType.simpleString()
-    return rows.crossJoin(folds).groupBy("held", "cfg_ord").applyInPandas(run, f"fold {kind}, cfg_ord int, key long, prediction double")
-
-
-def ml_fit(train: DataFrame, test: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
-    """The same by spark.ml, for panels too large for one task: scaler and GBT regressor."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    steps = [VectorAssembler(inputCols=columns, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), GBTRegressor(featuresCol="_z", labelCol="score", predictionCol="prediction", maxIter=300, maxDepth=4, stepSize=0.05, seed=seed)]
-    return Pipeline(stages=steps).fit(train).transform(test).drop("_x", "_z")
-
-
-def cross_validated(spark: SparkSession, sf: str, folds: int = 5, tau: float = 0.99) -> DataFrame:
-    """Routing by learned predictions under cross-validation: selections per configuration with mean score and harmonic ratio."""
-    from ledgerline.functions.features import vector
-    from ledgerline.operators import router as R
-    from ledgerline.operators.aggregate import harmonic
-    from ledgerline.sources.panel import panel, table
-
-    labels = panel(spark, sf)
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), vector([F.col("p_size"), F.col("p_retailprice") if "p_retailprice" in table(spark, sf, "part").columns else F.col("p_partkey") % 7]).alias("features"))
-    fold = R.stratified_folds(labels, folds)
-    rows = labels.join(fold, "key").join(parts, "key")
-    predicted = rows.drop("features").join(fit_predict(rows.select("key", "fold", "cfg_ord", "score", "features")), ["fold", "cfg_ord", "key"])
-    chosen = R.decide(predicted, R.train_stats(labels, fold), tau)
-    return chosen.groupBy("configuration").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("q"), F.round(harmonic("compression"), 6).alias("cr"))
+    spark, s = rows.sparkSession, s or Settings()
+    path = f"{store or shared(spark) + '/ledgerline/predictions'}/{address(rows, s)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        kept = staged(rows, fresh(spark, "items"))  # every round of every fit reads them
+        parts = max(1, min(spark.sparkContext.defaultParallelism, kept.count() // 5_000))
+        predictions(kept.repartition(parts, "key"), s, parallelism).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def require_fresh(stored_path: str, rows: DataFrame, s: Settings) -> None:
+    """Raises if predictions at a path that was written down before are not of these rows and settings."""
+    if stored_path.rstrip("/").rpartition("/")[2] != address(rows, s):
+        raise ValueError(f"{stored_path} holds predictions of other scores, features, folds or settings")
+
+
+def mean_baseline(rows: DataFrame) -> DataFrame:
+    """``fold``, ``cfg_ord``, ``mean``: a configuration's mean score over the other folds."""
+    ordinals = [c for c in rows.columns if c[0] == "s" and c[1:].isdigit()]
+    long = rows.select("fold", F.explode(F.array(*(F.struct(F.lit(int(c[1:])).alias("cfg_ord"), F.col(c).alias("score")) for c in ordinals))).alias("_c")).select("fold", "_c.*")
+    per = long.groupBy("fold", "cfg_ord").agg(F.sum("score").alias("s"), F.count("score").alias("n"))
+    total = per.groupBy("cfg_ord").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
+    return per.join(total, "cfg_ord").select("fold", "cfg_ord", ((F.col("_s") - F.col("s")) / (F.col("_n") - F.col("n"))).alias("mean"), (F.col("_n") - F.col("n")).alias("train_rows"))
+
+
+def fit_report(labels: DataFrame, rows: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per fold and configuration: ``train_rows``, ``test_rows``, ``mae``, ``r2`` and ``mean_mae``, the error of the other folds' mean."""
+    both = labels.select("key", "cfg_ord", "configuration", "score").join(predicted, ["key", "cfg_ord"]).join(mean_baseline(rows), ["fold", "cfg_ord"])
+    error = F.col("score") - F.col("prediction")
+    var = F.sum(F.col("score") * F.col("score")) - F.count("*") * F.avg("score") * F.avg("score")
+    return both.groupBy("fold", "configuration").agg(
+        F.max("train_rows").alias("train_rows"), F.count("*").alias("test_rows"), F.avg(F.abs(error)).alias("mae"),
+        F.when(var > 0, 1 - F.sum(error * error) / var).alias("r2"), F.avg(F.abs(F.col("score") - F.col("mean"))).alias("mean_mae"),
+    )
+
+
+def vector_features(text: Column, ids: Column) -> dict[str, Column]:
+    """The seven prompt features, by name."""
+    from ledgerline.functions.features import gzip_ratio, prompt_features
+
+    return prompt_features(text, ids) | {"gzip_ratio": F.round(gzip_ratio(text), 4)}
+
+
+def text_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels and features of texts under caps on their words: C0 keeps all, C1 to C5 the first and last 8 to 128.
+
+    The score is the share of a text's distinct words that are kept, the ratio words over kept words.
+    """
+    from ledgerline.functions.features import middle_truncate, words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), F.concat_ws("-", "lang").alias("task"), F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
+    caps = [None, 256, 128, 64, 32, 16]
+    cell = lambda i, cap: F.struct(F.lit(i).alias("cfg_ord"), F.lit(f"C{i}").alias("configuration"), (F.col("w") if cap is None else middle_truncate(F.col("w"), cap)).alias("kept"))
+    long = docs.filter("size(w) > 0").select("key", "task", "w", F.explode(F.array(*(cell(i, c) for i, c in enumerate(caps)))).alias("c")).select("key", "task", "w", "c.*")
+    labels = long.select("task", F.col("task").alias("category"), "key", "configuration", "cfg_ord", (F.size(F.array_distinct("kept")) / F.size(F.array_distinct("w"))).alias("score"), (F.size("w") / F.size("kept")).alias("compression"))
+    features = docs.filter("size(w) > 0").select("key", *(c.alias(n) for n, c in vector_features(F.col("text"), F.col("w")).items()))
+    return labels, features
+
+
+def cross_validated(spark: SparkSession, sf_dir: str, folds: int = 2, s: Settings | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labels, folds, ``items`` rows and stored predictions of the text panel."""
+    from ledgerline.operators.router import stratified_folds
+
+    labels, features = text_panel(spark, sf_dir)
+    fold = stratified_folds(labels, folds)
+    rows = items(labels, features, fold)
+    return labels, fold, rows, stored_predictions(rows, s or Settings(rounds=6, rate=0.5, bins=64), store)

@@ -755,11 +755,26 @@ def perplexity(spark, sf):
 # --- learned and sink-shaped -------------------------------------------------
 
 
+TEXT_FOLDS = """d AS (SELECT doc_id AS key, coalesce(lang, '') AS task FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 0),
+f AS (SELECT key, CAST((row_number() OVER (PARTITION BY task ORDER BY key) - 1) % 2 AS INTEGER) AS fold FROM d)"""
+
+
+@query(f"""WITH {TEXT_FOLDS}, n AS (SELECT fold, count(*) AS test_rows FROM f GROUP BY fold)
+SELECT fold, 'C' || i AS configuration, CAST(sum(test_rows) OVER (PARTITION BY i) - test_rows AS BIGINT) AS train_rows, test_rows, true AS beats_mean FROM n, range(1, 6) t(i)""")
+def learned_fits(spark, sf):
+    from ledgerline.operators import learned
+
+    labels, _, rows, predicted = learned.cross_validated(spark, sf)
+    report = learned.fit_report(labels, rows, predicted).filter("configuration <> 'C0'")
+    return report.select("fold", "configuration", "train_rows", "test_rows", (F.col("mae") < F.col("mean_mae")).alias("beats_mean"))
+
+
 @query()
 def router_learned(spark, sf):
-    from ledgerline.operators.learned import cross_validated
+    from ledgerline.operators import learned
 
-    return cross_validated(spark, sf)
+    labels, fold, _, predicted = learned.cross_validated(spark, sf)
+    return rounded(R.evaluate_folds(labels, fold, (0.5, 0.7, 0.9), predicted))
 
 
 @query(f"{WITH}, {ISO99} SELECT p.task, p.key, " + ", ".join(f"round(max(CASE WHEN p.configuration = '{c}' THEN p.{f} END), 6) AS {c}_{f}" for c in CONFIGS for f in ("score", "compression")) + ", any_value(iso.configuration) AS oracle FROM panel p JOIN iso ON iso.key = p.key GROUP BY p.task, p.key")

@@ -1,53 +1,72 @@
+"""Distributed fits: no fit sees its fold, predictions are made once and found again by content."""
+
 import inspect
 
-import numpy as np
-
-from ledgerline.operators import learned
-
-
-def slow(train, y, x, rounds, depth, rate, bins, least):
-    """The same by plain recursion over row masks."""
-
-    def tree(rows, g, d):
-        best = (1e-12, None)
-        if d and len(rows):
-            for f in range(train.shape[1]):
-                for t in edges[f]:
-                    left = train[rows, f] <= t
-                    if least <= left.sum() <= len(rows) - least:
-                        gain = g[left].sum() ** 2 / left.sum() + g[~left].sum() ** 2 / (~left).sum() - g.sum() ** 2 / len(g)
-                        if gain > best[0] + 1e-12:
-                            best = (gain, (f, t, left))
-        if best[1] is None:
-            return g.mean()
-        f, t, left = best[1]
-        return f, t, tree(rows[left], g[left], d - 1), tree(rows[~left], g[~left], d - 1)
-
-    def value(node, v):
-        while isinstance(node, tuple):
-            node = node[2] if v[node[0]] <= node[1] else node[3]
-        return node
-
-    edges = [learned._thresholds(train[:, f], bins) for f in range(train.shape[1])]
-    at, out = np.full(len(y), y.mean()), np.full(len(x), y.mean())
-    for _ in range(rounds):
-        root = tree(np.arange(len(y)), y - at, depth)
-        at, out = at + rate * np.array([value(root, v) for v in train]), out + rate * np.array([value(root, v) for v in x])
-    return out
-
-
-def test_default_fit_is_the_whole_one():
-    p = inspect.signature(learned.boost).parameters
-    assert {k: p[k].default for k in ("rounds", "depth", "rate", "bins")} == {"rounds": 300, "depth": 4, "rate": 0.05, "bins": 255}
-    rng = np.random.default_rng(1)
-    x = rng.uniform(size=(1200, 2))
-    y = np.sin(20 * x[:, 0]) * (x[:, 1] > 0.5)  # more waves than 30 shallow trees of 16 bins can follow
-    error = lambda **a: np.mean((learned.boost(x[:900], y[:900], x[900:], **a) - y[900:]) ** 2)
-    assert error() < error(rounds=30, depth=3, rate=0.1, bins=16, least=10) / 3
-
-
-def test_levels_match_recursion():
-    rng = np.random.default_rng(2)
-    x, y = np.round(rng.normal(size=(150, 3)), 1), rng.normal(size=150)
-    a = dict(rounds=4, depth=4, rate=0.3, bins=20, least=5)
-    assert np.allclose(learned.boost(x[:120], y[:120], x[120:], **a), slow(x[:120], y[:120], x[120:], **a))
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.operators import learned as L
+from ledgerline.operators import router as R
+from ledgerline.operators import sweep as P
+
+FAST = L.Settings(rounds=4, depth=2, rate=0.7, bins=16, least=1)
+
+
+def panel(spark, n=120, folds=2, configurations=3):
+    """Scores that follow the first feature; key % folds is the fold."""
+    rows = [("t", k, f"C{c}", c, (k % 7) / 7 + c / 100, 1.0 + c) for k in range(n) for c in range(configurations)]
+    labels = spark.createDataFrame(rows, "task string, key long, configuration string, cfg_ord int, score double, compression double")
+    features = spark.createDataFrame([(k, float(k % 7), None if k % 5 else 1.0) for k in range(n)], "key long, a double, b double")
+    return labels, features, labels.select("key", (F.col("key") % folds).cast("int").alias("fold")).distinct()
+
+
+def test_published_settings(spark):
+    s = L.Settings()
+    assert (s.rounds, s.depth, s.rate, s.bins, s.least, s.seed) == (300, 4, 0.05, 255, 20, 42)
+    steps = L.learner(["a"], "s0", "p", s).getStages()
+    assert (steps[2].getMaxIter(), steps[2].getMaxDepth(), steps[2].getStepSize(), steps[2].getMaxBins(), steps[2].getMinInstancesPerNode()) == (300, 4, 0.05, 255, 20)
+    assert "applyInPandas" not in inspect.getsource(L)
+
+
+def test_fits_beat_the_mean_and_report_counts(spark):
+    labels, features, folds = panel(spark)
+    rows = L.items(labels, features, folds).cache()
+    got = L.fit_report(labels, rows, L.predictions(rows, FAST)).collect()
+    assert len(got) == 6
+    for r in got:
+        assert (r.train_rows, r.test_rows) == (60, 60) and r.mae < r.mean_mae / 2 and r.r2 > 0.7
+
+
+def test_no_fit_sees_its_fold(spark):
+    rows = spark.createDataFrame([(k, k % 2, float(k % 2), float(k % 3)) for k in range(60)], "key long, fold int, s0 double, a double")
+    assert {(r.fold, round(r.prediction, 9)) for r in L.predictions(rows, FAST).collect()} == {(0, 1.0), (1, 0.0)}
+
+
+def test_null_scores_features_folds_and_small_tables(spark):
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else "x" if k % 3 == 1 else "y", None if k == 1 else k / 30, -1.0) for k in range(30)], "key long, fold string, s1 double, a double")
+    got = L.predictions(rows, FAST).collect()
+    assert sorted(r.key for r in got) == list(range(30)) and {r.cfg_ord for r in got} == {1} and all(r.prediction == r.prediction for r in got)
+    assert L.predictions(rows.limit(0), FAST).count() == 0 and L.predictions(rows.filter("fold = 'x'"), FAST).count() == 0
+
+
+def test_predictions_are_made_once_for_a_sweep(spark, tmp_path, monkeypatch):
+    labels, features, folds = panel(spark)
+    rows = L.items(labels, features, folds)
+    calls, real = [], L.predictions
+    monkeypatch.setattr(L, "predictions", lambda *a: calls.append(1) or real(*a))
+    stats, store = R.train_stats(labels, folds), str(tmp_path)
+    for _ in range(2):
+        predicted = L.stored_predictions(rows, FAST, store)
+        points = P.points(spark, (0.8, 0.9, 0.95, 0.99, 1.0))
+        found = R.decide(labels.join(predicted, ["key", "cfg_ord"]), stats, points=points)
+        assert found.select("pool_key", "tau").distinct().count() >= 5
+    assert len(calls) == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and f"{store}/" in str(predicted.inputFiles())
+    other = L.stored_predictions(rows.withColumn("s0", F.col("s0") + F.when(F.col("key") == 3, 1e-6).otherwise(0.0)), FAST, store)
+    assert len(calls) == 2 and other.inputFiles() != predicted.inputFiles()
+    assert L.address(rows.orderBy(F.desc("key")).repartition(3), FAST) == L.address(rows, FAST) != L.address(rows, L.Settings())
+    path = predicted.inputFiles()[0].rpartition("/")[0]
+    L.require_fresh(path, rows, FAST)
+    with pytest.raises(ValueError, match="other scores"):
+        L.require_fresh(path, rows.filter("key > 0"), FAST)
