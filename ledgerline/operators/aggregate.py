@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
+
+from ledgerline.operators.ranks import quantiles, range_rank, same
 
 
 def harmonic(x: str | Column) -> Column:
@@ -73,7 +76,9 @@ def violations(chosen: DataFrame, baseline: DataFrame, tau: float) -> DataFrame:
 def length_profile(rows: DataFrame, length: str, cap: int, *by: str) -> DataFrame:
     """Exact linear percentiles, largest, truncated rows and the share of length kept under a cap."""
     x = F.col(length)
-    return rows.groupBy(*by).agg(*(F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 95, 99)), F.max(x).alias("longest"), F.sum((x > cap).cast("long")).alias("truncated"), (F.sum(F.least(x, F.lit(cap))) / F.sum(x)).alias("retained"))
+    totals = rows.groupBy(*by).agg(F.max(x).alias("longest"), F.sum((x > cap).cast("long")).alias("truncated"), (F.sum(F.least(x, F.lit(cap))) / F.sum(x)).alias("retained"))
+    found = quantiles(rows, list(by), length, {f"p{p}": p / 100 for p in (50, 90, 95, 99)})
+    return same(totals, found, list(by), "left").select(*by, "p50", "p90", "p95", "p99", "longest", "truncated", "retained")
 
 
 def truncation_differences(rows: DataFrame, length: str, cap: int, expected: DataFrame) -> DataFrame:
@@ -108,15 +113,19 @@ def noise(rows: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, ms: str, order: str, warmup: int, *by: str) -> DataFrame:
-    """Median and 95th percentile after the first ``warmup`` rows of each group; only these few are looked for, groups are not sorted."""
-    first = F.slice(F.sort_array(F.collect_list("_o")), 1, warmup)
-    few = F.col("_o") <= F.col("_last")
-    numbered = rows.withColumn("_o", F.col(order))
-    # the warm-up rows of a group lie below a low quantile or among the smallest of each part
-    parts = numbered.withColumn("_p", F.pmod(F.xxhash64("_o"), F.lit(256))).withColumn("_r", F.row_number().over(W.partitionBy(*by, "_p").orderBy("_o"))).filter(F.col("_r") <= warmup)
-    last = parts.groupBy(*by).agg(F.element_at(first, -1).alias("_last"))  # at most 256 * warmup rows a group
-    kept = numbered.join(F.broadcast(last), list(by)).filter(~few)
-    return kept.groupBy(*by).agg(F.percentile(ms, F.lit(0.5)).alias("median"), F.percentile(ms, F.lit(0.95)).alias("p95"), F.count("*").alias("n"))
+    """Median and 95th percentile after the first ``warmup`` rows of each group by ``order`` (then by ``ms``), and how many rows these are.
+
+    Numbers and times are ranked by ranges, so no group is sorted in one task;
+    other orders by a window over the group.
+    """
+    kind = rows.schema[order].dataType
+    if isinstance(kind, NumericType | TimestampType):
+        ranked = range_rank(rows, list(by), F.col(order), ms, name="_r")
+    else:
+        ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(order, ms)))
+    kept = ranked.filter(F.col("_r") > warmup).select(*by, ms, order)
+    counts = kept.groupBy(*by).agg(F.count("*").alias("n"))
+    return same(counts, quantiles(kept, list(by), ms, {"median": 0.5, "p95": 0.95}, order if isinstance(kind, NumericType) else None), list(by), "left").select(*by, "median", "p95", "n")
 
 
 def value_report(rows: DataFrame, *by: str) -> DataFrame:

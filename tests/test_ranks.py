@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import aggregate as A
 from ledgerline.operators import router as R
-from ledgerline.operators.ranks import range_rank, running_sum
+from ledgerline.operators.ranks import quantiles, range_rank, running_sum
 
 
 def test_ranks_are_row_numbers(spark):
@@ -46,3 +46,40 @@ def test_seeded_folds_are_even(spark):
     for task in range(3):
         sizes = [sum(f == k for key, f in a.items() if key % 3 == task) for k in range(4)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_null_groups_ties_and_a_constant_group(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", None]), rng.choice([None, 0.0, 0.0, 0.0, rng.random()]), rng.randrange(400)) for _ in range(4000)]
+    table = spark.createDataFrame(rows, "g string, x double, t long")
+    want = table.withColumn("_rank", F.row_number().over(W.partitionBy("g").orderBy("x", "t"))).select("g", "x", "t", "_rank")
+    got = range_rank(table, ["g"], F.col("x"), "t", parts=9).select("g", "x", "t", "_rank")
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(key, want.collect())) == sorted(map(key, got.collect()))
+
+
+def test_a_constant_group_is_spread(spark):
+    table = spark.range(100_000).select(F.lit("c").alias("g"), F.lit(1.0).alias("x"), F.col("id").alias("t"))
+    ranked = range_rank(table, ["g"], F.col("x"), "t").withColumn("wrong", (F.col("_rank") != F.col("t") + 1).cast("int"))
+    assert ranked.agg(F.sum("wrong")).first()[0] == 0
+    from ledgerline.operators.ranks import by_ranges
+
+    sizes = [r["count"] for r in by_ranges(table, ["g"], F.col("x"), tie="t").groupBy("g", "_b", "_c").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 5_000
+
+
+def test_quantiles(spark):
+    rng = random.Random(9)
+    table = spark.createDataFrame([(rng.choice(["a", None, "b"]), rng.choice([None, 3.0, rng.random()])) for _ in range(2000)] + [("one", 4.0), ("none", None)], "g string, x double")
+    want = table.filter("x is not null").groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("m"), F.percentile("x", F.lit(0.95)).alias("h"))
+    near = lambda rows: sorted((r.g or "", round(r.m, 9), round(r.h, 9)) for r in rows)
+    assert near(quantiles(table, ["g"], "x", {"m": 0.5, "h": 0.95}).collect()) == near(want.collect())
+    assert quantiles(table.limit(0), ["g"], "x", {"m": 0.5}).count() == 0
+
+
+def test_warm_up_with_ties_and_a_null_group(spark):
+    table = spark.createDataFrame([(g, n, float(k)) for g in ("a", None) for k, n in enumerate([1, 1, 1, 1, 1, 2, 3, 4, 5, 6])] + [("few", 1, 9.0), ("void", 5, None), ("void", 6, None), ("void", 7, None)], "g string, n long, ms double")
+    got = {r.g: (r.median, r.n) for r in A.latency(table, "ms", "n", 2, "g").collect()}
+    assert got == {"a": (5.5, 8), None: (5.5, 8), "void": (None, 1)}
+    text = A.latency(table.withColumn("n", F.col("n").cast("string")), "ms", "n", 2, "g")
+    assert {r.g: (r.median, r.n) for r in text.collect()} == got
