@@ -124,8 +124,10 @@ def require_identity(found: dict, expected: dict, what: str) -> None:
 
 
 def last_wins(records: DataFrame, order: str, *by: str) -> DataFrame:
-    """The latest of repeated records of a key."""
-    return records.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
+    """The latest of repeated records of a key (any of those that tie); aggregated before the shuffle."""
+    rest = [c for c in records.columns if c not in by]
+    last = records.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_last"))
+    return last.select(*(F.col(c) if c in by else F.col("_last")[c].alias(c) for c in records.columns))
 
 
 def unexpected(records: DataFrame, expected: DataFrame, *on: str) -> DataFrame:

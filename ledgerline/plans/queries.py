@@ -300,6 +300,51 @@ def last_record_wins(spark, sf):
     return V.last_wins(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "event_id", "user_id")
 
 
+def _event_lines(spark, sf):
+    """Events as JSON lines in several files, whose names and lines are in order of the event's number."""
+    from ledgerline.sources.scratch import fresh
+
+    path, rows = fresh(spark, "event-lines"), table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    rows.repartitionByRange(6, "event_id").sortWithinPartitions("event_id").write.json(path)
+    return path
+
+
+PLACED = "p AS (SELECT event_id, user_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)"
+
+
+@query(f"WITH {PLACED} SELECT user_id, max(place) AS place, arg_max(event_id, place) AS event_id, arg_max(event_type, place) AS event_type FROM p GROUP BY user_id")
+def last_line_wins(spark, sf):
+    from ledgerline.sources.files import last_lines, placed_json
+
+    rows = placed_json(spark, _event_lines(spark, sf), "event_id long, user_id long, event_type string")
+    return last_lines(rows.drop("file", "line"), "place", "user_id").select("user_id", "place", "event_id", "event_type")
+
+
+@query(f"""WITH {PLACED}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY place) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY event_type) // 7) AS s FROM p)
+SELECT event_type, place, event_id FROM n WHERE k % s = 0 AND k // s < 7""")
+def sample_by_place(spark, sf):
+    from ledgerline.sources.files import placed_json, sample_steps
+
+    rows = placed_json(spark, _event_lines(spark, sf), "event_id long, user_id long, event_type string")
+    return sample_steps(rows.select("event_type", "place", "event_id"), 7, "place", "event_type")
+
+
+@query("""WITH l AS (SELECT source, string_agg(doc_id || ' ' || sha256(text) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)
+SELECT source, strlen(t) AS bytes, sha256(t) AS sha256, CASE WHEN source LIKE '%3' THEN 'changed' WHEN source LIKE '%4' THEN 'unexpected' ELSE 'whole' END AS state FROM l UNION ALL SELECT 'gone', NULL, NULL, 'missing'""")
+def hash_chain(spark, sf):
+    from ledgerline.sources.files import file_hashes, hash_differences
+    from ledgerline.sources.scratch import fresh
+
+    path, docs = fresh(spark, "chain"), table(spark, sf, "documents")
+    lines = docs.select("source", "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)  # one file a source
+    found = file_hashes(spark, path).filter("name like 'source=%'").withColumn("source", F.regexp_extract("name", "source=([^/]*)/", 1))
+    listed = found.filter("source not like '%4'").select("name", F.when(F.col("source").like("%3"), F.sha2("source", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    expected = listed.unionByName(docs.limit(1).select(F.lit("source=gone/part").alias("name"), F.lit("0").alias("sha256")))
+    broken = hash_differences(found, expected).select(F.regexp_extract("name", "source=([^/]*)/", 1).alias("source"), "rule")
+    return found.select("source", "bytes", "sha256").join(broken, "source", "full").select("source", "bytes", "sha256", F.coalesce("rule", F.lit("whole")).alias("state"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def repeated_keys(spark, sf):
     return V.repeated_keys(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")

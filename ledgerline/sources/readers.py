@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ledgerline.sources.files import MANIFEST, placed_json, prepared_violations, sample_steps
 
 EXAMPLE = "_id string, input string, context string, answers array<string>, all_classes array<string>, dataset string, language string, length long"
 EVENT = "model string, configuration string, task string, benchmark_id string, status string, attempt int, score double, kv_bytes double, kv_bytes_fp16 double, prediction string"
 
 
 def sample_task(rows: DataFrame, n: int, order: str, *by: str) -> DataFrame:
-    """Every max(1, count // n)-th row of each task in order, at most n."""
+    """Every max(1, count // n)-th row of each task in order, at most n. Numbers (a place in the file) are ranked by ranges, other orders by a window."""
+    if isinstance(rows.schema[order].dataType, NumericType):
+        return sample_steps(rows, n, order, *by)
     w = W.partitionBy(*by)
     step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n))
     k = F.row_number().over(w.orderBy(order)) - 1
@@ -51,10 +55,11 @@ def cut_files(spark: SparkSession, path: str) -> list[str]:
 def read_routing(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """First-generation routing dataset: JSON lines of items with ``scores`` and ``compression`` per configuration, in the labels' long form.
 
-    ``path`` may hold ``{model}``. An item's number in its file's order is lost to Spark, so its own ``task`` and ``sample_idx`` make its key.
+    ``path`` may hold ``{model}``. Items without a ``sample_idx`` get their line's number in its file.
     """
-    rows = spark.read.json(path.format(model=model) if model else path)
-    return long_labels(rows)
+    path = path.format(model=model) if model else path
+    rows = spark.read.json(path)
+    return long_labels(rows if "sample_idx" in rows.columns else placed_json(spark, path).withColumnRenamed("line", "sample_idx").drop("file", "place"))
 
 
 def long_labels(rows: DataFrame) -> DataFrame:
@@ -76,8 +81,10 @@ def complete_file(path: str) -> bool:
 
 def load_task(spark: SparkSession, path: str, dataset: str, language: str, count: int, sha256: str | None = None) -> DataFrame:
     """A task file whose hash, fields, dataset, language, count and ids are as the registry says."""
-    if sha256 and hashlib.sha256(Path(path).read_bytes()).hexdigest() != sha256:
-        raise ValueError(f"{path} is not the registered file")
+    if sha256:
+        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256")).collect()  # one file
+        if [r.sha256 for r in found] != [sha256]:
+            raise ValueError(f"{path} is not the registered file")
     rows = read_json_lines(spark, path, EXAMPLE)
     bad = rows.select(F.count("*").alias("n"), F.countDistinct("_id").alias("ids"), F.count_if((F.col("dataset") != dataset) | (F.col("language") != language) | (F.coalesce(F.size("answers"), F.lit(0)) < 1) | (F.col("length") < 0) | F.col("_id").isNull() | F.col("context").isNull() | F.col("input").isNull()).alias("bad")).first()
     if (bad.n, bad.ids, bad.bad) != (count, count, 0):
@@ -124,13 +131,12 @@ def registry(spark: SparkSession, tasks: list[dict], excluded: int = 0) -> DataF
 
 
 def read_prepared(spark: SparkSession, folder: str) -> DataFrame:
-    """A prepared index behind its hash chain: status names the manifest's hash, the manifest the index's."""
-    base = Path(folder)
-    digest = lambda p: hashlib.sha256(p.read_bytes()).hexdigest()
-    status, manifest = json.loads((base / "status.json").read_text()), json.loads((base / "manifest.json").read_text())
-    if status.get("status") != "complete" or status.get("manifest_sha256") != digest(base / "manifest.json") or manifest.get("index_sha256") != digest(base / "index.jsonl"):
-        raise ValueError(f"{folder}: the hash chain is broken")
-    return spark.read.json(str(base / "index.jsonl"))
+    """A prepared index behind its hash chain: status, manifest, index and every token file; what breaks it is named."""
+    from ledgerline.operators.validate import require_none
+
+    require_none(prepared_violations(spark, folder), f"{folder}: the hash chain is broken")
+    where = spark.read.schema(MANIFEST).option("multiLine", "true").json(f"{folder.rstrip('/')}/manifest.json").select("index.path").first()
+    return spark.read.json(f"{folder.rstrip('/')}/{where.path}")
 
 
 def check_tokens(index: DataFrame, tokens: DataFrame) -> DataFrame:
