@@ -29,18 +29,28 @@ def tokens(x: Column) -> Column:
     return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value made once: a lambda's expressions are evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _copies(ordered: Column) -> Column:
+    """The words of a sorted array, each with the number of its copy: in time of the array's length."""
+    places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    numbered = lambda w, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(w, F.lit("\x01"), k.cast("string")))
+    return let(starts, lambda s: F.flatten(F.transform(s, lambda at, k: numbered(F.get(ordered, at), F.coalesce(F.get(s, k + 1), F.size(ordered)) - at))))
+
+
 def token_f1(prediction: Column, gold: Column) -> Column:
-    """F1 of the multiset overlap of normalized tokens; 0 without overlap."""
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+    """F1 of the multiset overlap of normalized tokens; 0 without overlap. The overlap is that of the sets of numbered copies."""
 
     def score(z: Column) -> Column:
-        p, g = z["p"], z["g"]
-        same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
-        return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+        same = F.size(F.array_intersect(_copies(z["p"]), _copies(z["g"])))
+        return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(z["p"]) + F.size(z["g"])))
 
-    # within a one-element array the token lists are made once, not again for every token
-    both = F.array(F.struct(tokens(normalize_answer(prediction)).alias("p"), tokens(normalize_answer(gold)).alias("g")))
-    return F.get(F.transform(both, score), F.lit(0))
+    words = lambda x: F.array_sort(tokens(normalize_answer(x)))
+    return let(F.struct(words(prediction).alias("p"), words(gold).alias("g")), score)
 
 
 def _f_measure(lcs: int, n: int, m: int) -> float:
@@ -50,6 +60,39 @@ def _f_measure(lcs: int, n: int, m: int) -> float:
     return 2 * r * p / (r + p + 1e-8)
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The words of a text's sentences, which end at full stops; one of blanks alone has an empty word, and nothing between two stops is no sentence."""
+    return [" ".join(part.split()).split(" ") for part in text.split(".") if part]
+
+
+def lcs_words(a: list[str], b: list[str]) -> set[str]:
+    """The words of a longest common subsequence; of several, the one met going back from both ends with steps in b first.
+
+    The table's rows are kept as the bits of one number each: up to place i of
+    row j it holds i less the bits set, so long sentences take little memory.
+    """
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    rows = [(1 << len(a)) - 1]
+    every = rows[0]
+    for y in b:
+        row = rows[-1]
+        hit = row & places.get(y, 0)
+        rows.append(((row + hit) | (row - hit)) & every)
+    held = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()
+    found, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            found.add(a[i - 1])
+            i, j = i - 1, j - 1
+        elif held(i - 1, j) > held(i, j - 1):
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, a whole row of the table at a time as the bits of one number."""
     places: dict[str, int] = {}
@@ -63,13 +106,20 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def _rouge(p, g) -> float:
-    a, b = str(p or "").split(), str(g or "").split()
-    return _f_measure(lcs_length(a, b), len(a), len(b)) if a and b else 0.0
+    """Over sentences: distinct words in the union of each reference sentence's common subsequences with all predicted ones, against the distinct words of either side."""
+    mine, theirs = sentences(str(p or "")), sentences(str(g or ""))
+    if not mine or not theirs:
+        return 0.0
+    union: set[str] = set()
+    for reference in theirs:
+        for sentence in mine:
+            union |= lcs_words(reference, sentence)
+    return _f_measure(len(union), len({w for x in mine for w in x}), len({w for x in theirs for w in x}))
 
 
 @F.pandas_udf(DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
-    """ROUGE-L F over blank-separated words, one sentence a side; 0 where either is empty."""
+    """Summary-level ROUGE-L F over blank-separated words; 0 where either side has no sentence."""
     return pd.Series([_rouge(p, g) for p, g in zip(prediction, gold, strict=True)], dtype=float)
 
 

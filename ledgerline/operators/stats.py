@@ -13,6 +13,10 @@ from pyspark.sql.types import DoubleType
 from ledgerline.operators.ranks import running_sum
 
 
+#: The most pairs whose p value is taken from the exact distribution.
+EXACT_PAIRS = 50
+
+
 def win_tie_loss(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     d = F.col(a) - F.col(b)
     return pairs.agg(F.count_if(d > 0).alias("win"), F.count_if(d == 0).alias("tie"), F.count_if(d < 0).alias("loss"), F.avg(d).alias("mean_difference"))
@@ -46,7 +50,7 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 1234
 
 
 def wilcoxon(pairs: DataFrame, zeros: str = "wilcox", a: str = "a", b: str = "b") -> DataFrame:
-    """Signed-rank statistic, effective n, z and two-sided p by the normal approximation with tie correction.
+    """Signed-rank statistic, effective n, z and two-sided p: exact for up to ``EXACT_PAIRS`` pairs without zero differences and ties, else by the normal approximation with tie correction.
 
     Zero differences are dropped (``wilcox``) or ranked and then dropped
     (``pratt``). Average ranks come from the counts of distinct magnitudes, so
@@ -64,8 +68,28 @@ def wilcoxon(pairs: DataFrame, zeros: str = "wilcox", a: str = "a", b: str = "b"
     mean = (n * (n + 1) - z0 * (z0 + 1)) / 4
     var = (n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1) - F.col("ties") / 2) / 24
     z = F.when(var > 0, (F.least("w_plus", "w_minus") - mean) / F.sqrt(var))
-    out = sums.select(F.least("w_plus", "w_minus").alias("statistic"), (n - z0).cast("long").alias("n"), z.alias("z"))
-    return out.withColumn("p", normal_two_sided(F.col("z")))
+    # exact for few pairs without zero differences and ties, the normal form otherwise
+    exact = (n - z0 <= EXACT_PAIRS) & (F.col("zeros") == 0) & (F.col("ties") == 0) & (n > 0)
+    out = sums.crossJoin(pairs.agg(F.count_if(d == 0).alias("zeros"))).select(F.least("w_plus", "w_minus").alias("statistic"), (n - z0).cast("long").alias("n"), z.alias("z"), exact.alias("exact"))  # one row each
+    return out.withColumn("p", F.when(F.col("exact"), exact_two_sided(F.when(F.col("exact"), F.col("statistic")), "n")).otherwise(normal_two_sided(F.col("z"))))
+
+
+def signed_rank_counts(n: int) -> list[int]:
+    """Of the 2 ** n ways to sign the ranks 1 to n, how many have positive ranks that sum to 0, 1, 2, ..."""
+    ways = [1]
+    for rank in range(1, n + 1):
+        longer = ways + [0] * rank
+        for total, count in enumerate(ways):
+            longer[total + rank] += count
+        ways = longer
+    return ways
+
+
+@F.pandas_udf(DoubleType())
+def exact_two_sided(statistic: pd.Series, n: pd.Series) -> pd.Series:
+    """Twice the share of sign patterns whose smaller rank sum is at most the statistic, 1 at most."""
+    p = lambda w, m: min(1.0, 2 * sum(signed_rank_counts(int(m))[: int(w) + 1]) / 2 ** int(m)) if pd.notna(w) else None
+    return pd.Series([p(w, m) for w, m in zip(statistic, n, strict=True)], dtype=float)
 
 
 @F.pandas_udf(DoubleType())

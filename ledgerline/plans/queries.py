@@ -329,6 +329,18 @@ def sample_by_place(spark, sf):
     return sample_steps(rows.select("event_type", "place", "event_id"), 7, "place", "event_type")
 
 
+@query(f"""WITH {PLACED}, b AS (SELECT place, event_id + CASE WHEN event_id % 1000 = 7 THEN 1 WHEN event_id % 1000 = 8 THEN -1 ELSE 0 END AS event_id FROM p),
+c AS (SELECT place, event_id FROM b WHERE place + 3 < (SELECT count(*) FROM events))
+SELECT p.place, CASE WHEN c.place IS NULL THEN 'missing' ELSE 'changed' END AS problem FROM p LEFT JOIN c USING (place) WHERE c.place IS NULL OR p.event_id <> c.event_id""")
+def ordered_equality(spark, sf):
+    from ledgerline.sources.files import placed_json
+
+    rows = placed_json(spark, _event_lines(spark, sf), "event_id long").select("place", "event_id")
+    swapped = F.when(F.col("event_id") % 1000 == 7, 1).when(F.col("event_id") % 1000 == 8, -1).otherwise(0)
+    other = rows.withColumn("event_id", F.col("event_id") + swapped).filter(F.col("place") + 3 < table(spark, sf, "events").count())
+    return V.ordered_differences(rows, other, "place", 256)
+
+
 @query("""WITH l AS (SELECT source, string_agg(doc_id || ' ' || sha256(text) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source)
 SELECT source, strlen(t) AS bytes, sha256(t) AS sha256, CASE WHEN source LIKE '%3' THEN 'changed' WHEN source LIKE '%4' THEN 'unexpected' ELSE 'whole' END AS state FROM l UNION ALL SELECT 'gone', NULL, NULL, 'missing'""")
 def hash_chain(spark, sf):
@@ -550,6 +562,16 @@ def wilcoxon_pratt(spark, sf):
     return S.wilcoxon(_pairs(spark, sf), "pratt").select(F.round(F.col("statistic").cast("double"), 6).alias("statistic"), "n", F.round("z", 6).alias("z"))
 
 
+@query(f"""{WITH}, {PAIRS}, tasks AS (SELECT task, avg(a) AS a, avg(b) AS b FROM pairs JOIN (SELECT DISTINCT task, key FROM panel) USING (key) GROUP BY task),
+d AS (SELECT round(a - b, 12) AS d FROM tasks), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) AS rk FROM d), s AS (SELECT least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END))::BIGINT AS w, count(*) AS n FROM r),
+ways AS (SELECT 0::BIGINT AS k, list_transform(range(1276), lambda i: (i = 0)::INT::HUGEINT) AS c UNION ALL SELECT k + 1, list_transform(c, lambda x, i: x + CASE WHEN i > k + 1 THEN c[i - k - 1] ELSE 0 END) FROM ways WHERE k < (SELECT n FROM s))
+SELECT w::DOUBLE AS statistic, n, true AS exact, round(least(1, 2 * list_sum(c[:w + 1])::DOUBLE / 2 ** n), 9) AS p FROM s JOIN ways ON k = n""")
+def wilcoxon_tasks(spark, sf):
+    tasks = panel(spark, sf).select("key", "task").distinct()
+    pairs = _pairs(spark, sf).join(tasks, "key").groupBy("task").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    return S.wilcoxon(pairs).select(F.col("statistic").cast("double").alias("statistic"), "n", "exact", F.round("p", 9).alias("p"))
+
+
 @query()
 def paired_bootstrap(spark, sf):
     return S.paired_bootstrap(_pairs(spark, sf))
