@@ -216,9 +216,12 @@ def postprocess(prediction: Column, first_line: Column, strict: bool = True) ->
     return out if strict else F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 
-def fill_template(template: str, fields: dict[str, Column]) -> Column:
-    """The template with {name} replaced in a single pass: braces inside contents stay as they are."""
+def fill_template(template: str, fields: dict[str, Column], strict: bool = True) -> Column:
+    """The template with {name} replaced in a single pass: braces inside contents stay as they are. A null field raises, or (not ``strict``) is empty; a name that is not given raises at once."""
     import re
 
     parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(*(F.coalesce(fields[x], F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+    if gone := sorted({x for x in parts[1::2] if x not in fields}):
+        raise ValueError(f"no field for {', '.join(gone)}")
+    empty = lambda x: F.raise_error(F.lit(f"the prompt's field {x} is null")).cast("string") if strict else F.lit("")
+    return F.concat(*(F.coalesce(fields[x], empty(x)) if k % 2 else F.lit(x) for k, x in enumerate(parts)))

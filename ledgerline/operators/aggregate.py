@@ -112,6 +112,20 @@ def noise(rows: DataFrame) -> DataFrame:
     return diff.groupBy("configuration").agg(F.avg((F.col("score") > F.col("base")).cast("double")).alias("above"), F.avg((F.col("score") == F.col("base")).cast("double")).alias("tie"), F.avg((F.col("score") < F.col("base")).cast("double")).alias("below"), F.avg("most").alias("mean_max_diff"))
 
 
+def metric_beats(rows: DataFrame, metric: str) -> DataFrame:
+    """Per ``metric`` how many items it has, and for how many (and which share) some candidate's score is above the baseline's."""
+    score = lambda when: F.max(F.when(when, F.col("score")))
+    per = rows.groupBy(metric, "key").agg(score(F.col("cfg_ord") > 0).alias("_best"), score(F.col("cfg_ord") == 0).alias("_base"))
+    beats = F.coalesce(F.col("_best") > F.col("_base"), F.lit(False))
+    return per.groupBy(metric).agg(F.count_if(beats).alias("beats"), F.count("*").alias("items"), F.avg(beats.cast("double")).alias("share"))
+
+
+def run_averages(rows: DataFrame, *by: str, digits: tuple[int, int] = (4, 3)) -> DataFrame:
+    """First-generation averages of a run: the mean of its tasks' rounded mean scores, and the mean of items' ratios, rounded."""
+    tasks = rows.groupBy(*by, "task").agg(F.round(F.avg("score"), digits[0]).alias("_q"), F.sum("compression").alias("_c"), F.count("*").alias("_n"))
+    return tasks.groupBy(*by).agg(F.round(F.avg("_q"), digits[0]).alias("q"), F.round(F.sum("_c") / F.sum("_n"), digits[1]).alias("ratio"), F.count("*").alias("tasks"))
+
+
 def latency(rows: DataFrame, ms: str, order: str, warmup: int, *by: str) -> DataFrame:
     """Median and 95th percentile after the first ``warmup`` rows of each group by ``order`` (then by ``ms``), and how many rows these are.
 

@@ -672,6 +672,94 @@ def token_digest(spark, sf):
     return _ids(spark, sf).select("doc_id", X.ids_sha256(F.col("ids")).alias("digest"))
 
 
+# --- rules that decide -------------------------------------------------------
+
+
+@query(f"""{WITH}, {FOLDS}, {STATS}, {PRED}, f0 AS (SELECT p.*, max(CASE WHEN p.cfg_ord = 0 THEN greatest(prediction, round(train_q, 9)) END) OVER (PARTITION BY key) AS bp, max(CASE WHEN p.cfg_ord = 0 THEN prediction END) OVER (PARTITION BY key) AS plain
+  FROM pred p JOIN stats st ON st.fold = p.fold AND st.cfg_ord = p.cfg_ord),
+f1 AS (SELECT *, prediction >= 0.99 * bp AS ok, prediction >= 0.99 * plain AS ok0 FROM f0 WHERE cfg_ord >= 1), f2 AS (SELECT *, max(ok::INT) OVER (PARTITION BY key) = 1 AS has_ok, max(ok0::INT) OVER (PARTITION BY key) = 1 AS has_ok0 FROM f1),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ok DESC, CASE WHEN has_ok THEN train_cr ELSE prediction END DESC, cfg_ord) AS r FROM f2) WHERE r = 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ok0 DESC, CASE WHEN has_ok0 THEN train_cr ELSE prediction END DESC, cfg_ord) AS r FROM f2) WHERE r = 1)
+SELECT a.task, a.fold, a.key, a.configuration, CASE WHEN a.has_ok THEN 'eligible' ELSE 'fallback' END AS reason, round(a.bp, 6) AS base_pred, a.configuration <> b.configuration OR a.has_ok <> b.has_ok0 AS floor_decides FROM a JOIN b USING (key)""")
+def floor_decisions(spark, sf):
+    _, _, stats, predicted = _router(spark, sf)
+    stats = stats.withColumn("train_q", F.round("train_q", 9))
+    floor = R.decide(predicted, stats, use_floor=True).select("task", "fold", "key", "configuration", "reason", F.round("base_pred", 6).alias("base_pred"))
+    plain = R.decide(predicted, stats).select("key", F.col("configuration").alias("_c"), F.col("reason").alias("_r"))
+    return floor.join(plain, "key").withColumn("floor_decides", (F.col("configuration") != F.col("_c")) | (F.col("reason") != F.col("_r"))).drop("_c", "_r")
+
+
+@query(f"""{WITH}, v AS (SELECT task, key, configuration, cfg_ord, CASE WHEN key % 11 = 1 THEN -score - 1 ELSE score END AS score, CASE WHEN key % 13 = 1 THEN 0 ELSE kv_bytes END AS kv_bytes, kv_bytes_fp16, CASE WHEN key % 17 = 1 THEN compression + 0.5 ELSE compression END AS compression FROM panel),
+b AS (SELECT task, key, configuration, array_to_string(list_filter([CASE WHEN score < 0 OR score > 1 THEN 'score' END, CASE WHEN kv_bytes <= 0 THEN 'bytes' END, CASE WHEN kv_bytes <= 0 OR abs(compression - kv_bytes_fp16 / kv_bytes) > greatest(1e-6 * compression, 5e-5) THEN 'compression' END,
+  CASE WHEN cfg_ord = 0 AND compression <> 1 THEN 'baseline' END], lambda x: x IS NOT NULL), '+') AS broken FROM v) SELECT * FROM b WHERE broken <> ''""")
+def value_rules(spark, sf):
+    spoiled = {"score": (11, -F.col("score") - 1), "kv_bytes": (13, F.lit(0.0)), "compression": (17, F.col("compression") + 0.5)}
+    rows = panel(spark, sf)
+    rows = rows.select(*(F.when(F.col("key") % spoiled[c][0] == 1, spoiled[c][1]).otherwise(F.col(c)).alias(c) if c in spoiled else F.col(c) for c in rows.columns))
+    # bytes of nothing have no ratio
+    rows = rows.withColumn("kv_bytes", F.when(F.col("kv_bytes") > 0, F.col("kv_bytes")))
+    return V.value_violations(rows).select("task", "key", "configuration", F.array_join("broken", "+").alias("broken"))
+
+
+@query(f"""{WITH}, s AS (SELECT key, CASE WHEN key % 7 = 3 AND cfg_ord = 2 THEN 'other' WHEN key % 7 = 4 AND cfg_ord = 5 THEN NULL WHEN key % 7 = 5 THEN NULL ELSE task END AS v FROM panel)
+SELECT key, count(DISTINCT v) AS "values", count(v) AS present, count(*) AS rows FROM s GROUP BY key HAVING count(DISTINCT v) > 1 OR (count(v) > 0 AND count(v) < count(*))""")
+def agreement_of_some(spark, sf):
+    k = F.col("key") % 7
+    value = F.when((k == 3) & (F.col("cfg_ord") == 2), "other").when((k == 4) & (F.col("cfg_ord") == 5) | (k == 5), F.lit(None)).otherwise(F.col("task"))
+    return V.disagreeing(panel(spark, sf).withColumn("v", value), F.col("v"), 6, "key")
+
+
+@query("""SELECT page_id, CASE WHEN len(n) = 0 THEN 0.0 ELSE len(list_filter(n, lambda x: x = (page_id % 5)::VARCHAR)) / len(n) END::DOUBLE AS score FROM (SELECT page_id, regexp_extract_all(url, '(\\d+)', 1) AS n FROM pages)""")
+def score_retrieval_by_row(spark, sf):
+    reference = F.concat(F.lit("Paragraph "), (F.col("page_id") % 5).cast("string"), F.lit(": text 7"))
+    return table(spark, sf, "pages").select("page_id", T.retrieval_score(F.col("url"), reference).alias("score"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '?') THEN round((length(url) - position('?' IN reverse(url))) / length(url), 4) END AS question_position, length(url) AS seq_len_chars FROM pages")
+def question_places(spark, sf):
+    f = X.prompt_features(F.col("url"), X.words(F.col("url")))
+    return table(spark, sf, "pages").select("page_id", *(f[c].alias(c) for c in ("question_position", "seq_len_chars")))
+
+
+@query(f"""{WITH}, m AS (SELECT category, key, max(CASE WHEN cfg_ord > 0 THEN score END) > max(CASE WHEN cfg_ord = 0 THEN score END) AS b FROM panel GROUP BY category, key)
+SELECT category, count(*) FILTER (b) AS beats, count(*) AS items, round(avg(b::INT), 6) AS share FROM m GROUP BY category""")
+def metric_beats(spark, sf):
+    return rounded(A.metric_beats(panel(spark, sf), "category"))
+
+
+@query(f"""{WITH}, t AS (SELECT configuration, task, round(avg(score), 4) AS q, sum(compression) AS c, count(*) AS n FROM panel GROUP BY ALL)
+SELECT configuration, round(avg(q), 4) AS q, round(sum(c) / sum(n), 3) AS ratio, count(*) AS tasks FROM t GROUP BY configuration""")
+def run_averages(spark, sf):
+    return A.run_averages(panel(spark, sf), "configuration")
+
+
+WIDE = ", ".join(f"round(max(CASE WHEN configuration = '{c}' THEN {f} END), 6) AS {n}_{c.lower()}" for c in CONFIGS for n, f in (("score", "score"), ("cr", "compression"), ("kv_bytes", "kv_bytes"), ("kv_bytes_fp16", "kv_bytes_fp16")))
+
+
+@query(f"""{WITH}, b AS (SELECT *, max(CASE WHEN cfg_ord = 0 THEN score END) OVER (PARTITION BY key) AS base FROM panel),
+q AS (SELECT key, configuration, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, cfg_ord) AS r FROM panel) WHERE r = 1), w AS (SELECT task, key, {WIDE} FROM panel GROUP BY task, key)
+SELECT w.*, q.configuration AS best_quality, round(q.score, 6) AS best_quality_score, i99.configuration AS iso_99, i95.configuration AS iso_95, i90.configuration AS iso_90
+FROM w JOIN q USING (key) JOIN {_labels_sql(0.99)} i99 USING (key) JOIN {_labels_sql(0.95)} i95 USING (key) JOIN {_labels_sql(0.90)} i90 USING (key)""")
+def wide_export(spark, sf):
+    from ledgerline.sinks.export import wide_export as wide
+
+    labels = panel(spark, sf)
+    chosen = O.dataset_labels(labels).drop("task")
+    best = labels.groupBy("key").agg(F.max("score").alias("best_quality_score"))
+    return rounded(wide(labels, chosen.join(best, "key")))
+
+
+@query("""SELECT '{"event":' || event_id || ',"kind":{"name":"' || event_type || '","tags":["' || event_type || '",null]},"more":{"a":' || (user_id % 3) || ',"z":true},"none":null}' AS json FROM events""")
+def canonical_events(spark, sf):
+    from ledgerline.sinks.export import canonical_rows
+
+    rows = table(spark, sf, "events").select(
+        F.struct(F.array("event_type", F.lit(None)).alias("tags"), F.col("event_type").alias("name")).alias("kind"), F.lit(None).cast("string").alias("none"),
+        F.struct(F.lit(True).alias("z"), (F.col("user_id") % 3).alias("a")).alias("more"), F.col("event_id").alias("event"),
+    )
+    return canonical_rows(rows)
+
+
 # --- kernels -----------------------------------------------------------------
 
 

@@ -93,6 +93,50 @@ def flat(labels: DataFrame, extra: DataFrame, configurations: list[str]) -> Data
     return labels.groupBy("task", "key").agg(*columns).join(extra, "key")
 
 
+def wide_export(labels: DataFrame, chosen: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """The published table of items: of each configuration score, ratio and both byte counts (``score_c0``, ``cr_c0``, ...), then the columns of ``chosen`` and ``features`` by key.
+
+    Configurations are those of the labels; they are listed by one small query.
+    """
+    fields = {"score": "score", "cr": "compression", "kv_bytes": "kv_bytes", "kv_bytes_fp16": "kv_bytes_fp16"}
+    names = [r[0] for r in labels.select("configuration").distinct().orderBy("configuration").collect()]
+    cells = [F.max(F.when(F.col("configuration") == c, F.col(f))).alias(f"{name}_{c.lower()}") for c in names for name, f in fields.items()]
+    wide = labels.groupBy("task", "key").agg(*cells).join(chosen, "key")
+    return wide if features is None else wide.join(features, "key", "left")
+
+
+def canonical_rows(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as canonical JSON text: fields and map keys sorted at every depth, nulls written, NaN and infinities an error.
+
+    The bytes are those of ``canonical_json`` for the same value; maps need text keys, and dates and binaries are to be cast before.
+    """
+    from pyspark.sql import types as T
+
+    def plain(kind):
+        if isinstance(kind, T.StructType):
+            parts = {f.name: plain(f.dataType) for f in kind}
+            return lambda v: None if v is None else {n: f(v[n]) for n, f in parts.items()}
+        if isinstance(kind, T.ArrayType):
+            each = plain(kind.elementType)
+            return lambda v: None if v is None else [each(x) for x in v]
+        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            value = plain(kind.valueType)
+            return lambda v: None if v is None else {k: value(x) for k, x in v}
+        if isinstance(kind, T.StringType | T.BooleanType | T.IntegralType | T.DoubleType):
+            return lambda v: v
+        raise TypeError(f"no JSON form of {kind.simpleString()}")
+
+    write = plain(df.schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([canonical_json(write(r)) for r in b.to_pylist()], pa.string())], names=[name])
+
+    return df.mapInArrow(run, T.StructType([T.StructField(name, T.StringType())]))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One headed CSV file in column order; for result-sized tables."""
     df.coalesce(1).write.mode("errorifexists").option("header", True).option("lineSep", "\n").csv(path)
@@ -121,6 +165,16 @@ def write_tokens(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").partitionBy("task").parquet(path)
 
 
+def write_buckets(rows: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A table of rows with ``task`` and ``key`` in buckets of these, sorted in them.
+
+    An index and its token ids written with the same number of buckets meet without a shuffle.
+    """
+    writer = rows.repartition(buckets, "task", "key").write.mode("errorifexists").bucketBy(buckets, "task", "key").sortBy("task", "key").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def markdown(rows: list[dict], columns: list[str]) -> str:
     """A table of already small, collected rows."""
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *("| " + " | ".join(str(r[c]) for c in columns) + " |" for r in rows)])
