@@ -122,9 +122,10 @@ def water_fill(total: int, weights: list[float], caps: list[int]) -> list[int]:
     """Whole shares of ``total`` in proportion to weights, none above its cap; what caps leave over is dealt again.
 
     Leftovers smaller than a share go to the largest fractional claims in
-    order; without positive weights the shares are even.
+    order; without positive weights the shares are even. A negative weight
+    counts as none.
     """
-    out = [0] * len(weights)
+    weights, out = [max(w, 0.0) for w in weights], [0] * len(weights)
     rest = min(total, sum(caps))
     while rest > 0:
         open_ = [i for i in range(len(out)) if out[i] < caps[i]]
