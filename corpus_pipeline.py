@@ -9,6 +9,7 @@ An empty table passes through every stage; texts of any length are used whole.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.common import free, stage, table
 from ledgerline.llm.mixing import mix
@@ -35,8 +36,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; sources below their tempered weight begin further epochs until the shares hold.
 
     A null source is one of its own; repeated rows and null ids each count.
+    Further columns are carried whatever their names; an empty table gives an empty one.
     """
-    return mix(docs).select(*docs.columns)
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that cannot be those of the mix
+    mixed = mix(docs.toDF(*plain.values()), source_col=plain["source"], id_col=plain["doc_id"])
+    return mixed.select(*(F.col(p).alias(c) for c, p in plain.items()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
