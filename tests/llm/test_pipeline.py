@@ -55,3 +55,13 @@ def test_near_copies_leave_one(spark):
     docs = spark.createDataFrame([(k, f"{long} ending {k}", "en", "a", 0, 1, "t") for k in range(30, 0, -1)], SCHEMA)
     (row,) = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert row.doc_id == 1 and corpus_pipeline.near_duplicates(spark, docs.filter(F.col("doc_id") == 3), "").count() == 1
+
+
+def test_columns_named_like_those_of_the_mix(spark):
+    names = ("_source", "_epoch", "_block", "_slot", "_position", "_src", "_row")
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 2], 1, *([i] * len(names))) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    out = corpus_pipeline.source_mix(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == set(range(40)) and all(r[n] == r.doc_id for r in rows for n in names)
+    assert corpus_pipeline.source_mix(spark, docs.limit(0), "").count() == 0
