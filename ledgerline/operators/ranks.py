@@ -37,12 +37,13 @@ def by_ranges(rows: DataFrame, by: list[str], value: Column, parts: int = PARTS,
     cuts = [F.percentile_approx("_v", points, 1000).alias("_cuts")]
     if cut_ties:
         cuts.append(F.percentile_approx(F.col(tie).cast("double"), points, 1000).alias("_ties"))
-    joined = same(rows, rows.groupBy(*by).agg(*cuts), by)
-    hot = F.coalesce(F.size(F.filter("_cuts", lambda c: c == F.col("_v"))) >= 2, F.lit(False))
+    cuts = rows.groupBy(*by).agg(*cuts).withColumn("_hot", F.expr("array_distinct(filter(_cuts, (c, i) -> i > 0 and c = _cuts[i - 1]))"))  # mostly empty
+    joined = same(rows, cuts, by)
+    hot = F.coalesce(F.array_contains("_hot", F.col("_v")), F.lit(False))
     place = F.when(F.col("_v").isNull() | F.col("_cuts").isNull(), -1).otherwise(2 * below("_cuts", F.col("_v")) + hot.cast("int"))
     again = F.coalesce(below("_ties", F.col(tie).cast("double")), F.lit(-1)) if cut_ties else F.lit(0)
     alone = hot | F.col("_v").isNull()
-    return joined.withColumn("_b", place).withColumn("_c", F.when(alone, again).otherwise(0)).drop("_cuts", "_ties")
+    return joined.withColumn("_b", place).withColumn("_c", F.when(alone, again).otherwise(0)).drop("_cuts", "_ties", "_hot")
 
 
 def _before(sums: DataFrame, by: list[str], amount: str) -> DataFrame:

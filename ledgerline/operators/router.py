@@ -109,19 +109,21 @@ def evaluate_folds(labels: DataFrame, folds: DataFrame, taus: tuple[float, ...],
     """Routing of every held-out item for each tau, by any fold table (k-fold, leave one task out, a split): per tau mean score, harmonic ratio, items and the share of choices below tau times the baseline's true score.
 
     ``predictions`` (key, fold, cfg_ord, prediction) are made once and serve all
-    taus; without them the training means stand in. Items without a fold (the
+    taus, which are evaluated on the same gathered rows; without them the training means stand in. Items without a fold (the
     training side of a split) are not routed.
     """
     stats = train_stats(labels, folds) if stats is None else stats
     predicted = mean_predictions(labels, folds) if predictions is None else labels.join(folds, "key").join(predictions, ["key", "fold", "cfg_ord"])
-    out = None
-    for tau in taus:
-        rows = predicted
-        if filter_candidates:
+    names = sorted(r[0] for r in stats.filter("cfg_ord >= 1").select("configuration").distinct().collect())  # one row a configuration
+    every = lambda some: stats.sparkSession.createDataFrame([("all", names, len(names), float(t)) for t in some], "pool_key string, pool array<string>, size int, tau double")
+    if filter_candidates:  # the candidates of a fold depend on tau
+        out = None
+        for tau in taus:
             keep = viable(stats, tau).select("fold", "cfg_ord").unionByName(stats.filter("cfg_ord = 0").select("fold", "cfg_ord"))
-            rows = rows.join(F.broadcast(keep), ["fold", "cfg_ord"], "left_semi")
-        chosen = decide(rows, stats, tau, use_floor=use_floor)
-        out = chosen if out is None else out.unionByName(chosen)
+            chosen = decide(predicted.join(F.broadcast(keep), ["fold", "cfg_ord"], "left_semi"), stats, points=every([tau]), use_floor=use_floor)
+            out = chosen if out is None else out.unionByName(chosen)
+    else:
+        out = decide(predicted, stats, points=every(taus), use_floor=use_floor)
     base = labels.filter("cfg_ord = 0").select("key", F.col("score").alias("_base"))
     below = (F.col("score") < F.col("tau") * F.col("_base")).cast("double")
     return out.join(base, "key").groupBy("tau").agg(F.avg("score").alias("q"), (F.count("*") / F.sum(1 / F.col("compression"))).alias("cr"), F.count("*").alias("n"), F.avg(below).alias("violation_rate"))

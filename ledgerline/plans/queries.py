@@ -391,7 +391,7 @@ pred AS (SELECT p.*, f.fold, round(pr.prediction, 9) AS prediction, round(st.tra
 
 
 def _router(spark, sf):
-    labels = panel(spark, sf)
+    labels = _staged_panel(spark, sf)  # read four times
     folds = R.stratified_folds(labels)
     stats = R.train_stats(labels, folds).withColumn("train_cr", F.round("train_cr", 9))  # sums are rounded before they are compared
     return labels, folds, stats, R.mean_predictions(labels, folds).withColumn("prediction", F.round("prediction", 9))
@@ -499,6 +499,12 @@ e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, tau ORDER BY
 SELECT tau, round(avg(score), 6) AS q, round(count(*) / sum(1 / compression), 6) AS cr, count(*) AS n, round(avg((score < tau * base)::INT), 6) AS violation_rate FROM e GROUP BY tau"""
 
 
+def _staged_panel(spark, sf):
+    from ledgerline.sources.scratch import fresh, staged
+
+    return staged(panel(spark, sf), fresh(spark, "panel"))
+
+
 def _tau_sweep(labels, folds):
     stats = R.train_stats(labels, folds).withColumn("train_q", F.round("train_q", 9)).withColumn("train_cr", F.round("train_cr", 9))
     predictions = labels.select("key", "cfg_ord").join(folds, "key").join(stats.select("fold", "cfg_ord", F.col("train_q").alias("prediction")), ["fold", "cfg_ord"])
@@ -507,13 +513,13 @@ def _tau_sweep(labels, folds):
 
 @query(_sweep_sql("SELECT DISTINCT key, task AS fold FROM panel"))
 def leave_one_task_out_sweep(spark, sf):
-    labels = panel(spark, sf)
+    labels = _staged_panel(spark, sf)
     return _tau_sweep(labels, R.task_folds(labels))
 
 
 @query(_sweep_sql("SELECT DISTINCT key, key % 3 AS fold FROM panel"))
 def fold_tau_sweep(spark, sf):
-    labels = panel(spark, sf)
+    labels = _staged_panel(spark, sf)
     return _tau_sweep(labels, labels.select("key", (F.col("key") % 3).alias("fold")).distinct())
 
 
