@@ -838,7 +838,15 @@ def layer_budgets(spark, sf):
     return K.layer_budgets(_long(spark, sf).withColumnRenamed("vec_id", "layer"), 100, "label")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (
+  SELECT p_type AS g, p_partkey AS item, p_size::DOUBLE AS weight, 30::BIGINT AS cap, 0::BIGINT AS share, least(1000, 30 * count(*) OVER (PARTITION BY p_type))::BIGINT AS rest, 0 AS k FROM part
+  UNION ALL
+  SELECT g, item, weight, cap, (share + more)::BIGINT, (rest - sum(more) OVER (PARTITION BY g))::BIGINT, k + 1 FROM (
+    SELECT *, CASE WHEN most > 0 THEN given WHEN open AND place <= rest THEN 1 ELSE 0 END AS more FROM (
+      SELECT *, max(given) OVER (PARTITION BY g) AS most, row_number() OVER (PARTITION BY g, open ORDER BY claim DESC, item) AS place FROM (
+        SELECT *, CASE WHEN open THEN least(floor(claim), cap - share) ELSE 0 END::BIGINT AS given FROM (
+          SELECT *, share < cap AS open, rest * (weight / sum(CASE WHEN share < cap THEN weight END) OVER (PARTITION BY g)) AS claim FROM r WHERE rest > 0))))
+) SELECT g, item, arg_max(share, k) AS share FROM r GROUP BY g, item""")
 def budget_allocation(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_type").alias("g"), F.col("p_partkey").alias("item"), F.col("p_size").cast("double").alias("weight"), F.lit(30).alias("cap"))
     return K.allocate(rows.withColumn("total", F.lit(1000)), "g", "total")
