@@ -637,6 +637,17 @@ def score_classification(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.classification(F.col("text"), F.lit("der"), classes, strict=False).alias("score"))
 
 
+@query("""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'under' WHEN 1 THEN 'ende' ELSE 'und' END AS gold, list_filter(['e', 'd', 'n', 'nd', 'und', 'de', 'under', 'ende', 'zzz'], lambda c: contains(text, c)) AS f FROM documents),
+x AS (SELECT doc_id, gold, unnest(f) AS c, unnest(range(len(f))) AS i FROM m), p AS (SELECT *, contains(gold, c) AND c <> gold AS part FROM x),
+z AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, part ORDER BY i) AS z FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part, z ORDER BY i) AS k FROM z),
+s AS (SELECT doc_id, count(*) AS kept, max((c = gold)::INT) AS hit FROM n WHERE NOT (part AND k % 2 = 1) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN hit = 1 THEN 1.0 / kept ELSE 0.0 END::DOUBLE AS score FROM documents LEFT JOIN s USING (doc_id)""")
+def score_classification_walk(spark, sf):
+    classes = F.array(*map(F.lit, ("e", "d", "n", "nd", "und", "de", "under", "ende", "zzz")))
+    gold = F.when(F.col("doc_id") % 3 == 0, "under").when(F.col("doc_id") % 3 == 1, "ende").otherwise("und")
+    return table(spark, sf, "documents").select("doc_id", T.classification(F.col("text"), gold, classes).alias("score"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN split_part(ltrim(text, chr(10)), chr(10), 1) ELSE text END AS answer FROM documents")
 def postprocess(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.postprocess(F.col("text"), F.col("doc_id") % 2 == 0).alias("answer"))
