@@ -127,3 +127,57 @@ def evaluate_folds(labels: DataFrame, folds: DataFrame, taus: tuple[float, ...],
     base = labels.filter("cfg_ord = 0").select("key", F.col("score").alias("_base"))
     below = (F.col("score") < F.col("tau") * F.col("_base")).cast("double")
     return out.join(base, "key").groupBy("tau").agg(F.avg("score").alias("q"), (F.count("*") / F.sum(1 / F.col("compression"))).alias("cr"), F.count("*").alias("n"), F.avg(below).alias("violation_rate"))
+
+
+def split_predictions(labels: DataFrame, split: DataFrame) -> DataFrame:
+    """``key``, ``cfg_ord``, ``prediction`` of both sides of a split (``key``, ``train``): the task's mean on the training side, or, for a task that is not there, the configuration's (a stand-in that needs no fitting)."""
+    rows = labels.join(split, "key").withColumn("_train", F.when(F.col("train"), F.col("score")))
+    task = rows.groupBy("task", "cfg_ord").agg(F.avg("_train").alias("_of_task"), F.sum("_train").alias("_s"), F.count("_train").alias("_n"))
+    whole = task.groupBy("cfg_ord").agg((F.sum("_s") / F.sum("_n")).alias("_of_all"))
+    means = task.join(whole, "cfg_ord").select("task", "cfg_ord", F.round(F.coalesce("_of_task", "_of_all"), 9).alias("prediction"))
+    return labels.select("task", "key", "cfg_ord").join(means, ["task", "cfg_ord"]).select("key", "cfg_ord", "prediction")
+
+
+def split_stats(labels: DataFrame, split: DataFrame) -> DataFrame:
+    """Mean score and harmonic ratio of each configuration on the training side: one row a configuration."""
+    ratio = F.when(F.col("compression") > 0, 1 / F.col("compression"))
+    per = labels.join(split.filter("train"), "key").groupBy("configuration", "cfg_ord").agg(F.avg("score").alias("train_q"), F.coalesce(F.count(ratio) / F.sum(ratio), F.lit(1.0)).alias("train_cr"), F.count("*").alias("train_n"))
+    return per.withColumn("train_q", F.round("train_q", 9)).withColumn("train_cr", F.round("train_cr", 9))
+
+
+def evaluate_split(labels: DataFrame, split: DataFrame, predictions: DataFrame, taus: tuple[float, ...], use_floor: bool = True, filter_candidates: bool = False) -> DataFrame:
+    """Routing of both sides of a split by predictions, floor and ratios of its training side: per ``side`` and tau mean score, harmonic ratio, items and violation rate.
+
+    ``predictions`` (key, cfg_ord, prediction) cover both sides, so that the gap
+    between them is seen. All taus of a side are evaluated on the same gathered rows.
+    """
+    sides = split.select("key", F.when(F.col("train"), "train").otherwise("test").alias("fold"))
+    stats = F.broadcast(split_stats(labels, split)).crossJoin(F.broadcast(split.sparkSession.createDataFrame([("train",), ("test",)], "fold string")))  # two rows a configuration
+    predicted = predictions.join(sides, "key")
+    out = [evaluate_folds(labels, sides.filter(F.col("fold") == side), taus, predicted, stats, use_floor, filter_candidates).withColumn("side", F.lit(side)) for side in ("train", "test")]
+    return out[0].unionByName(out[1])
+
+
+def split_fit(labels: DataFrame, split: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Errors of predictions by configuration and ``side``: ``n``, ``mae``, ``r2`` (null where scores do not vary)."""
+    rows = labels.join(predictions, ["key", "cfg_ord"]).join(split, "key").withColumn("side", F.when(F.col("train"), "train").otherwise("test"))
+    error = F.col("score") - F.col("prediction")
+    var = F.sum(F.col("score") * F.col("score")) - F.count("*") * F.avg("score") * F.avg("score")
+    return rows.groupBy("configuration", "side").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), (1 - F.sum(error * error) / F.nullif(var, F.lit(0.0))).alias("r2"))
+
+
+def line_predictions(labels: DataFrame, folds: DataFrame, features: DataFrame, x: str) -> DataFrame:
+    """``key``, ``fold``, ``cfg_ord``, ``prediction`` by one feature: a least-squares line per configuration through the items of the other folds.
+
+    Sums of a fold are subtracted from the totals, so all folds are fitted by one
+    aggregation. Where the feature does not vary the line is the mean; items without the feature have no prediction.
+    """
+    rows = labels.join(folds, "key").join(features.select("key", F.col(x).cast("double").alias("_x")).filter("_x is not null"), "key")
+    sums = {"n": F.lit(1.0), "sx": F.col("_x"), "sy": F.col("score"), "xx": F.col("_x") * F.col("_x"), "xy": F.col("_x") * F.col("score")}
+    per = rows.groupBy("fold", "cfg_ord").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    w = W.partitionBy("cfg_ord")  # one row a fold
+    rest = per.select("fold", "cfg_ord", *((F.sum(c).over(w) - F.col(c)).alias(c) for c in sums))
+    spread = F.col("n") * F.col("xx") - F.col("sx") * F.col("sx")
+    rest = rest.withColumn("_b", F.when(spread > 0, (F.col("n") * F.col("xy") - F.col("sx") * F.col("sy")) / spread).otherwise(0.0))
+    lines = rest.filter("n > 0").select("fold", "cfg_ord", "_b", ((F.col("sy") - F.col("_b") * F.col("sx")) / F.col("n")).alias("_a"))
+    return rows.join(lines, ["fold", "cfg_ord"]).select("key", "fold", "cfg_ord", (F.col("_a") + F.col("_b") * F.col("_x")).alias("prediction"))
