@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ledgerline.functions.text import let
+
 
 def words(text: Column) -> Column:
     """White-space tokens, the stand-in where no tokenizer is given."""
@@ -16,13 +18,17 @@ def words(text: Column) -> Column:
 
 
 def entropy(items: Column) -> Column:
-    """Shannon entropy in bits of an array's values: counted on the sorted array, in one row."""
+    """Shannon entropy in bits of an array's values, in one row and in time of its length but for the sort.
+
+    Strings are counted by their 64-bit hashes; runs of equal ones in the sorted array are the counts.
+    """
+    codes = F.array_sort(F.transform(items, lambda x: F.xxhash64(x)))
     n = F.size(items)
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).cast("double").alias("sum"))
-    plogp = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    step = lambda st, x: F.when(st["last"] == x, F.struct(st["last"].alias("last"), (st["run"] + 1).alias("run"), st["sum"].alias("sum"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (st["sum"] + plogp(st["run"])).alias("sum")))
-    total = F.aggregate(F.array_sort(items.cast("array<string>")), start, step, lambda st: st["sum"] + plogp(st["run"]))
-    return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - total / n)
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    ends = lambda p: F.concat(F.slice(p, 2, n), F.array(n))
+    bits = lambda p: F.aggregate(F.zip_with(p, ends(p), lambda a, b: (b - a).cast("double")), F.lit(0.0), lambda total, c: total + c * F.log2(c))
+    runs = let(codes, starts)
+    return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - let(runs, bits) / n)
 
 
 @F.pandas_udf(DoubleType())

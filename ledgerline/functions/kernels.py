@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.operators.ranks import range_rank
+from ledgerline.sources.scratch import fresh, staged
 
 
 def quantize_groups(x: Column, bits: int, group: int) -> Column:
@@ -144,15 +146,43 @@ def water_fill(total: int, weights: list[float], caps: list[int]) -> list[int]:
 
 
 def allocate(rows: DataFrame, group: str, total: str) -> DataFrame:
-    """water_fill per group over rows (group, item, weight, cap, total); a group is the layers of one model."""
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, item long, share long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item")
-        share = water_fill(int(pdf[total].iloc[0]), pdf["weight"].tolist(), pdf["cap"].astype(int).tolist())
-        return pd.DataFrame({group: pdf[group], "item": pdf["item"], "share": share})
+    """``water_fill`` in every group of rows (group, item, weight, cap, total), as (group, ``item``, ``share``); groups of any number and size.
 
-    return rows.groupBy(group).applyInPandas(run, schema)
+    All groups go through a round together: weights of open items are summed,
+    claims follow from the sums, and what was given is summed again. A round is
+    written before the next, and holds only groups with something left to deal.
+    Each round fills an item's cap or leaves less than one unit an open item, so they are few.
+    A null or negative weight counts as none, a null cap as 0; a null group is a group.
+    """
+    spark = rows.sparkSession
+    column = lambda name, kind: F.greatest(F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind)), F.lit(0).cast(kind))
+    state = rows.select(group, F.col("item").cast("long").alias("item"), column("weight", "double").alias("weight"), column("cap", "long").alias("cap"), column(total, "long").alias("_total"), F.lit(0).cast("long").alias("share"))
+    caps = state.groupBy(group).agg(F.least(F.max("_total"), F.sum("cap")).alias("rest"))
+    state = _of_group(state, caps, group).drop("_total")
+    plain = [group, "item", "weight", "cap", "share", "rest"]
+    done, round_ = [], staged(state, fresh(spark, "shares"))
+    while True:
+        done.append(round_.filter("rest = 0").select(group, "item", "share"))
+        left = round_.filter("rest > 0")
+        open_ = F.col("share") < F.col("cap")
+        sums = left.groupBy(group).agg(F.coalesce(F.sum(F.when(open_, F.col("weight"))), F.lit(0.0)).alias("_w"), F.count_if(open_).alias("_n"))
+        claim = F.when(open_, F.col("rest") * F.when(F.col("_w") > 0, F.col("weight") / F.col("_w")).otherwise(1 / F.col("_n")))
+        claims = _of_group(left, sums, group).withColumn("_claim", claim)
+        given = F.coalesce(F.least(F.floor("_claim"), F.col("cap") - F.col("share")), F.lit(0))
+        dealt = staged(claims.withColumn("_given", given).drop("_w", "_n"), fresh(spark, "shares-dealt"))
+        took = dealt.groupBy(group).agg(F.sum("_given").alias("_took"))
+        after = _of_group(dealt, took, group)
+        last = range_rank(after.filter("_took = 0"), [group], -F.coalesce("_claim", F.lit(-1.0)), "item")  # items that are full claim nothing
+        done.append(last.select(group, "item", (F.col("share") + ((F.col("_rank") <= F.col("rest")) & F.col("_claim").isNotNull()).cast("long")).alias("share")))
+        more = after.filter("_took > 0").withColumn("share", F.col("share") + F.col("_given")).withColumn("rest", F.col("rest") - F.col("_took")).select(*plain)
+        if took.filter("_took > 0").isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        round_ = staged(more, fresh(spark, "shares"))
+
+
+def _of_group(rows: DataFrame, sums: DataFrame, group: str) -> DataFrame:
+    """``rows`` with their group's ``sums``; a null group is a group, and the join's kind is left to the sizes found at run time."""
+    return rows.join(sums.withColumnRenamed(group, "_of"), F.col(group).eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def head_votes(scores: DataFrame, group: str, target: int) -> DataFrame:

@@ -666,8 +666,9 @@ CASE WHEN contains(text, '.') THEN round((length(text) - position('.' IN reverse
 round((length(text) - length(replace(text, chr(10), ''))) / length(text), 4)::DOUBLE AS newline_density FROM w LEFT JOIN e ON w.doc_id = e.doc_id""")
 def prompt_features(spark, sf):
     text = F.col("text")
-    f = X.prompt_features(text, X.words(text), marker=".")
-    return table(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in f.items()))
+    f = X.prompt_features(text, F.col("ids"), marker=".")
+    docs = table(spark, sf, "documents").select("doc_id", "text", X.words(text).alias("ids"))  # split once for all features
+    return docs.select("doc_id", *(c.alias(n) for n, c in f.items()))
 
 
 @query()
