@@ -145,3 +145,16 @@ def length_only_router(spark, sf):
     stats = R.train_stats(labels, folds).withColumn("train_q", F.round("train_q", 9)).withColumn("train_cr", F.round("train_cr", 9))
     predicted = R.line_predictions(labels, folds, sizes, "x").withColumn("prediction", F.round("prediction", 9))
     return rounded(R.evaluate_folds(labels, folds, (0.9, 0.95, 0.99), predicted, stats))
+
+
+@query("SELECT event_type, user_id % 10 AS part, count(*) AS n, sum(event_id)::BIGINT AS ids, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def published_table(spark, sf):
+    """Events published in a new run and read back behind their record."""
+    from ledgerline.sinks.publish import create_run, publish, read_published
+    from ledgerline.sources.scratch import fresh
+
+    run = create_run(spark, fresh(spark, "runs"), "model", "run-1")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "value", "event_type")
+    publish(rows.repartition("event_type"), f"{run}/events", "event_type")  # some files a type
+    back = read_published(spark, f"{run}/events", rows.schema)
+    return back.groupBy("event_type", (F.col("user_id") % 10).alias("part")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("value"))
