@@ -114,9 +114,10 @@ def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str |
     spark, s = rows.sparkSession, s or Settings()
     path = f"{store or shared(spark) + '/ledgerline/predictions'}/{address(rows, s)}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        kept = staged(rows, fresh(spark, "items"))  # every round of every fit reads them
+        kept = staged(rows, fresh(spark, "items"))
         parts = max(1, min(spark.sparkContext.defaultParallelism, kept.count() // 5_000))
-        predictions(kept.repartition(parts, "key"), s, parallelism).write.mode("overwrite").parquet(path)
+        dealt = staged(kept.repartition(parts, "key"), fresh(spark, "dealt"))  # every fit reads them several times: dealt out once, not by each reading
+        predictions(dealt, s, parallelism).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -137,7 +138,7 @@ def mean_baseline(rows: DataFrame) -> DataFrame:
 
 def fit_report(labels: DataFrame, rows: DataFrame, predicted: DataFrame) -> DataFrame:
     """Per fold and configuration: ``train_rows``, ``test_rows``, ``mae``, ``r2`` and ``mean_mae``, the error of the other folds' mean."""
-    both = labels.select("key", "cfg_ord", "configuration", "score").join(predicted, ["key", "cfg_ord"]).join(mean_baseline(rows), ["fold", "cfg_ord"])
+    both = labels.select("key", "cfg_ord", "configuration", "score").join(predicted, ["key", "cfg_ord"]).join(F.broadcast(mean_baseline(rows)), ["fold", "cfg_ord"])  # one row a fold and configuration
     error = F.col("score") - F.col("prediction")
     var = F.sum(F.col("score") * F.col("score")) - F.count("*") * F.avg("score") * F.avg("score")
     return both.groupBy("fold", "configuration").agg(
@@ -153,20 +154,44 @@ def vector_features(text: Column, ids: Column) -> dict[str, Column]:
     return prompt_features(text, ids) | {"gzip_ratio": F.round(gzip_ratio(text), 4)}
 
 
+#: Words that configurations C0 to C5 of the text panel keep.
+CAPS = (None, 256, 128, 64, 32, 16)
+
+
+def text_cells(w: Column, distinct: Column) -> Column:
+    """Per configuration of a text's words: ``cfg_ord``, ``configuration``, ``score`` and ``compression``. Only texts over a cap are cut and counted again."""
+    n = F.size(w)
+
+    def cell(i: int, cap: int | None) -> Column:
+        from ledgerline.functions.features import middle_truncate
+
+        over = F.lit(False) if cap is None else n > cap
+        kept = distinct if cap is None else F.when(over, F.size(F.array_distinct(middle_truncate(w, cap)))).otherwise(distinct)
+        left = n if cap is None else F.when(over, F.lit(2 * (cap // 2))).otherwise(n)
+        return F.struct(F.lit(i).alias("cfg_ord"), F.lit(f"C{i}").alias("configuration"), (kept / distinct).alias("score"), (n / left).alias("compression"))
+
+    return F.array(*(cell(i, cap) for i, cap in enumerate(CAPS)))
+
+
+def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key``, ``task``, ``cells`` and the seven features of every text that has words: one row and one pass a text."""
+    from ledgerline.functions.features import words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), F.concat_ws("-", "lang").alias("task"), F.coalesce("text", F.lit("")).alias("text"))
+    some = docs.filter(F.col("text").rlike(r"(?U)\S")).withColumn("w", words(F.col("text")))  # a filter on the words would have texts split twice
+    some = some.withColumn("_distinct", F.size(F.array_distinct("w")))
+    return some.select("key", "task", text_cells(F.col("w"), F.col("_distinct")).alias("cells"), *(c.alias(n) for n, c in vector_features(F.col("text"), F.col("w")).items()))
+
+
 def text_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labels and features of texts under caps on their words: C0 keeps all, C1 to C5 the first and last 8 to 128.
 
     The score is the share of a text's distinct words that are kept, the ratio words over kept words.
+    Both are read from one staged table of numbers, so texts are read once, however often labels and features are.
     """
-    from ledgerline.functions.features import middle_truncate, words
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), F.concat_ws("-", "lang").alias("task"), F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
-    caps = [None, 256, 128, 64, 32, 16]
-    cell = lambda i, cap: F.struct(F.lit(i).alias("cfg_ord"), F.lit(f"C{i}").alias("configuration"), (F.col("w") if cap is None else middle_truncate(F.col("w"), cap)).alias("kept"))
-    long = docs.filter("size(w) > 0").select("key", "task", "w", F.explode(F.array(*(cell(i, c) for i, c in enumerate(caps)))).alias("c")).select("key", "task", "w", "c.*")
-    labels = long.select("task", F.col("task").alias("category"), "key", "configuration", "cfg_ord", (F.size(F.array_distinct("kept")) / F.size(F.array_distinct("w"))).alias("score"), (F.size("w") / F.size("kept")).alias("compression"))
-    features = docs.filter("size(w) > 0").select("key", *(c.alias(n) for n, c in vector_features(F.col("text"), F.col("w")).items()))
-    return labels, features
+    table = staged(text_table(spark, sf_dir), fresh(spark, "texts"))
+    labels = table.select("task", F.col("task").alias("category"), "key", F.explode("cells").alias("c")).select("task", "category", "key", "c.configuration", "c.cfg_ord", "c.score", "c.compression")
+    return labels, table.drop("task", "cells")
 
 
 def cross_validated(spark: SparkSession, sf_dir: str, folds: int = 2, s: Settings | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -174,6 +199,6 @@ def cross_validated(spark: SparkSession, sf_dir: str, folds: int = 2, s: Setting
     from ledgerline.operators.router import stratified_folds
 
     labels, features = text_panel(spark, sf_dir)
-    fold = stratified_folds(labels, folds)
-    rows = items(labels, features, fold)
+    fold = staged(stratified_folds(labels.filter("cfg_ord = 0"), folds), fresh(spark, "folds"))
+    rows = staged(items(labels, features, fold), fresh(spark, "items"))
     return labels, fold, rows, stored_predictions(rows, s or Settings(rounds=6, rate=0.5, bins=64), store)

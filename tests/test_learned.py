@@ -70,3 +70,22 @@ def test_predictions_are_made_once_for_a_sweep(spark, tmp_path, monkeypatch):
     L.require_fresh(path, rows, FAST)
     with pytest.raises(ValueError, match="other scores"):
         L.require_fresh(path, rows.filter("key > 0"), FAST)
+
+
+def test_texts_are_read_once_for_labels_features_and_folds(spark, tmp_path):
+    """The panel is a staged table of numbers; fits, report and routing read that and no text again."""
+    texts = [(1, "en", "a b c " * 3), (2, "en", " \t\n"), (3, None, None), (4, "de", "x"), (5, "de", "  y z?\n\ny")] + [(10 + k, "en", " ".join(f"w{(i * k) % 97}" for i in range(k))) for k in (15, 16, 17, 32, 33, 128, 257, 300)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels, folds, rows, predicted = L.cross_validated(spark, str(tmp_path), s=FAST, store=str(tmp_path / "store"))
+    for table in (labels, folds, rows, predicted):
+        assert table.inputFiles() and not any("documents.parquet" in f for f in table.inputFiles())
+    got = {(r.key, r.cfg_ord): (r.score, r.compression) for r in labels.collect()}
+    want = {}
+    for key, _, text in texts:
+        w = (text or "").split()
+        for c, cap in enumerate((None, 256, 128, 64, 32, 16)):
+            kept = w if cap is None or len(w) <= cap else w[: cap // 2] + w[-(cap // 2) :]
+            if w:
+                want[key, c] = (len(set(kept)) / len(set(w)), len(w) / len(kept))
+    assert got == want
+    assert {r.key for r in rows.collect()} == {key for key, c in want} and predicted.count() == len(want)
