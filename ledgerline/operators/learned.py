@@ -116,7 +116,8 @@ def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str |
     if not exists(spark, f"{path}/_SUCCESS"):
         kept = staged(rows, fresh(spark, "items"))
         parts = max(1, min(spark.sparkContext.defaultParallelism, kept.count() // 5_000))
-        dealt = staged(kept.repartition(parts, "key"), fresh(spark, "dealt"))  # every fit reads them several times: dealt out once, not by each reading
+        # every fit reads them several times: dealt out once, not by each reading, and in order, as candidate splits are sampled by place
+        dealt = staged(kept.repartition(parts, "key").sortWithinPartitions("key"), fresh(spark, "dealt"))
         predictions(dealt, s, parallelism).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -89,3 +89,10 @@ def test_texts_are_read_once_for_labels_features_and_folds(spark, tmp_path):
                 want[key, c] = (len(set(kept)) / len(set(w)), len(w) / len(kept))
     assert got == want
     assert {r.key for r in rows.collect()} == {key for key, c in want} and predicted.count() == len(want)
+
+
+def test_predictions_do_not_depend_on_how_rows_lie(spark, tmp_path):
+    """Over 10,000 rows the learner samples its candidate splits; the same rows in other partitions and order are fitted alike."""
+    rows = spark.range(24_000).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("fold"), (F.xxhash64("id") % 1000 / 1000.0 + F.sqrt("id")).alias("s0"), F.sqrt("id").alias("a"))
+    one, other = (L.stored_predictions(r, FAST, str(tmp_path / n)) for n, r in (("one", rows), ("other", rows.repartition(3, F.xxhash64("key", F.lit(1))).sortWithinPartitions(F.desc("key")))))
+    assert one.count() == 24_000 and one.exceptAll(other).count() == 0
