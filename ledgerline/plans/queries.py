@@ -467,7 +467,7 @@ ev AS (SELECT pool_key, tau, any_value(size) AS size, round(avg(score), 6) AS q,
 
 def _sweep(spark, sf):
     _, _, stats, predicted = _router(spark, sf)
-    return rounded(P.evaluate(R.decide(predicted, stats, points=P.points(spark, TAUS))))
+    return rounded(R.evaluate_points(predicted, stats, P.points(spark, TAUS)))
 
 
 @query(f"WITH {POOLS} SELECT pool_key, CAST(size AS INTEGER) AS size FROM pools")
