@@ -1,8 +1,8 @@
-"""Learned score predictions: a scaler and boosted trees per (held-out fold, configuration), by spark.ml.
+"""Learned score predictions: boosted trees per (held-out fold, configuration).
 
 Every fit is a distributed one: trees grow on histograms that tasks sum and
 the driver only chooses splits from, so a fold or configuration may be of any
-size. Fits are independent and run some at a time, as many as ``parallelism``. Predictions are a table, made once
+size. All fits grow together (``boosting``). Predictions are a table, made once
 for given scores, features, folds and settings, and found again by their content.
 """
 
@@ -11,15 +11,15 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass
-from multiprocessing.pool import ThreadPool
+from functools import partial
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import boosting
 from ledgerline.sources.scratch import exists, fresh, shared, staged
 
 PREDICTIONS = "key {key}, fold {fold}, cfg_ord int, prediction double"
@@ -47,32 +47,19 @@ def items(labels: DataFrame, features: DataFrame, folds: DataFrame) -> DataFrame
 
 
 def learner(names: list[str], label: str, out: str, s: Settings) -> Pipeline:
+    """One fit by spark.ml, for a table of its own; as 60 fits of 300 rounds it would be some 70,000 jobs."""
     gather = VectorAssembler(inputCols=names, outputCol="_x")
     scale = StandardScaler(inputCol="_x", outputCol="_z", withMean=True)
     trees = GBTRegressor(featuresCol="_z", labelCol=label, predictionCol=out, maxIter=s.rounds, maxDepth=s.depth, stepSize=s.rate, maxBins=s.bins, minInstancesPerNode=s.least, seed=s.seed)
     return Pipeline(stages=[gather, scale, trees])
 
 
-def fit_one(rows: DataFrame, fold, c: int, names: list[str], s: Settings) -> PipelineModel:
-    """A configuration's model from the rows of other folds that have its score."""
-    train = rows.filter(~F.col("fold").eqNullSafe(F.lit(fold))).filter(f"s{c} is not null")
-    return learner(names, f"s{c}", f"_p{c}", s).fit(train)
-
-
-def predict_fold(rows: DataFrame, fold, models: list[PipelineModel], ordinals: list[int]) -> DataFrame:
-    held = rows.filter(F.col("fold").eqNullSafe(F.lit(fold)))
-    for model in models:
-        held = model.transform(held).drop("_x", "_z")
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cfg_ord"), F.col(f"_p{c}").alias("prediction")) for c in ordinals))).alias("_c")
-    return held.select("key", "fold", each).select("key", "fold", "_c.cfg_ord", "_c.prediction")
-
-
-def predictions(rows: DataFrame, s: Settings | None = None, parallelism: int = 8) -> DataFrame:
+def predictions(rows: DataFrame, s: Settings | None = None) -> DataFrame:
     """``key``, ``fold``, ``cfg_ord``, ``prediction`` of ``items`` rows, each by fits that have not seen its fold.
 
     Folds are a few (each is a fit per configuration), so they are listed on
     the driver. An empty table gives no predictions, and so does a table of a
-    single fold, whose fits would have no rows.
+    single fold, whose fits would have no rows. A fit without scores predicts null.
     """
     s = s or Settings()
     names = [c for c in rows.columns if c not in ("key", "fold") and not (c[0] == "s" and c[1:].isdigit())]
@@ -80,15 +67,17 @@ def predictions(rows: DataFrame, s: Settings | None = None, parallelism: int = 8
     ordinals = sorted(int(c[1:]) for c in rows.columns if c[0] == "s" and c[1:].isdigit())
     folds = sorted((r[0] for r in rows.select("fold").distinct().collect()), key=lambda x: (x is None, x))  # a fold a row
     empty = rows.sparkSession.createDataFrame([], PREDICTIONS.format(key=rows.schema["key"].dataType.simpleString(), fold=rows.schema["fold"].dataType.simpleString()))
-    if len(folds) < 2:
+    if len(folds) < 2 or not ordinals:
         return empty
-    work = inheritable_thread_target(rows.sparkSession)(lambda fit: fit_one(rows, *fit, names, s))
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(work, [(fold, c) for fold in folds for c in ordinals], chunksize=1)
-    out = empty
-    for k, fold in enumerate(folds):
-        out = out.unionByName(predict_fold(rows, fold, models[k * len(ordinals) : (k + 1) * len(ordinals)], ordinals))
-    return out
+    place = F.coalesce(*(F.when(F.col("fold").eqNullSafe(F.lit(f)), F.lit(k)) for k, f in enumerate(folds)))
+    placed = rows.withColumn("_fold", place)
+    cuts, base, trees = boosting.boost(placed, names, [f"s{c}" for c in ordinals], len(folds), s)
+    found = placed.select("key", "_fold", *names).mapInPandas(
+        partial(boosting.predict, names=names, cuts=cuts, base=base, trees=trees, depth=s.depth), f"key {rows.schema['key'].dataType.simpleString()}, _fold int, p array<double>"
+    )
+    named = rows.sparkSession.createDataFrame(list(enumerate(folds)), f"_fold int, fold {rows.schema['fold'].dataType.simpleString()}")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cfg_ord"), F.nanvl(F.col("p")[i], F.lit(None)).alias("prediction")) for i, c in enumerate(ordinals)))).alias("_c")
+    return found.join(F.broadcast(named), "_fold").select("key", "fold", each).select("key", "fold", "_c.cfg_ord", "_c.prediction")  # a fold a row
 
 
 def fingerprint(rows: DataFrame) -> str:
@@ -104,7 +93,7 @@ def address(rows: DataFrame, s: Settings) -> str:
     return hashlib.sha256(json.dumps([fingerprint(rows), asdict(s)], sort_keys=True).encode()).hexdigest()
 
 
-def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str | None = None, parallelism: int = 8) -> DataFrame:
+def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str | None = None) -> DataFrame:
     """The predictions of ``items`` rows from ``store`` (by default in the shared folder), made and stored there if they are not yet.
 
     A table's name is the hash of all it depends on, so another score, feature,
@@ -116,9 +105,9 @@ def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str |
     if not exists(spark, f"{path}/_SUCCESS"):
         kept = staged(rows, fresh(spark, "items"))
         parts = max(1, min(spark.sparkContext.defaultParallelism, kept.count() // 5_000))
-        # every fit reads them several times: dealt out once, not by each reading, and in order, as candidate splits are sampled by place
+        # read several times: dealt out once, not by each reading, and in order, as sums depend on it in their last digits
         dealt = staged(kept.repartition(parts, "key").sortWithinPartitions("key"), fresh(spark, "dealt"))
-        predictions(dealt, s, parallelism).write.mode("overwrite").parquet(path)
+        predictions(dealt, s).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -195,11 +184,11 @@ def text_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return labels, table.drop("task", "cells")
 
 
-def cross_validated(spark: SparkSession, sf_dir: str, folds: int = 2, s: Settings | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Labels, folds, ``items`` rows and stored predictions of the text panel."""
+def cross_validated(spark: SparkSession, sf_dir: str, folds: int = 10, s: Settings | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labels, folds, ``items`` rows and stored predictions of the text panel: by default the published 10 folds and settings."""
     from ledgerline.operators.router import stratified_folds
 
     labels, features = text_panel(spark, sf_dir)
     fold = staged(stratified_folds(labels.filter("cfg_ord = 0"), folds), fresh(spark, "folds"))
     rows = staged(items(labels, features, fold), fresh(spark, "items"))
-    return labels, fold, rows, stored_predictions(rows, s or Settings(rounds=6, rate=0.5, bins=64), store)
+    return labels, fold, rows, stored_predictions(rows, s, store)

@@ -32,6 +32,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def drop(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of this run that no later step reads, if there is one."""
+    if path:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def staged(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` where nothing is, and read it back: later steps start from the files, on any executor."""
     df.write.mode("errorifexists").parquet(path)
