@@ -13,6 +13,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -131,8 +132,8 @@ def _tally(block: list, tree: tuple | None, slots: np.ndarray | None, depth: int
         if depth:
             slot = slots[m][place(b, tree[0][m], tree[1][m], depth)]
             some = np.flatnonzero(slot != NONE)
-            b, r, at = b[:, some], r[some], first + slot[some].astype(np.intp) * (names * width)
-        at = (at + b).ravel()
+            b, r, at = b.take(some, 1), r[some], first + slot[some].astype(np.int32) * (names * width)
+        at = np.add(at, b, dtype=np.intp).ravel()
         s[m] = np.bincount(at, np.tile(r.astype(float), names), size)
         if counted:
             n[m] = np.bincount(at, minlength=size)
@@ -144,31 +145,50 @@ def _tallies(blocks: Iterator[list], *how) -> Iterator[tuple]:
     for block in blocks:
         a, b = _tally(block, *how)
         n, s = (a, b) if n is None else (n + a, s + b)
-    if s is not None:
-        yield (n.astype(np.int32) if how[-1] else None), s
+    if s is not None:  # counts in as few bytes as hold them
+        yield (n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.int64) if how[-1] else None), s
 
 
 def _best(n: np.ndarray, s: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Per fit and node: whether it is split, by which feature after which bin, and rows and sum of its left side. Ties go to the first feature and bin."""
+    """Per node of a fit: whether it is split, by which feature after which bin, and rows and sum of its left side. Ties go to the first feature and bin."""
     left, sums = n.cumsum(-1), s.cumsum(-1)
     whole, total = left[..., -1:], sums[..., -1:]
     right = whole - left
-    gain = sums**2 / np.maximum(left, 1) + (total - sums) ** 2 / np.maximum(right, 1) - total**2 / np.maximum(whole, 1)
-    gain = np.where((left >= max(least, 1)) & (right >= max(least, 1)), gain, 0).reshape(*n.shape[:2], -1)
-    at = gain.argmax(-1)
-    take = lambda x: np.take_along_axis(x.reshape(gain.shape), at[..., None], -1)[..., 0]
+    gain = sums * sums
+    gain /= np.maximum(left, 1)
+    rest = total - sums
+    rest *= rest
+    rest /= np.maximum(right, 1)
+    gain += rest
+    gain -= total * total / np.maximum(whole, 1)
+    gain[(left < max(least, 1)) | (right < max(least, 1))] = 0
+    gain = gain.reshape(len(n), -1)
+    at, node = gain.argmax(-1), np.arange(len(n))
+    take = lambda x: x.reshape(gain.shape)[node, at]
     return take(gain) > 0, at // n.shape[-1], at % n.shape[-1], take(left), take(sums)
 
 
-def _grow(state: RDD, rows: np.ndarray, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _children(whole: np.ndarray, few: np.ndarray, smaller: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """Histograms of both children of a fit's nodes: the smaller one's, and what is left; none below a node that is not split."""
+    out = np.zeros((len(split), 2, *whole.shape[1:]), whole.dtype)
+    node, right = np.flatnonzero(split), smaller[split, 1].astype(int)
+    out[node, right], out[node, 1 - right] = few[node], whole[node] - few[node]
+    return out.reshape(-1, *whole.shape[1:])
+
+
+def _grow(state: RDD, rows: np.ndarray, s, pool: ThreadPool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One tree of every fit on its residuals; ``rows`` are the counts of all bins. Of two children the smaller is tallied, the other is what is left."""
     fits, _, _, width = rows.shape
     feature, cut = np.zeros((fits, (1 << s.depth) - 1), np.uint8), np.full((fits, (1 << s.depth) - 1), NONE, np.uint8)
-    summed = lambda *how: [sum(x[1:], x[0]) if x[0] is not None else None for x in zip(*state.mapPartitions(partial(_pass, how)).collect(), strict=True)]
-    n, sums = rows, summed(None, None, 0, 1, width, False)[1]
-    node_n, node_s = n[:, :, 0].sum(-1), sums[:, :, 0].sum(-1)
+
+    def summed(*how):
+        counts, totals = zip(*state.mapPartitions(partial(_pass, how)).collect(), strict=True)
+        return sum(x.astype(np.int64) for x in counts) if how[-1] else None, sum(totals)
+
+    n, sums = list(rows), list(summed(None, None, 0, 1, width, False)[1])
+    node_n, node_s = rows[:, :, 0].sum(-1), np.array([x[:, 0].sum(-1) for x in sums])
     for d in range(s.depth):
-        split, by, after, left_n, left_s = _best(n, sums, s.least)
+        split, by, after, left_n, left_s = (np.array(x) for x in zip(*pool.map(lambda m: _best(n[m], sums[m], s.least), range(fits)), strict=True))
         level = slice((1 << d) - 1, (2 << d) - 1)
         feature[:, level], cut[:, level] = np.where(split, by, 0), np.where(split, after, NONE)
         left_n, left_s = np.where(split, left_n, node_n), np.where(split, left_s, node_s)
@@ -180,8 +200,7 @@ def _grow(state: RDD, rows: np.ndarray, s) -> tuple[np.ndarray, np.ndarray, np.n
         smaller = (pair_n[..., 1] < pair_n[..., 0])[..., None] == np.array([False, True])
         slots = np.where(smaller & split[..., None], np.arange(1 << d)[:, None], NONE).reshape(fits, -1).astype(np.uint8)
         few_n, few_s = summed((feature, cut), slots, d + 1, 1 << d, width, True)
-        pick, live = smaller[..., None, None], split[..., None, None, None]
-        n, sums = (np.where(live, np.where(pick, few[:, :, None], (all_ - few)[:, :, None]), 0).reshape(fits, 2 << d, *all_.shape[2:]) for few, all_ in ((few_n, n), (few_s, sums)))
+        n, sums = (pool.map(lambda m, whole=whole, few=few, smaller=smaller, split=split: _children(whole[m], few[m], smaller[m], split[m]), range(fits)) for whole, few in ((n, few_n), (sums, few_s)))
     return feature, cut, s.rate * node_s / np.maximum(node_n, 1)
 
 
@@ -206,18 +225,20 @@ def boost(rows: DataFrame, names: list[str], scores: list[str], folds: int, s) -
     base = np.divide(known[:, 1], known[:, 0], out=np.full(len(known), np.nan), where=known[:, 0] > 0)
     before, trees, step, written = sc.getCheckpointDir(), [], partial(_start, base), None
     sc.setCheckpointDir(fresh(spark, "rounds"))
+    pool = ThreadPool(4)  # arrays of the fits
     try:
         for r in range(s.rounds):
             last, state = state, state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
             if r % EVERY == EVERY - 1:
                 state.checkpoint()
-            trees.append(_grow(state, counts, s))
+            trees.append(_grow(state, counts, s, pool))
             step = partial(_step, trees[-1], s.depth)
             last.unpersist()
             if state.isCheckpointed():
                 drop(spark, written)
                 written = state.getCheckpointFile()
     finally:
+        pool.terminate()
         state.unpersist()
         drop(spark, written)
         if before:

@@ -104,7 +104,7 @@ def stored_predictions(rows: DataFrame, s: Settings | None = None, store: str |
     path = f"{store or shared(spark) + '/ledgerline/predictions'}/{address(rows, s)}"
     if not exists(spark, f"{path}/_SUCCESS"):
         kept = staged(rows, fresh(spark, "items"))
-        parts = max(1, min(spark.sparkContext.defaultParallelism, kept.count() // 5_000))
+        parts = max(1, min(spark.sparkContext.defaultParallelism, kept.count() // boosting.BLOCK))
         # read several times: dealt out once, not by each reading, and in order, as sums depend on it in their last digits
         dealt = staged(kept.repartition(parts, "key").sortWithinPartitions("key"), fresh(spark, "dealt"))
         predictions(dealt, s).write.mode("overwrite").parquet(path)
